@@ -1,0 +1,58 @@
+"""End to end: messages and controls to decisions and replies."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chatsift.config import MESSAGE, PolicyParams
+from chatsift.operators.enrich import accept_messages, fired_intents, keyed_controls
+from chatsift.operators.policy import MAX_GROUP_ROWS, decide, policy_events
+
+CARRIED = ["message_id", "sender", "ordinal", "confidence", "payload", "targeting"]
+
+
+def chat_sizes(messages: DataFrame, controls: DataFrame | None = None) -> tuple[int, int]:
+    """Upper bounds for :func:`decide`: events of the largest chat, and in all.
+
+    Reads only the chat column, so no text is scored for it.
+    """
+    chats = messages.select("chat_id")
+    if controls is not None:
+        chats = chats.unionByName(controls.select("chat_id"))
+    row = (
+        chats.where(F.coalesce("chat_id", F.lit("")) != "").groupBy("chat_id").count()
+        .agg(F.max("count"), F.sum("count")).first()
+    )
+    return row[0] or 0, row[1] or 0
+
+
+def enrich_and_decide(
+    messages: DataFrame,
+    controls: DataFrame | None = None,
+    params: PolicyParams = PolicyParams(),
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    keep: list[str] | None = None,
+    observe: bool = True,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Score, extract and decide. One row per fired intent and control.
+
+    ``observe`` adds a row for each message without money, carrying the money
+    state of its chat at that moment; replies and counters need them. ``keep``
+    names the message columns to carry through the shuffle.
+    """
+    fired = fired_intents(messages, params, scorer, keep="money" if observe else "fired")
+    events = policy_events(fired, controls, CARRIED if keep is None else keep)
+    return decide(events, params, chat_sizes(messages, controls), max_group_rows)
+
+
+def decisions_only(decisions: DataFrame) -> DataFrame:
+    return decisions.where(F.col("kind") == MESSAGE)
+
+
+__all__ = [
+    "CARRIED", "accept_messages", "chat_sizes", "decisions_only", "enrich_and_decide", "keyed_controls",
+]
