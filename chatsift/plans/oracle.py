@@ -608,6 +608,9 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT seq, CASE WHEN NOT json_valid(value) THEN '{{"error":"invalid JSON"}}' ELSE '{{"error":"text required"}}' END
       FROM ({_FRAMES}) f WHERE NOT json_valid(value) OR NOT regexp_matches(coalesce(value ->> '$.text', ''), '\\S')""",
     "stream_decisions": f"{_R} SELECT {_DEC}, false AS late FROM dec",
+    "stream_metrics": f"""{_R} SELECT strftime(ts, '%Y-%m-%d') AS window_start, intent, count(*) AS detected,
+      count(*) FILTER (should_popup AND chat_state <> 'untracked') AS popups_fired, count(*) FILTER (NOT should_popup) AS popups_suppressed
+      FROM dec WHERE kind = 'message' GROUP BY 1, 2""",
     "eval_summary": f"""WITH {_MULTI}, x AS (SELECT id, label, prob * 0.98 + 0.01 AS p FROM ce)
       SELECT round(avg(ok), 6) AS exact_match, round((SELECT avg(CAST((p >= 0.5) = (label = 1) AS INT)) FROM x), 6) AS hamming,
         round((SELECT avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END) FROM x), 6) AS loss, count(*) AS examples

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.config import INTENTS, PolicyParams
+from chatsift.config import INTENTS, PolicyParams, scratch_path
 from chatsift.functions import links as L
 from chatsift.functions import payload as P
 from chatsift.functions import scoring
@@ -354,32 +354,57 @@ def frame_responses(spark, sf):
     return out.unionByName(bad)
 
 
-def _stream_of(df, spark, name):
-    """The rows of a table as a file stream of several files."""
-    path = S_path(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+FILES = 4  # per time slice, and per micro-batch
+SLICES = ["2024-01-10", "2024-01-20"]
 
 
-def S_path(spark, name):
-    from chatsift.config import scratch_path
+def _arriving(spark, events):
+    """The events as a file stream: one micro-batch per time slice, in order."""
+    path = scratch_path(spark, "events")
+    for start, end in zip([None, *SLICES], [*SLICES, None]):
+        part = events
+        if start:
+            part = part.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+        if end:
+            part = part.where(F.col("ts") < F.lit(end).cast("timestamp"))
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
-    return scratch_path(spark, name)
 
-
-@query
-def stream_decisions(spark, sf):
-    """Events in several micro-batches through the stateful query, as a table."""
+def _streamed(spark, sf):
     fired = enrich.fired_intents(D.messages(spark, sf), D.PARAMS, keep="money")
-    events = policy_events(fired, D.controls(spark, sf))
-    ordered = events.repartitionByRange(3, "ts")
-    stream = _stream_of(ordered, spark, "events")
-    out = S_path(spark, "decisions")
+    stream = _arriving(spark, policy_events(fired, D.controls(spark, sf)))
+    out = scratch_path(spark, "decisions")
     started = ST.start_decisions(
-        ST.decide_stream(stream, D.PARAMS), out, S_path(spark, "progress"), available_now=True
+        ST.decide_stream(stream, D.PARAMS), out, scratch_path(spark, "progress"), available_now=True
     )
     started.awaitTermination()
-    return spark.read.parquet(out).select(*DECISION, "late")
+    return out
+
+
+@query
+def stream_decisions(spark, sf):
+    """Events in several micro-batches through the stateful query, as a table."""
+    return spark.read.parquet(_streamed(spark, sf)).select(*DECISION, "late")
+
+
+@query
+def stream_metrics(spark, sf):
+    """Counters per day kept by a second stream that reads the decisions."""
+    decided = _streamed(spark, sf)
+    schema = spark.read.parquet(decided).schema
+    windows = metrics.windowed_metrics(spark.readStream.schema(schema).parquet(decided), "1 day", "40 days")
+    out = scratch_path(spark, "metrics")
+
+    def keep(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    windows.writeStream.outputMode("update").foreachBatch(keep).option(
+        "checkpointLocation", scratch_path(spark, "progress")
+    ).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("window_start", "intent").agg(F.max_by(
+        F.struct("detected", "popups_fired", "popups_suppressed"), "epoch").alias("c"))
+    return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "intent", "c.*")
 
 
 # -- evaluation --------------------------------------------------------------------------------

@@ -54,6 +54,7 @@ DECISION_FIELDS = [
     T.StructField("last_payload", T.StringType()),
     T.StructField("late", T.BooleanType()),
 ]
+_DECIDED = [f.name for f in DECISION_FIELDS]
 
 
 class CooldownProcessor(StatefulProcessor):
@@ -72,18 +73,18 @@ class CooldownProcessor(StatefulProcessor):
         if saved is not None:
             tracker = Tracker(*saved[:9]) if saved[0] is not None else None
             applied, timer = (saved[9], saved[10]), saved[11]
-        out = []
+        make, out = Row(*self.columns, *_DECIDED), []
         for row in sorted(rows, key=lambda r: (r["_us"], r["seq"])):
             carried = [row[c] for c in self.columns]
             if (row["_us"], row["seq"]) < applied:
-                out.append(Row(*carried, *[None] * 12, True))
+                out.append(make(*carried, *[None] * 12, True))
                 continue
             applied = (row["_us"], row["seq"])
             tracker, o = advance(
                 tracker, row["kind"], row["_us"], row["key1"], row["key2"], row["payload_json"], self.params
             )
             t = tracker or Tracker("idle", None, None, None, None, None, 0, 0, None)
-            out.append(Row(
+            out.append(make(
                 *carried, o.should_popup, o.suppressed_reason, o.remaining, t.state, o.previous_state,
                 o.existed, t.popup_count, t.suppression_count, t.last_popup, t.last_event, t.reason,
                 t.payload, False,
