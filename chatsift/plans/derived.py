@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatsift.config import PolicyParams
+from chatsift.sources.messages import spread
 
 # Windows stretched to the pace of the derived chats, so every rule is met.
 PARAMS = PolicyParams(threshold=0.5, cooldown=6000, dismissed=18000, grace=2400, eviction=36000)
@@ -139,7 +140,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(messages_sql("{events}"), events=events(spark, sf_dir))
+    return spark.sql(messages_sql("{events}"), events=spread(events(spark, sf_dir)))
 
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,18 @@ FRAME_FIELDS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of a few unsplittable files.
+
+    Extraction costs far more CPU than moving its input. Inputs with at least
+    as many splits as cores, that is all large ones, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(MESSAGES_SCHEMA).format(fmt).load(path)
+    return spread(spark.read.schema(MESSAGES_SCHEMA).format(fmt).load(path))
 
 
 def read_controls(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
