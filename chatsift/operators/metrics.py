@@ -29,8 +29,20 @@ def _rates() -> dict[str, Column]:
     }
 
 
-def service_metrics(decisions: DataFrame) -> DataFrame:
-    return decisions.agg(*[c.alias(n) for n, c in _counters().items()]).withColumns(_rates())
+def service_metrics(decisions: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """Requests, detections, popups and their rates, as one row.
+
+    Without observe rows in ``decisions``, pass the accepted messages: counting
+    them apart is cheaper than sending every quiet message through the fold.
+    """
+    counters = _counters()
+    if messages is None:
+        return decisions.agg(*[c.alias(n) for n, c in counters.items()]).withColumns(_rates())
+    counters.pop("requests")
+    one = F.lit(1).alias("_one")  # both sides are one row
+    asked = messages.agg(F.count("*").alias("requests")).select(one, "requests")
+    done = decisions.agg(*[c.alias(n) for n, c in counters.items()]).select(one, *counters)
+    return asked.join(done, "_one").drop("_one").withColumns(_rates())
 
 
 def intent_counts(decisions: DataFrame) -> DataFrame:

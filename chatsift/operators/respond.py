@@ -93,17 +93,22 @@ def audience_rule(intent: Column, payload: Column, targeting: Column) -> Column:
     return F.coalesce(F.when(intent == "money", money).otherwise(rest), F.lit("nobody"))
 
 
-def audience(decisions: DataFrame, members: DataFrame) -> DataFrame:
-    """Popups × the chat members whose device acts: (seq, intent, user).
-
-    An equi-join on the chat; Spark broadcasts the members when their size
-    allows and splits a hot chat when it does not.
-    """
-    pops = decisions.where((F.col("kind") == MESSAGE) & F.col("should_popup")).select(
+def _popups(decisions: DataFrame) -> DataFrame:
+    return decisions.where((F.col("kind") == MESSAGE) & F.col("should_popup")).select(
         "seq", "chat_id", "intent", "sender",
         audience_rule(F.col("intent"), F.col("payload"), F.col("targeting")).alias("rule"),
         F.col("targeting.addressee").alias("addressee"),
     ).where(F.col("rule") != "nobody")
+
+
+def audience(decisions: DataFrame, members: DataFrame) -> DataFrame:
+    """The devices that act: one row per popup and chat member concerned.
+
+    An equi-join on the chat; Spark broadcasts the members when their size
+    allows and splits a hot chat when it does not. For counts alone use
+    :func:`popups_per_member`, which never makes these rows.
+    """
+    pops = _popups(decisions)
     is_sender = F.col("user").eqNullSafe(F.col("sender"))
     who = (
         F.when(F.col("rule") == "everyone", F.lit(True))
@@ -114,6 +119,38 @@ def audience(decisions: DataFrame, members: DataFrame) -> DataFrame:
     return pops.join(members, "chat_id").where(who).select("seq", "chat_id", "intent", "rule", "user")
 
 
+def popups_per_member(decisions: DataFrame, members: DataFrame) -> DataFrame:
+    """How many popups each chat member gets, without listing them.
+
+    Popups are first counted per chat, rule and person named by the rule.
+    Each member then adds up: those for everyone, those for others unless sent
+    by the member, and those aimed at the member as sender or addressee.
+    """
+    pops = _popups(decisions)
+    person = F.when(F.col("rule") == "addressee", F.col("addressee")).when(
+        F.col("rule").isin("sender", "others"), F.col("sender")
+    )
+    counts = pops.groupBy("chat_id", "rule", person.alias("person")).agg(F.count("*").alias("n")).where(
+        F.col("rule").isin("everyone", "others") | F.col("person").isNotNull()
+    )
+    per_chat = counts.groupBy("chat_id").agg(
+        F.sum(F.when(F.col("rule").isin("everyone", "others"), F.col("n"))).alias("shared")
+    )
+
+    def own(rule: str, name: str) -> DataFrame:
+        return counts.where((F.col("rule") == rule) & F.col("person").isNotNull()).select(
+            "chat_id", F.col("person").alias(f"_{name}"), F.col("n").alias(name)
+        )
+
+    out = members.join(per_chat, "chat_id", "left")
+    for rule, key in (("others", F.col("user")), ("sender", F.col("user")), ("addressee", F.lower("user"))):
+        side = own(rule, f"n_{rule}")
+        out = out.withColumn(f"_n_{rule}", key).join(side, ["chat_id", f"_n_{rule}"], "left").drop(f"_n_{rule}")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    total = zero("shared") - zero("n_others") + zero("n_sender") + zero("n_addressee")
+    return out.select("chat_id", "user", total.alias("popups"))
+
+
 # -- cards and summaries ----------------------------------------------------------
 
 def action_cards(decisions: DataFrame) -> DataFrame:

@@ -502,6 +502,15 @@ _FRAME_MESSAGES = f"""SELECT seq, ts, CAST(NULL AS VARCHAR) AS message_id, nulli
   WHERE json_valid(value) AND regexp_matches(coalesce(value ->> '$.text', ''), '\\S')"""
 _FRAME_REPLAY = replay().replace(ACCEPTED, _FRAME_MESSAGES).replace(D.controls_sql(), D.controls_sql() + " AND false")
 
+_MEMBERS = f"SELECT DISTINCT chat_id, sender AS usr FROM ({MESSAGES}) mm WHERE chat_id IS NOT NULL AND sender IS NOT NULL"
+_AUDIENCE = f"""{_R}, pops AS (SELECT f.*, CASE WHEN f.intent = 'money' THEN CASE f.direction WHEN 'request' THEN 'others' WHEN 'offer' THEN 'sender' ELSE 'everyone' END
+        WHEN is_self THEN 'sender' WHEN is_mutual THEN 'everyone' WHEN addressee IS NOT NULL THEN 'addressee' END AS rule
+      FROM dec d JOIN fi f ON f.seq = d.seq AND f.intent = d.intent WHERE d.kind = 'message' AND d.should_popup),
+au AS (SELECT p.seq, p.chat_id, p.intent, p.rule, mb.usr AS "user" FROM pops p
+      JOIN ({_MEMBERS}) mb ON mb.chat_id = p.chat_id
+      WHERE rule = 'everyone' OR (rule = 'others' AND mb.usr IS DISTINCT FROM p.sender) OR (rule = 'sender' AND mb.usr = p.sender)
+        OR (rule = 'addressee' AND lower(mb.usr) = p.addressee))"""
+
 
 def _entry(alias: str = "d") -> str:
     nul = lambda x: f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
@@ -549,7 +558,7 @@ ORACLE: dict[str, str] = {
     "batch_scored": "SELECT seq, " + ", ".join(
         f"CAST(CASE WHEN {has_any('lower(text)', V.INTENT_KEYWORDS[i])} THEN 0.99 ELSE 0.01 END AS DOUBLE) AS {i}"
         for i in INTENTS) + f" FROM ({ACCEPTED}) x",
-    "decisions": f"{_R} SELECT {_DEC} FROM dec",
+    "decisions": f"{_R} SELECT {_DEC} FROM dec WHERE kind <> 'observe'",
     "hot_chat_decisions": f"{_R} SELECT {_DEC} FROM dec",
     "default_window_decisions": f"""WITH RECURSIVE {replay(Q.PolicyParams()).replace(D.controls_sql(), D.controls_sql() + ' AND false')}
       SELECT seq, intent, should_popup, suppressed_reason, cooldown_remaining_seconds, popup_count FROM dec WHERE kind = 'message'""",
@@ -583,13 +592,10 @@ ORACLE: dict[str, str] = {
     "windowed_metrics": f"""{_R} SELECT strftime(ts, '%Y-%m-%d') AS window_start, intent, count(*) AS detected,
       count(*) FILTER (should_popup AND chat_state <> 'untracked') AS popups_fired, count(*) FILTER (NOT should_popup) AS popups_suppressed
       FROM dec WHERE kind = 'message' GROUP BY 1, 2""",
-    "audience": f"""{_R}, pops AS (SELECT f.*, CASE WHEN f.intent = 'money' THEN CASE f.direction WHEN 'request' THEN 'others' WHEN 'offer' THEN 'sender' ELSE 'everyone' END
-        WHEN is_self THEN 'sender' WHEN is_mutual THEN 'everyone' WHEN addressee IS NOT NULL THEN 'addressee' END AS rule
-      FROM dec d JOIN fi f ON f.seq = d.seq AND f.intent = d.intent WHERE d.kind = 'message' AND d.should_popup)
-      SELECT p.seq, p.chat_id, p.intent, p.rule, mb.usr AS "user" FROM pops p
-      JOIN (SELECT DISTINCT chat_id, sender AS usr FROM ({MESSAGES}) mm WHERE chat_id IS NOT NULL AND sender IS NOT NULL) mb ON mb.chat_id = p.chat_id
-      WHERE rule = 'everyone' OR (rule = 'others' AND mb.usr IS DISTINCT FROM p.sender) OR (rule = 'sender' AND mb.usr = p.sender)
-        OR (rule = 'addressee' AND lower(mb.usr) = p.addressee)""",
+    "audience": f"{_AUDIENCE} SELECT * FROM au",
+    "popups_per_member": f"""{_AUDIENCE}, n AS (SELECT chat_id, "user", count(*) AS popups FROM au GROUP BY 1, 2)
+      SELECT mb.chat_id, mb.usr AS "user", coalesce(popups, 0) AS popups FROM ({_MEMBERS}) mb
+      LEFT JOIN n ON n.chat_id = mb.chat_id AND n."user" = mb.usr""",
     "parsed_frames": f"""SELECT seq, CASE WHEN json_valid(value) THEN value ->> '$.text' END AS text, CASE WHEN json_valid(value) THEN value ->> '$.chat_id' END AS chat_id,
       CASE WHEN json_valid(value) THEN value ->> '$.sender' END AS sender, CAST(NULL AS VARCHAR) AS message_id,
       CASE WHEN NOT json_valid(value) THEN 'invalid JSON' WHEN NOT regexp_matches(coalesce(value ->> '$.text', ''), '\\S') THEN 'text required' END AS error

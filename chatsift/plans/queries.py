@@ -42,8 +42,8 @@ def _fired(spark, sf):
     return enrich.fired_intents(D.messages(spark, sf), D.PARAMS)
 
 
-def _decisions(spark, sf, **kw):
-    return pipeline.enrich_and_decide(D.messages(spark, sf), D.controls(spark, sf), D.PARAMS, **kw)
+def _decisions(spark, sf, observe=False, **kw):
+    return pipeline.enrich_and_decide(D.messages(spark, sf), D.controls(spark, sf), D.PARAMS, observe=observe, **kw)
 
 
 # -- extractors -------------------------------------------------------------------------
@@ -224,8 +224,8 @@ def decisions(spark, sf):
 
 @query
 def hot_chat_decisions(spark, sf):
-    """The same, with histories cut into chunks as for a chat too big for a task."""
-    return _decisions(spark, sf, keep=[], max_group_rows=500).select(DECISION)
+    """Histories cut into chunks as for a chat too big for a task; quiet messages included."""
+    return _decisions(spark, sf, observe=True, keep=[], max_group_rows=500).select(DECISION)
 
 
 @query
@@ -248,13 +248,13 @@ def reset_answers(spark, sf):
 
 @query
 def flat_replies(spark, sf):
-    r = respond.replies(_decisions(spark, sf))
+    r = respond.replies(_decisions(spark, sf, observe=True))
     return r.select("seq", "chat_id", "message_id", "sender", *respond.FLAT)
 
 
 @query
 def nested_replies(spark, sf):
-    r = respond.replies(_decisions(spark, sf))
+    r = respond.replies(_decisions(spark, sf, observe=True))
     entry = F.transform("intents", lambda x: F.concat_ws(
         "/", x["type"], x["confidence"].cast("string"), x["should_popup"].cast("string"),
         x["suppressed_reason"], x["chat_state"], x["payload_json"], x["targeting"]["third_party"],
@@ -280,7 +280,7 @@ def chat_states(spark, sf):
 
 @query
 def service_metrics(spark, sf):
-    return metrics.service_metrics(_decisions(spark, sf, keep=[]))
+    return metrics.service_metrics(_decisions(spark, sf, keep=[]), _accepted(spark, sf))
 
 
 @query
@@ -305,13 +305,14 @@ def windowed_metrics(spark, sf):
     return w.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
+def _members(spark, sf):
+    known = D.messages(spark, sf).where("chat_id IS NOT NULL AND sender IS NOT NULL")
+    return known.select("chat_id", F.col("sender").alias("user")).distinct()
+
+
 @query
 def audience(spark, sf):
-    msgs = D.messages(spark, sf)
-    members = msgs.where("chat_id IS NOT NULL AND sender IS NOT NULL").select(
-        "chat_id", F.col("sender").alias("user")
-    ).distinct()
-    return respond.audience(_decisions(spark, sf), members)
+    return respond.audience(_decisions(spark, sf), _members(spark, sf))
 
 
 # -- frames and streams ----------------------------------------------------------------------
@@ -620,6 +621,12 @@ def action_cards(spark, sf):
     return respond.summary_cards(respond.action_cards(_fired(spark, sf)))
 
 
+@query
+def popups_per_member(spark, sf):
+    members = _members(spark, sf)
+    return respond.popups_per_member(_decisions(spark, sf), members)
+
+
 @query
 def call_summaries(spark, sf):
-    return respond.call_summary(respond.replies(_decisions(spark, sf)))
+    return respond.call_summary(respond.replies(_decisions(spark, sf, observe=True)))
