@@ -26,7 +26,7 @@ def literal(needle: str) -> str:
 
 def any_of(haystack: Column, needles: list[str]) -> Column:
     """True when any needle is a substring of the haystack (a plain column)."""
-    return reduce(lambda a, b: a | b, [F.contains(haystack, F.lit(n)) for n in needles])
+    return reduce(lambda a, b: a | b, [haystack.contains(n) for n in needles])
 
 
 def strip_space(text: Column) -> Column:

@@ -522,6 +522,18 @@ def _entry(alias: str = "d") -> str:
     )
 
 
+_RESPONSES = f"""WITH RECURSIVE {_FRAME_REPLAY},
+      en AS (SELECT d.seq, string_agg({_entry()}, ',' ORDER BY f.ordinal) AS entries FROM dec d
+        JOIN (SELECT seq, intent, ordinal, {PAYLOAD_JSON} AS pj, {_TJ} AS tj FROM fi) f ON f.seq = d.seq AND f.intent = d.intent
+        WHERE d.kind = 'message' GROUP BY 1),
+      fm AS ({_MONEY_ROW})
+      SELECT m.seq, regexp_replace(m.value, '\\}}\\s*$', '') || ',"venmo_detection":{{"is_money":' || is_money || ',"confidence":' || confidence
+        || ',"trigger_type":' || {_js('trigger_type')} || ',"direction":' || {_js('direction')} || ',"detected_amount":' || {_js('detected_amount')}
+        || ',"should_popup":' || should_popup || ',"suppressed_reason":' || {_js('suppressed_reason')}
+        || ',"cooldown_remaining_seconds":' || cooldown_remaining_seconds || ',"chat_state":"' || chat_state || '","latency_ms":null}},"intents":['
+        || coalesce(entries, '') || ']}}' AS response
+      FROM fm JOIN m ON m.seq = fm.seq LEFT JOIN en ON en.seq = m.seq"""
+
 ORACLE: dict[str, str] = {
     "trigger_totals": f"""{_F} SELECT trigger_type, direction, count(*) AS n, count(amount) AS with_amount,
       round(sum(CAST(nullif(regexp_replace(amount, '[^0-9.]', '', 'g'), '') AS DOUBLE)), 2) AS total
@@ -600,19 +612,10 @@ ORACLE: dict[str, str] = {
       CASE WHEN json_valid(value) THEN value ->> '$.sender' END AS sender, CAST(NULL AS VARCHAR) AS message_id,
       CASE WHEN NOT json_valid(value) THEN 'invalid JSON' WHEN NOT regexp_matches(coalesce(value ->> '$.text', ''), '\\S') THEN 'text required' END AS error
       FROM ({_FRAMES}) f""",
-    "frame_responses": f"""WITH RECURSIVE {_FRAME_REPLAY},
-      en AS (SELECT d.seq, string_agg({_entry()}, ',' ORDER BY f.ordinal) AS entries FROM dec d
-        JOIN (SELECT seq, intent, ordinal, {PAYLOAD_JSON} AS pj, {_TJ} AS tj FROM fi) f ON f.seq = d.seq AND f.intent = d.intent
-        WHERE d.kind = 'message' GROUP BY 1),
-      fm AS ({_MONEY_ROW})
-      SELECT m.seq, regexp_replace(m.value, '\\}}\\s*$', '') || ',"venmo_detection":{{"is_money":' || is_money || ',"confidence":' || confidence
-        || ',"trigger_type":' || {_js('trigger_type')} || ',"direction":' || {_js('direction')} || ',"detected_amount":' || {_js('detected_amount')}
-        || ',"should_popup":' || should_popup || ',"suppressed_reason":' || {_js('suppressed_reason')}
-        || ',"cooldown_remaining_seconds":' || cooldown_remaining_seconds || ',"chat_state":"' || chat_state || '","latency_ms":null}},"intents":['
-        || coalesce(entries, '') || ']}}' AS response
-      FROM fm JOIN m ON m.seq = fm.seq LEFT JOIN en ON en.seq = m.seq
+    "frame_responses": f"""{_RESPONSES}
       UNION ALL SELECT seq, CASE WHEN NOT json_valid(value) THEN '{{"error":"invalid JSON"}}' ELSE '{{"error":"text required"}}' END
       FROM ({_FRAMES}) f WHERE NOT json_valid(value) OR NOT regexp_matches(coalesce(value ->> '$.text', ''), '\\S')""",
+    "stream_responses": _RESPONSES,
     "stream_decisions": f"{_R} SELECT {_DEC}, false AS late FROM dec",
     "stream_metrics": f"""{_R} SELECT strftime(ts, '%Y-%m-%d') AS window_start, intent, count(*) AS detected,
       count(*) FILTER (should_popup AND chat_state <> 'untracked') AS popups_fired, count(*) FILTER (NOT should_popup) AS popups_suppressed

@@ -408,6 +408,19 @@ def stream_metrics(spark, sf):
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "intent", "c.*")
 
 
+@query
+def stream_responses(spark, sf):
+    """Frames in, response texts out, all as streams."""
+    frames = _arriving(spark, _frames(spark, sf))
+    good = S.good_frames(S.parse_frames(frames))
+    out = scratch_path(spark, "responses")
+    decided = ST.enrich_stream(good, None, D.PARAMS, keep=[*pipeline.CARRIED, "value"])
+    ST.start_responses(
+        decided, out, scratch_path(spark, "progress"), keep=[], raw="value", available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(out).select("seq", "response")
+
+
 # -- evaluation --------------------------------------------------------------------------------
 
 def _multi(spark, sf):

@@ -11,7 +11,7 @@ counted in the query's progress.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from chatsift.config import MESSAGE, OBSERVE, PolicyParams
 from chatsift.operators.decision import Tracker, advance, alive
+from chatsift.operators.enrich import fired_intents
+from chatsift.operators.policy import policy_events
+from chatsift.operators.respond import frame_response, replies
+from chatsift.plans.pipeline import CARRIED
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -151,6 +155,19 @@ def decide_stream(events: DataFrame, params: PolicyParams = PolicyParams(), wate
     return tracked.unionByName(untracked)
 
 
+def enrich_stream(
+    messages: DataFrame,
+    controls: DataFrame | None = None,
+    params: PolicyParams = PolicyParams(),
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    keep: list[str] | None = None,
+    watermark: str = "10 minutes",
+) -> DataFrame:
+    """End to end on streams: the batch enrichment up to the stateful step."""
+    fired = fired_intents(messages, params, scorer, keep="money")
+    return decide_stream(policy_events(fired, controls, CARRIED if keep is None else keep), params, watermark)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state with timers needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -170,6 +187,30 @@ def start_decisions(
     return writer.start()
 
 
+def start_responses(
+    decisions: DataFrame, path: str, checkpoint: str, keep: list[str] = ("message_id", "sender"),
+    raw: str | None = None, available_now: bool = False,
+) -> StreamingQuery:
+    """Append one reply per message, as nested rows or, with ``raw`` naming the
+    column of the input frames, as response text.
+
+    All decisions of a message come from one input row and so share a
+    micro-batch: replies are put together per micro-batch, without more state.
+    """
+    use_rocksdb(decisions.sparkSession)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        out = replies(batch, [*keep, raw] if raw else list(keep))
+        if raw:
+            out = out.select("seq", frame_response(F.col(raw), F.col("intents")).alias("response"))
+        out.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def start_frame_split(parsed: DataFrame, good: str, bad: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Split parsed frames: good ones to a table, rejected ones to a dead-letter table."""
 
