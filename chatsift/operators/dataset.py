@@ -177,31 +177,37 @@ def split_exact(rows: DataFrame, seed: int, id_col: str = "id", digits: int = 4)
     """Exact 80/10/10 split by position in the seeded order.
 
     The order is cut into 16^digits ranges by the leading hash digits. Counting
-    them tells the split of every range except the two that hold a border; only
-    rows of those two are ranked, so nothing else is sorted or shuffled.
+    them shows which range holds each border; ranking that one range gives the
+    border's exact place. All rows are then compared with the two borders, so
+    the rows themselves are neither sorted nor shuffled.
     """
-    keyed = rows.withColumn("_h", shuffle_key(F.col(id_col), seed)).withColumn("_b", F.left("_h", F.lit(digits)))
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
-    # at most 16^digits rows from here on
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
-    ranges = counts.select(
-        "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_first"),
-        (F.sum("_c").over(upto) - 1).alias("_last"), F.sum("_c").over(everything).alias("_n"),
-    )
-
-    def side(position: Column) -> Column:
-        ratio = position / F.col("_n")
-        return F.when(ratio < 0.80, "train").when(ratio < 0.90, "val").otherwise("test")
-
-    whole = F.when(side(F.col("_first")) == side(F.col("_last")), side(F.col("_first")))
-    placed = keyed.drop("split").join(
-        F.broadcast(ranges.select("_b", "_first", "_n", whole.alias("split"))), "_b"
-    )
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1
-    border = placed.where(F.col("split").isNull()).withColumn("split", side(F.col("_first") + rank))
-    done = placed.where(F.col("split").isNotNull())
-    return done.unionByName(border).drop("_h", "_b", "_first", "_n")
+    place = F.struct(shuffle_key(F.col(id_col), seed).alias("h"), F.col(id_col).alias("i"))
+    keys = rows.select(place.alias("at")).withColumn("b", F.left("at.h", F.lit(digits)))
+    # at most 16^digits rows
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = keys.groupBy("b").agg(F.count("*").alias("c")).select(
+        "b", (F.sum("c").over(upto) - F.col("c")).alias("first"), (F.sum("c").over(upto) - 1).alias("last"),
+        F.sum("c").over(Window.partitionBy()).alias("n"),
+    )
+    shares = {"val": 0.80, "test": 0.90}
+    reached = ranges.groupBy().agg(*[
+        F.min(F.when(F.col("last") / F.col("n") >= s, F.struct("b", "first", "n"))).alias(k)
+        for k, s in shares.items()
+    ])
+    holders = reached.select(F.explode(F.array_distinct(F.array("val", "test"))).alias("r")).select("r.*")
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("at")) - 1
+    ranked = keys.join(F.broadcast(holders), "b").withColumn("ratio", (F.col("first") + rank) / F.col("n"))
+    one = F.lit(1).alias("_one")
+    borders = ranked.agg(*[
+        F.min(F.when(F.col("ratio") >= s, F.col("at"))).alias(f"_{k}") for k, s in shares.items()
+    ]).select(one, "_val", "_test")
+    side = (
+        F.when(F.col("_val").isNull() | (F.col("_at") < F.col("_val")), "train")
+        .when(F.col("_test").isNull() | (F.col("_at") < F.col("_test")), "val").otherwise("test")
+    )
+    # `borders` is one row
+    placed = rows.drop("split").select("*", place.alias("_at"), one).join(F.broadcast(borders), "_one")
+    return placed.withColumn("split", side).drop("_at", "_one", "_val", "_test")
 
 
 def split_quick(rows: DataFrame, seed: int, id_col: str = "id") -> DataFrame:

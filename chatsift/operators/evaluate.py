@@ -69,20 +69,33 @@ def _prf(tp: Column, predicted: Column, support: Column) -> dict[str, Column]:
     }
 
 
+def _points(long: DataFrame) -> DataFrame:
+    """Cells counted per (intent, probability): all that the metrics below need."""
+    return long.groupBy("intent", "prob").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
+    )
+
+
+def _auc() -> Column:
+    # each positive beats the negatives below it and half of those tied with it
+    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    return _ratio(wins, F.sum("pos") * F.sum("neg"))
+
+
 def per_intent_report(rows: DataFrame, names: list[str] = INTENTS, threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1, AUC and support per intent; zeros without support."""
-    long = cells(rows, names, threshold)
-    counts = long.groupBy("intent").agg(
-        F.count_if((F.col("label") == 1) & (F.col("pred") == 1)).alias("tp"),
-        F.count_if(F.col("pred") == 1).alias("predicted"),
-        F.count_if(F.col("label") == 1).alias("support"),
+    ranked = running_sum(_points(cells(rows, names, threshold)), "intent", "prob", "neg", "below")
+    hit = F.col("prob") >= threshold
+    counts = ranked.groupBy("intent").agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, F.col("pos") + F.col("neg")).otherwise(0)).alias("predicted"),
+        F.sum("pos").alias("support"), _auc().alias("auc"),
     )
     ratios = _prf(F.col("tp"), F.col("predicted"), F.col("support"))
     has = F.col("support") > 0
-    scored = counts.select(
-        "intent", "support", *[F.when(has, c).otherwise(0.0).alias(n) for n, c in ratios.items()]
+    return counts.select(
+        "intent", *[F.when(has, c).otherwise(0.0).alias(n) for n, c in ratios.items()], "auc", "support"
     )
-    return scored.join(roc_auc(long), "intent").select("intent", "precision", "recall", "f1", "auc", "support")
 
 
 def roc_auc(long: DataFrame) -> DataFrame:
@@ -92,14 +105,8 @@ def roc_auc(long: DataFrame) -> DataFrame:
     walks distinct probabilities only; if even those are too many for one
     window task, range-partitioned chunks carry the count (see ``running_sum``).
     """
-    points = long.groupBy("intent", "prob").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    )
-    ranked = running_sum(points, "intent", "prob", "neg", "below")
-    # each positive beats the negatives below it and half of those tied with it
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    total = F.sum("pos") * F.sum("neg")
-    return ranked.groupBy("intent").agg(_ratio(wins, total).alias("auc"))
+    ranked = running_sum(_points(long), "intent", "prob", "neg", "below")
+    return ranked.groupBy("intent").agg(_auc().alias("auc"))
 
 
 def running_sum(

@@ -166,9 +166,11 @@ def _fold_hot(rows: DataFrame, params: PolicyParams, chunks: int) -> DataFrame:
     spark = rows.sparkSession
     shared_dir(spark)
     chunks = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # checkpoint: range bounds come from sampling, so the cut must be kept
+    # first checkpoint: finding range bounds reads the rows once more, and that
+    # must not repeat the extraction; second: the bounds come from sampling, so
+    # the cut itself must be kept
     staged = (
-        rows.repartitionByRange(chunks, *ORDER).sortWithinPartitions(*ORDER)
+        rows.checkpoint().repartitionByRange(chunks, *ORDER).sortWithinPartitions(*ORDER)
         .withColumn("_chunk", F.spark_partition_id()).checkpoint()
     )
     entries = _entry_trackers(staged, params)
