@@ -51,7 +51,8 @@ def with_payload(df: DataFrame) -> DataFrame:
         "_contact": only("contact", "text"), "_calendar": only("calendar", "text"),
         "_maps": X.strip_space(only("maps", "text")),
     })
-    df = df.withColumn("_money_low", F.lower("_money"))
+    low = c("_low") if "_low" in df.columns else F.lower("text")
+    df = df.withColumn("_money_low", F.when(c("_money").isNotNull(), low))
     is_money, is_calendar = c("_money").isNotNull(), c("_calendar").isNotNull()
     fields = {
         "amount": X.extract_amount(c("_money")),

@@ -60,8 +60,10 @@ def with_targeting(df: DataFrame, when: Column) -> DataFrame:
     pattern is evaluated twice inside a conditional branch.
     """
     df = df.withColumn("_aimed", F.when(when, F.col("text")))
-    df = df.withColumns({"_who": addressee(F.col("_aimed")), "_aimed_low": F.lower("_aimed")})
-    who = targeting(F.col("_aimed"), F.col("sender"), F.col("_aimed_low"), F.col("_who"))
-    return df.withColumn("targeting", F.when(F.col("_aimed").isNotNull(), who)).drop(
-        "_aimed", "_aimed_low", "_who"
-    )
+    low = F.col("_low") if "_low" in df.columns else None
+    df = df.withColumn("_who", addressee(F.col("_aimed")))
+    if low is None:
+        df = df.withColumn("_low", F.lower("_aimed"))
+    who = targeting(F.col("_aimed"), F.col("sender"), F.col("_low"), F.col("_who"))
+    df = df.withColumn("targeting", F.when(F.col("_aimed").isNotNull(), who)).drop("_aimed", "_who")
+    return df if low is not None else df.drop("_low")

@@ -47,8 +47,13 @@ def with_scores(messages: DataFrame, scorer: Callable[[DataFrame], DataFrame] |
     return low.withColumn("scores", scoring.keyword_scores(F.col("text"), F.col("_low")))
 
 
-def explode_scores(scored: DataFrame) -> DataFrame:
-    """One row per message and intent: ``intent``, ``ordinal``, ``confidence``."""
+def explode_scores(scored: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row per message and intent: ``intent``, ``ordinal``, ``confidence``.
+
+    ``keep`` picks the cells to emit. It acts inside the array: a filter on
+    exploded rows would make five rows of each message first, and one on the
+    scores would be pushed below them and compute them twice.
+    """
     cells = F.array(*[
         F.struct(
             F.lit(name).alias("intent"), F.lit(i).alias("ordinal"),
@@ -56,7 +61,10 @@ def explode_scores(scored: DataFrame) -> DataFrame:
         )
         for i, name in enumerate(INTENTS)
     ])
-    return scored.select("*", F.inline(cells))
+    if keep is None:
+        return scored.select("*", F.inline(cells))
+    # outer: Spark derives no filter from it that would repeat the scoring
+    return scored.select("*", F.inline_outer(F.filter(cells, keep))).where(F.col("intent").isNotNull())
 
 
 def fired_intents(
@@ -71,24 +79,21 @@ def fired_intents(
     stays below the threshold (``fired`` false); replies need the money state
     at that moment.
     """
+
+    def wanted(cell: Column) -> Column:
+        fired = cell["confidence"] >= params.threshold
+        return fired | (cell["intent"] == "money") if keep == "money" else fired
+
     scored = with_scores(accept_messages(messages), scorer)
-    alarm, calendar = INTENTS.index("alarm"), INTENTS.index("calendar")
-    needs_time = (F.get("scores", F.lit(alarm)) >= params.threshold) | (
-        F.get("scores", F.lit(calendar)) >= params.threshold
+    cells = explode_scores(scored, wanted).drop("scores")
+    cells = cells.withColumn("fired", F.col("confidence") >= params.threshold)
+    timed = with_time_phrase(
+        cells, "text", "ts", when=F.col("fired") & F.col("intent").isin("alarm", "calendar")
     )
-    # shared by all intents of a message, hence before the explode
-    timed = with_time_phrase(scored, "text", "ts", when=needs_time)
-    aimed = targeting.with_targeting(timed, when=F.array_max("scores") >= params.threshold)
-    cells = explode_scores(aimed).withColumn("fired", F.col("confidence") >= params.threshold)
-    wanted = F.col("fired")
-    if keep == "money":
-        wanted = wanted | (F.col("intent") == "money")
-    out = P.with_payload(cells.where(wanted))
-    if keep == "money":
-        out = out.withColumn("targeting", F.when(F.col("fired"), F.col("targeting")))
-    else:
+    out = P.with_payload(targeting.with_targeting(timed, when=F.col("fired")))
+    if keep != "money":
         out = out.drop("fired")
-    return out.drop("scores", "_low", "time_iso", "time_phrase")
+    return out.drop("_low", "time_iso", "time_phrase")
 
 
 def keyed_controls(controls: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from chatsift.operators import dataset as DS
 from chatsift.operators import enrich, evaluate, learn, metrics, respond, state
 from chatsift.operators.policy import policy_events
 from chatsift.plans import derived as D
-from chatsift.plans import pipeline
+from chatsift.plans import end_to_end
 from chatsift.plans.session import tune
 from chatsift.sources import messages as S
 from chatsift.streaming import decide as ST
@@ -43,7 +43,7 @@ def _fired(spark, sf):
 
 
 def _decisions(spark, sf, observe=False, **kw):
-    return pipeline.enrich_and_decide(D.messages(spark, sf), D.controls(spark, sf), D.PARAMS, observe=observe, **kw)
+    return end_to_end.enrich_and_decide(D.messages(spark, sf), D.controls(spark, sf), D.PARAMS, observe=observe, **kw)
 
 
 # -- extractors -------------------------------------------------------------------------
@@ -231,7 +231,7 @@ def hot_chat_decisions(spark, sf):
 @query
 def default_window_decisions(spark, sf):
     """The default windows, messages only."""
-    d = pipeline.enrich_and_decide(D.messages(spark, sf), None, PolicyParams(), keep=[], observe=False)
+    d = end_to_end.enrich_and_decide(D.messages(spark, sf), None, PolicyParams(), keep=[], observe=False)
     return d.select("seq", "intent", "should_popup", "suppressed_reason", "cooldown_remaining_seconds", "popup_count")
 
 
@@ -348,7 +348,7 @@ def frame_responses(spark, sf):
     """The full response text of every good frame, and the error frame of the others."""
     parsed = S.parse_frames(_frames(spark, sf))
     good = S.good_frames(parsed)
-    d = pipeline.enrich_and_decide(good, None, D.PARAMS, keep=[*pipeline.CARRIED, "value"])
+    d = end_to_end.enrich_and_decide(good, None, D.PARAMS, keep=[*end_to_end.CARRIED, "value"])
     r = respond.replies(d, keep=["value"])
     out = r.select("seq", respond.frame_response(F.col("value"), F.col("intents")).alias("response"))
     bad = parsed.where("error IS NOT NULL").select("seq", F.to_json(F.struct("error")).alias("response"))
@@ -414,7 +414,7 @@ def stream_responses(spark, sf):
     frames = _arriving(spark, _frames(spark, sf))
     good = S.good_frames(S.parse_frames(frames))
     out = scratch_path(spark, "responses")
-    decided = ST.enrich_stream(good, None, D.PARAMS, keep=[*pipeline.CARRIED, "value"])
+    decided = ST.enrich_stream(good, None, D.PARAMS, keep=[*end_to_end.CARRIED, "value"])
     ST.start_responses(
         decided, out, scratch_path(spark, "progress"), keep=[], raw="value", available_now=True
     ).awaitTermination()

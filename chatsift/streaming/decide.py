@@ -23,7 +23,7 @@ from chatsift.operators.decision import Tracker, advance, alive
 from chatsift.operators.enrich import fired_intents
 from chatsift.operators.policy import policy_events
 from chatsift.operators.respond import frame_response, replies
-from chatsift.plans.pipeline import CARRIED
+from chatsift.plans.end_to_end import CARRIED
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

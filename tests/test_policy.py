@@ -36,7 +36,7 @@ def histories(seed, chats, length, kinds=KINDS, amounts=(None, "$1", "$2"), hot=
 
 
 def retell(rows):
-    """One event after the other, with a dictionary as the reference keeps it."""
+    """One event after the other, with a dictionary of trackers."""
     trackers, out = {}, []
     for chat, intent, ts, seq, kind, key, _, _ in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
         now, k = (ts - BASE).total_seconds(), (chat, intent)

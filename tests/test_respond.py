@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatsift.config import MESSAGES_SCHEMA
 from chatsift.functions import links as L
 from chatsift.operators import enrich, respond
-from chatsift.plans.pipeline import enrich_and_decide
+from chatsift.plans.end_to_end import enrich_and_decide
 from chatsift.sources import messages as S
 
 START = datetime.datetime(2024, 1, 3, 10, 0, 0)

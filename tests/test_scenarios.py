@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatsift.config import CONTROLS_SCHEMA, MESSAGES_SCHEMA, PolicyParams
 from chatsift.operators import enrich, metrics, respond, state
-from chatsift.plans.pipeline import enrich_and_decide
+from chatsift.plans.end_to_end import enrich_and_decide
 
 START = datetime.datetime(2024, 1, 3, 10, 0, 0)
 OWE = "you owe me $40"
