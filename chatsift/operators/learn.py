@@ -44,19 +44,29 @@ class LearnedScorer:
         return cls(PipelineModel.load(f"{path}/features"), heads)
 
 
-def train(examples: DataFrame, features: int = 1 << 16, reg: float = 0.001, max_iter: int = 20) -> LearnedScorer:
-    """One logistic regression per intent on TF-IDF words."""
+def fit_features(examples: DataFrame, features: int = 1 << 16) -> PipelineModel:
+    """TF-IDF words."""
     words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\w$+']+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features)
     idf = IDF(inputCol="_counts", outputCol="_features")
-    model = Pipeline(stages=[words, counts, idf]).fit(examples)
-    ready = model.transform(examples).select("_features", "labels").persist()
-    heads = {
+    return Pipeline(stages=[words, counts, idf]).fit(examples)
+
+
+def fit_heads(ready: DataFrame, reg: float = 0.001, max_iter: int = 20) -> dict[str, LogisticRegressionModel]:
+    """One logistic regression per intent on rows of (_features, labels)."""
+    return {
         i: LogisticRegression(
             featuresCol="_features", labelCol="_y", regParam=reg, maxIter=max_iter
         ).fit(ready.withColumn("_y", F.col(f"labels.{i}").cast("double")))
         for i in INTENTS
     }
+
+
+def train(examples: DataFrame, features: int = 1 << 16, reg: float = 0.001, max_iter: int = 20) -> LearnedScorer:
+    """Five independent heads on shared word features."""
+    model = fit_features(examples, features)
+    ready = model.transform(examples).select("_features", "labels").persist()
+    heads = fit_heads(ready, reg, max_iter)
     ready.unpersist()
     return LearnedScorer(model, heads)
 
@@ -69,15 +79,20 @@ def eval_rows(scorer: LearnedScorer, examples: DataFrame) -> DataFrame:
     ).drop("scores")
 
 
-def search(train_set: DataFrame, val_set: DataFrame, regs: Iterable[float]) -> tuple[LearnedScorer, DataFrame]:
+def search(
+    train_set: DataFrame, val_set: DataFrame, regs: Iterable[float], features: int = 1 << 16, max_iter: int = 20
+) -> tuple[LearnedScorer, DataFrame]:
     """Train one scorer per strength, keep the first with the best Hamming accuracy."""
     spark = train_set.sparkSession
+    model = fit_features(train_set, features)
+    ready = model.transform(train_set).select("_features", "labels").persist()
     scorers, lines = [], []
     for n, reg in enumerate(regs, 1):
-        scorer = train(train_set, reg=reg)
+        scorer = LearnedScorer(model, fit_heads(ready, reg, max_iter))
         seen, held = (summary(eval_rows(scorer, part)).first() for part in (train_set, val_set))
         scorers.append(scorer)
         lines.append((n, seen["loss"], held["loss"], held["exact_match"], held["hamming"]))
+    ready.unpersist()
     history = spark.createDataFrame(
         lines, "candidate int, train_loss double, val_loss double, val_exact_match double, val_hamming double"
     )

@@ -513,8 +513,11 @@ def learned_scorer(spark, sf):
     scored = enrich.with_scores(_accepted(spark, sf)).select("seq", "text", "scores")
     flags = {i: (F.get("scores", F.lit(n)) >= 0.5).cast("int") for n, i in enumerate(INTENTS)}
     rows = DS.split_exact(scored.select(F.col("seq").alias("id"), "text", DS.labels_struct(flags).alias("labels")), SEED)
+    path = scratch_path(spark, "examples")  # every training step reads them again
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
     parts = {s: rows.where(F.col("split") == s) for s in ("train", "val", "test")}
-    scorer, _ = learn.search(parts["train"], parts["val"], [0.1, 0.001])
+    scorer, _ = learn.search(parts["train"], parts["val"], [0.1, 0.001], features=1 << 12, max_iter=6)
     return evaluate.per_intent_report(learn.eval_rows(scorer, parts["test"]))
 
 
