@@ -145,3 +145,20 @@ def test_late_rows_are_reported_and_change_nothing(streamed):
     _, got = streamed
     late = [r for r in got if r["late"]]
     assert [r["seq"] for r in late] == [-1] and late[0]["should_popup"] is None
+
+
+def test_idle_trackers_leave_the_stream_state(spark, tmp_path):
+    """Once the watermark has passed a tracker's eviction, its state is gone."""
+    hours = [("idle", 0), ("busy", 2), ("busy", 2.1), ("busy", 2.2)]
+    for seq, (chat, h) in enumerate(hours):
+        row = (chat, "money", BASE + datetime.timedelta(hours=h), seq, "message", None, None, None)
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    ST.start_decisions(
+        ST.decide_stream(events, P, "1 second"), f"{tmp_path}/out", f"{tmp_path}/progress", available_now=True
+    ).awaitTermination()
+    kept = (
+        spark.read.format("statestore").option("stateVarName", "tracker").load(f"{tmp_path}/progress")
+    )
+    assert {r["key"]["chat_id"] for r in kept.select("key").collect()} == {"busy"}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
