@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from chatsift.llm import tokenfile, warc
+from chatsift.llm import sentencepiece, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_token_files": tokenfile.op2_token_files,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_sentencepiece": sentencepiece.op4_sentencepiece,
 }
 
 ORACLE = {

@@ -139,7 +139,7 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         words = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         self.memo.trim()
-        new = list(set().union(*words) - self.memo.keys())
+        new = [w for w in set().union(*words) if w not in self.memo]
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.memo[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = self.memo.__getitem__
