@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from chatsift.llm import sentencepiece, tokenfile, toxicity, warc
+from chatsift.llm import decontam, sentencepiece, sharding, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_token_files": tokenfile.op2_token_files,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": sentencepiece.op4_sentencepiece,
+    "op5_decontaminate": decontam.op5_decontaminate,
+    "op7_sharding": sharding.op7_sharding,
 }
 
 ORACLE = {
+    "op5_decontaminate": decontam.OP5_SQL,
     "op1_warc": warc.OP1_SQL,
 }
