@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatsift.llm import decontam, sentencepiece, sharding, tokenfile, toxicity, warc
+from chatsift.llm import decontam, jaccard, sentencepiece, sharding, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": sentencepiece.op4_sentencepiece,
     "op5_decontaminate": decontam.op5_decontaminate,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_sharding": sharding.op7_sharding,
 }
 
 ORACLE = {
     "op5_decontaminate": decontam.OP5_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
     "op1_warc": warc.OP1_SQL,
 }
