@@ -172,41 +172,51 @@ def nodes(docs: DataFrame, profile: DataFrame, counts) -> DataFrame:
     return staged(ordered.select(F.monotonically_increasing_id().alias("node"), "rep", "key", "n", "prefix"), "nodes")
 
 
-def wanted_sets(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the nodes in pairs (a, b): a table of bits keeps other rows out before any set is made."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = nodes_.select("node", "rep", "key", "n").join(ends, "node")
-    asked = staged(asked, "asked")
+def bit_table(nodes_: DataFrame, ends: DataFrame):
+    """Broadcast bits (BITS of them, whatever the input) of the ids of some nodes."""
     bit = F.pmod(F.xxhash64(F.coalesce(F.col("rep"), F.lit(-1))), F.lit(BITS)) + 1  # bits count from 1
     maps = (
-        asked.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
+        nodes_.join(ends, "node").select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
-    )  # BITS bits at most
+    )
     table = np.zeros(BITS // 8, np.uint8)
     for r in maps:
         table[(r.bucket - 1) * 4096: r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    return nodes_.sparkSession.sparkContext.broadcast(table)
+
+
+def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, text, left, right) of classes in pairs (a, b): as some a, as some b.
+
+    Bit tables keep other rows out before any set is made; the few that pass by
+    chance and copies of a row from different tasks meet no pair or repeat one.
+    """
+    tables = [bit_table(nodes_, pairs.select(F.col(c).alias("node")).distinct()) for c in "ab"]
 
     def run(batches):
-        memo, bits = Words(400_000), shared.value
+        memo, seen = Words(400_000), Bounded(100_000)
+        left, right = (t.value for t in tables)
         for batch in batches:
-            b = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((bits[b // 8] >> (b % 8) & 1).astype(bool)))
-            for part in parts([batch], 1):
-                found = [(i, key(s), s.tobytes()) for i, s in zip(part.column(0).to_pylist(), sets(part.column(1).to_pylist(), memo)) if len(s)]
-                if found:
-                    uid, k, s = zip(*found)
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            flags = [(t[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool) for t in (left, right)]
+            batch = pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, flags)], ["text", "left", "right"])
+            for part in parts([batch.filter(pa.array(flags[0] | flags[1]))], 0):
+                seen.trim()
+                rows = []
+                for t, x, y, s in zip(*(c.to_pylist() for c in part.columns), sets(part.column(0).to_pylist(), memo)):
+                    k = key(s)
+                    if len(s) and k not in seen:
+                        seen[k] = True
+                        rows.append((k, t, x, y))
+                if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(uid, pa.int64()), pa.array(k, pa.binary()), pa.array(s, pa.binary())], ["id", "key", "shingles"]
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.bool_(), pa.bool_()))],
+                        ["key", "text", "left", "right"],
                     )
 
-    id_bit = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))), F.lit(BITS))
-    made = docs.select("id", "text", id_bit.alias("bit")).mapInArrow(run, "id long, key binary, shingles binary").alias("m")
-    return staged(
-        made.join(asked.alias("c"), (F.col("m.key") == F.col("c.key")) & F.col("m.id").eqNullSafe(F.col("c.rep")))
-        .select("node", "n", "shingles").dropDuplicates(["node"]), "sets",
-    )
+    bit = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))), F.lit(BITS))
+    rows = docs.select("id", "text", bit.alias("bit"))
+    return staged(rows.mapInArrow(run, "key binary, text binary, left boolean, right boolean"), "texts")
 
 
 def differ_at_least(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -229,49 +239,74 @@ def common(x: np.ndarray, y: np.ndarray, least: int) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verified(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, both) of pairs (a, b); both: common shingles, -1 if too few for a group."""
+def with_texts(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs with the texts of both. What travels is texts, half the size of their sets."""
+    keys = nodes_.select("node", "key")
+    named = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("key_a")), "a").join(
+        keys.select(F.col("node").alias("b"), F.col("key").alias("key_b")), "b"
+    )
+    x = texts.where("left").select(F.col("key").alias("key_a"), F.col("text").alias("x"))
+    y = texts.where("right").select(F.col("key").alias("key_b"), F.col("text").alias("y"))
+    return named.join(y, "key_b").join(x, "key_a").select("a", "b", "x", "y")
 
-    def run(batches):
-        for batch in parts(batches, -1):
-            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            got = []
-            for s, t in zip(x, y):
-                s, t = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
-                got.append(common(s, t, int(GROUP / (1 + GROUP) * (len(s) + len(t)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.int64())], ["a", "b", "n_a", "n_b", "both"])
 
-    return staged(with_sets(pairs, sets_).mapInArrow(run, "a long, b long, n_a long, n_b long, both long"), "verified")
+class Sets(Bounded):
+    """Sets of recent texts: pairs come sorted by their first text's key."""
 
+    def __init__(self, limit: int):
+        super().__init__(limit)
+        self.memo = Words(400_000)
 
-def with_sets(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
-    a = sets_.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("x"))
-    b = sets_.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "x", "y")
+    def __missing__(self, text: bytes) -> np.ndarray:
+        self[text] = s = next(sets([text], self.memo))
+        return s
 
 
-LINKED = F.expr("100 * both >= 90 * (n_a + n_b - both)")
+def both_sets(batches) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    kept, memo = Sets(20), Words(400_000)
+    for batch in parts(batches, -1):
+        kept.trim()
+        yield batch, ((kept[x], y) for x, y in zip(batch.column(2).to_pylist(), sets(batch.column(3).to_pylist(), memo)))
 
 
-def differences(groups: DataFrame, sets_: DataFrame, counts) -> DataFrame:
+def verified(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both) of pairs (a, b); both: common shingles, -1 if too few for a group."""
+
+    def run(batches):
+        for batch, couples in both_sets(batches):
+            rows = [(len(s), len(t), common(s, t, int(GROUP / (1 + GROUP) * (len(s) + len(t))))) for s, t in couples]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(c, pa.int64()) for c in zip(*rows))], ["a", "b", "n_a", "n_b", "both"]
+            )
+
+    rows = with_texts(pairs, nodes_, texts).mapInArrow(run, "a long, b long, n_a long, n_b long, both long")
+    return staged(rows, "verified").distinct()
+
+
+LINKED = "100 * both >= 90 * (n_a + n_b - both)"
+
+
+def differences(groups: DataFrame, nodes_: DataFrame, texts: DataFrame, counts) -> DataFrame:
     """(hub, node, n_hub, n, elements) per member (a: hub, b: node): what it adds, then what it lacks, each rare first."""
 
     def run(batches):
         c = counts.value
-        for batch in parts(batches, -1):
-            out = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        for batch, couples in both_sets(batches):
+            rows = []
+            for x, y in couples:
                 ordered = []
                 for d, flag in ((np.setdiff1d(y, x, True), np.uint64(0)), (np.setdiff1d(x, y, True), _TAKEN)):
                     order = np.argsort(c[(d % SLOTS).astype(np.int64)], kind="stable")
                     ordered.append(d[order] | flag)
-                out.append(np.concatenate(ordered).astype(np.int64))
+                rows.append((len(x), len(y), np.concatenate(ordered).astype(np.int64)))
+            n_hub, n, elements = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(out, pa.list_(pa.int64()))], ["hub", "node", "n_hub", "n", "elements"]
+                [*batch.columns[:2], pa.array(n_hub, pa.int64()), pa.array(n, pa.int64()), pa.array(elements, pa.list_(pa.int64()))],
+                ["hub", "node", "n_hub", "n", "elements"],
             )
 
-    return with_sets(groups, sets_).mapInArrow(run, "hub long, node long, n_hub long, n long, elements array<long>")
+    rows = with_texts(groups, nodes_, texts).mapInArrow(run, "hub long, node long, n_hub long, n long, elements array<long>")
+    return rows.dropDuplicates(["hub", "node"])
 
 
 def links(docs: DataFrame, nodes_: DataFrame, counts) -> DataFrame:
@@ -280,13 +315,14 @@ def links(docs: DataFrame, nodes_: DataFrame, counts) -> DataFrame:
     buckets = postings.groupBy("gram").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1").drop("size")
     sizes = nodes_.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
     length = "10 * least(n, n_hub) >= {0} * greatest(n, n_hub)"
+    shared = staged(postings.join(buckets, "gram"), "postings")
     hubs = (
-        postings.join(buckets, "gram").where("node <> hub").select("hub", "node", "n").distinct()
+        shared.where("node <> hub").select("hub", "node", "n").distinct()
         .join(sizes, "hub").where(length.format(int(10 * GROUP))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
     hubs = staged(hubs, "hub-pairs")
-    hub_sets = wanted_sets(docs, nodes_, hubs)
-    near = verified(hubs, hub_sets)
+    hub_texts = wanted_texts(docs, nodes_, hubs)
+    near = verified(hubs, nodes_, hub_texts)
     first = near.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = staged(components(first), "labels")
 
@@ -297,23 +333,23 @@ def links(docs: DataFrame, nodes_: DataFrame, counts) -> DataFrame:
         nodes_.select("node", "n").join(member.withColumnRenamed("b", "node"), "node", "left").join(known, "node", "left")
         .select("node", "n", F.coalesce("a", "node").alias("group"), F.coalesce("label", "node").alias("label")), "state",
     )
-    inside = within(state, known, hub_sets, counts)
-    across = between(postings, buckets, state)
+    inside = within(state, known, nodes_, hub_texts, counts)
+    across = between(shared, state)
     rest = inside.union(across).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
     rest = rest.join(hubs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     rest = staged(rest, "other-pairs")
-    more = verified(rest, wanted_sets(docs, nodes_, rest))
+    more = verified(rest, nodes_, wanted_texts(docs, nodes_, rest))
     return first.union(more.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def within(state: DataFrame, label: DataFrame, sets_: DataFrame, counts) -> DataFrame:
+def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFrame, counts) -> DataFrame:
     """Pairs of one group that may link though one of them is not connected with the hub."""
     member = state.where("node <> group").join(
         label.select(F.col("node").alias("group"), F.col("label").alias("hub_label")), "group", "left"
     ).withColumn("far", F.expr("label <> coalesce(hub_label, `group`)"))
     open_ = member.where("far").select("group").distinct()
     member = staged(member.join(open_, "group").select("group", "node", "label", "far"), "members")
-    d = differences(member.select(F.col("group").alias("a"), F.col("node").alias("b")), sets_, counts)
+    d = differences(member.select(F.col("group").alias("a"), F.col("node").alias("b")), nodes_, texts, counts)
     # Two sets link when (|dx| + |dy| - (|x| + |y|) / 19) / 2 differences are shared; each side's least value of it:
     least = F.expr(
         "if(far, greatest(1, cast(ceil((19 * size(elements) - n - n_hub) / 38.0) as int)), cast(floor(9 * size(elements) / 19.0) as int) + 1)"
@@ -326,10 +362,9 @@ def within(state: DataFrame, label: DataFrame, sets_: DataFrame, counts) -> Data
     return x.join(y, ["hub", "element"]).where("label_a <> label_b and (a < b or not far_b)").select("a", "b").distinct()
 
 
-def between(postings: DataFrame, buckets: DataFrame, state: DataFrame) -> DataFrame:
+def between(shared: DataFrame, state: DataFrame) -> DataFrame:
     """Pairs of different groups and components under one posted shingle."""
-    rows = postings.join(buckets, "gram").join(state.select("node", "group", "label"), "node")
-    rows = staged(rows.select("gram", "node", "n", "pos", "group", "label", "hub"), "postings")
+    rows = shared.join(state.select("node", "group", "label"), "node")
     home = rows.where("node = hub").select("gram", F.col("group").alias("home"))
     mixed_ = rows.groupBy("gram").agg(
         F.min("group").alias("g0"), F.max("group").alias("g1"), F.min("label").alias("l0"), F.max("label").alias("l1")
