@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatsift.llm import decontam, jaccard, sentencepiece, sharding, tokenfile, toxicity, warc
+from chatsift.llm import decontam, jaccard, pii, quality, sentencepiece, sharding, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_sharding": sharding.op7_sharding,
+    "op8_personal_data": pii.op8_personal_data,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE = {
