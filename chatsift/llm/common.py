@@ -15,7 +15,12 @@ from chatsift.config import scratch_path
 SLICE_BYTES = 2 << 20
 
 
+#: Rows of a batch between the JVM and a worker: texts can be long, and memory is shared by several workers.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

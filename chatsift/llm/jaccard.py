@@ -91,7 +91,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """One pass: (id, n, key) per row, and the partial frequency table of each task (piece, counts)."""
 
     def run(batches):
-        memo, counts = Words(400_000), np.zeros(SLOTS, np.uint32)
+        memo, counts = Words(200_000), np.zeros(SLOTS, np.uint32)
         for batch in parts(batches):
             n, k = [], []
             for s in sets(batch.column(1).to_pylist(), memo):
@@ -147,7 +147,7 @@ def nodes(docs: DataFrame, profile: DataFrame, counts) -> DataFrame:
     """A row per class: node, rep (smallest id), key, n and prefix. Small nodes are sets of common shingles."""
 
     def run(batches):
-        memo, c = Words(400_000), counts.value
+        memo, c = Words(200_000), counts.value
         for batch in parts(batches):
             rows = []
             for uid, s in zip(batch.column(0).to_pylist(), sets(batch.column(1).to_pylist(), memo)):
@@ -194,7 +194,7 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame) -> DataFr
     tables = [bit_table(nodes_, pairs.select(F.col(c).alias("node")).distinct()) for c in "ab"]
 
     def run(batches):
-        memo, seen = Words(400_000), Bounded(100_000)
+        memo, seen = Words(200_000), Bounded(100_000)
         left, right = (t.value for t in tables)
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
@@ -255,7 +255,7 @@ class Sets(Bounded):
 
     def __init__(self, limit: int):
         super().__init__(limit)
-        self.memo = Words(400_000)
+        self.memo = Words(200_000)
 
     def __missing__(self, text: bytes) -> np.ndarray:
         self[text] = s = next(sets([text], self.memo))
@@ -263,7 +263,7 @@ class Sets(Bounded):
 
 
 def both_sets(batches) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
-    kept, memo = Sets(20), Words(400_000)
+    kept, memo = Sets(20), Words(200_000)
     for batch in parts(batches, -1):
         kept.trim()
         yield batch, ((kept[x], y) for x, y in zip(batch.column(2).to_pylist(), sets(batch.column(3).to_pylist(), memo)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatsift.llm import decontam, jaccard, pii, quality, sentencepiece, sharding, tokenfile, toxicity, warc
+from chatsift.llm import decontam, jaccard, pii, quality, secrets, sentencepiece, sharding, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_personal_data": pii.op8_personal_data,
     "op9_quality": quality.op9_quality,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE = {

@@ -1,8 +1,81 @@
-"""The corpus pipeline: stages over `documents`, each written and read again before the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
 
-STAGES = []
+Each stage works on all rows its predecessor kept. All but the last return the columns
+they were given, further ones included; names may clash with an operator's own. Null
+and empty texts pass the filters. Ids are taken to be unique but for repeated rows,
+of which the second stage keeps one; rows without an id all stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatsift.llm import decontam, jaccard, pii, sentencepiece, toxicity
+from chatsift.llm.common import read, staged
+
+# The stages learn and iterate; no SQL says the same.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work over (doc_id, text, __rest), with the other columns packed away and put back in their order."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("__rest")] if others else []
+    done = work(docs.select("doc_id", F.col("text").cast("string").alias("text"), *rest))
+    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold, by a model learned from `labels`."""
+    model = toxicity.learned(docs, read(spark, sf_dir, "labels"))
+    return shielded(docs, lambda d: toxicity.score(d, model, out="__score").where(F.col("__score") < toxicity.THRESHOLD))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near copies."""
+    found = jaccard.near_duplicates(docs)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    benchmark = read(spark, sf_dir, "benchmark")
+    return shielded(docs, lambda d: decontam.contamination(d, benchmark).where("not contaminated"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their spans of personal data replaced by [KIND]; n_chars follows the text."""
+    field = pii.train(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")))
+    masked = shielded(docs, lambda d: pii.find(d, field, redact=True))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return masked
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document the ids of its pieces (unsigned 32-bit), their number and checksum, and whether they decode to the text."""
+    model = sentencepiece.shared_model(spark)
+    keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return sentencepiece.encode(docs.select(*keep, "text"), model)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("personal_data", mask_personal_data),
+    ("sentencepiece", to_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
