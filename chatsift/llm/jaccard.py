@@ -40,8 +40,9 @@ from chatsift.llm.common import Bounded, parts, partitions, read, staged
 from chatsift.llm.graph import components
 
 SHINGLE = 3
-SLOTS = 1 << 21  # of the frequency table
-PIECES = 32  # rows it travels in
+SLOTS = 1 << 23  # of the frequency table, 2 bytes each
+PIECES = 64  # rows it travels in
+MOST = 65_535
 BITS = 1 << 23  # of the table of wanted ids
 GROUP = 0.7  # similarity to a hub from which a set belongs to its group
 
@@ -91,11 +92,12 @@ def profiles(docs: DataFrame) -> DataFrame:
     """One pass: (id, n, key) per row, and the partial frequency table of each task (piece, counts)."""
 
     def run(batches):
-        memo, counts = Words(200_000), np.zeros(SLOTS, np.uint32)
+        memo, counts = Words(200_000), np.zeros(SLOTS, np.uint16)
         for batch in parts(batches):
             n, k = [], []
             for s in sets(batch.column(1).to_pylist(), memo):
-                np.add.at(counts, (s % SLOTS).astype(np.int64), 1)
+                at = (s % SLOTS).astype(np.int64)
+                counts[at] += counts[at] < MOST  # of one text's shingles in a slot one counts
                 n.append(len(s))
                 k.append(key(s))
             none = pa.nulls(len(n))
@@ -122,19 +124,19 @@ def frequencies(profile: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[p] = total.get(p, 0) + np.frombuffer(zlib.decompress(c), "<u4").astype(np.uint64)
+                total[p] = total.get(p, 0) + np.frombuffer(zlib.decompress(c), "<u2").astype(np.uint64)
         for p, c in total.items():
-            c = np.minimum(c, 2**32 - 1).astype("<u4").tobytes()
+            c = zlib.compress(np.minimum(c, MOST).astype("<u2").tobytes(), 1)
             yield pa.RecordBatch.from_pydict({"piece": pa.array([p], pa.int32()), "counts": pa.array([c], pa.binary())})
 
     rows = (
         profile.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece")
         .mapInArrow(add, "piece int, counts binary").collect()
     )
-    out = np.zeros(SLOTS, np.uint32)
+    out = np.zeros(SLOTS, np.uint16)
     size = SLOTS // PIECES
     for r in rows:
-        out[r.piece * size: (r.piece + 1) * size] = np.frombuffer(r.counts, "<u4")
+        out[r.piece * size: (r.piece + 1) * size] = np.frombuffer(zlib.decompress(r.counts), "<u2")
     return out
 
 
@@ -154,7 +156,7 @@ def nodes(docs: DataFrame, profile: DataFrame, counts) -> DataFrame:
                 if len(s):
                     f = c[(s % SLOTS).astype(np.int64)]
                     order = np.argsort(f, kind="stable")[: len(s) - least_common(len(s)) + 1]
-                    rows.append((uid, key(s), float((1 / np.maximum(f, 1)).mean()), s[order].astype(np.int64)))
+                    rows.append((uid, key(s), float((1 / np.maximum(f, 1, dtype=float)).mean()), s[order].astype(np.int64)))
             if rows:
                 uid, k, odd, prefix = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -336,7 +338,6 @@ def links(docs: DataFrame, nodes_: DataFrame, counts) -> DataFrame:
     inside = within(state, known, nodes_, hub_texts, counts)
     across = between(shared, state)
     rest = inside.union(across).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.join(hubs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     rest = staged(rest, "other-pairs")
     more = verified(rest, nodes_, wanted_texts(docs, nodes_, rest))
     return first.union(more.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -356,10 +357,16 @@ def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFra
     )
     rows = d.join(member.select(F.col("group").alias("hub"), "node", "label", "far"), ["hub", "node"])
     prefix = F.expr("slice(elements, 1, greatest(0, size(elements) - least + 1))")
-    rows = staged(rows.withColumn("least", least).select("hub", "node", "label", "far", F.explode(prefix).alias("element")), "differences")
-    x = rows.where("far").select("hub", "element", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    y = rows.select("hub", "element", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("far").alias("far_b"))
-    return x.join(y, ["hub", "element"]).where("label_a <> label_b and (a < b or not far_b)").select("a", "b").distinct()
+    rows = staged(rows.withColumn("least", least).select(
+        "hub", "node", "label", "far", "n", F.size("elements").alias("d"), F.posexplode(prefix).alias("pos", "element")
+    ), "differences")
+    side = lambda r, s: r.select("hub", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "far", "n", "d", "pos")])
+    pairs = side(rows.where("far"), "a").join(side(rows, "b"), ["hub", "element"]).where(
+        "label_a <> label_b and (node_a < node_b or not far_b)"
+        # the first difference in common leaves room for the others
+        " and 38 * least(d_a - pos_a, d_b - pos_b) >= 19 * (d_a + d_b) - n_a - n_b"
+    )
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def between(shared: DataFrame, state: DataFrame) -> DataFrame:
@@ -377,7 +384,7 @@ def between(shared: DataFrame, state: DataFrame) -> DataFrame:
         " and 10 * least(n_a, n_b) >= 9 * greatest(n_a, n_b)"
         " and 19 * least(n_a - pos_a, n_b - pos_b) >= 9 * (n_a + n_b)"
     )
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
