@@ -179,10 +179,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[list[list[int]], list[int], list, list]], steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Field:
-    """Documents as (clues, labels, chain, skip): softmax weights by Adam, tables from label pairs."""
+def fit(rows: list[tuple[list[list[int]], list[int], list, list]], steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Field:
+    """Documents as (clues, labels, chain, skip): softmax weights by Adam, chain and skip tables from label pairs."""
     w = np.zeros((SLOTS, NONE + 1))
-    tables = []
     x = np.array([c for r in rows for c in r[0]], np.int64)
     y = np.array([k for r in rows for k in r[1]], np.int64)
     if len(y):
@@ -197,17 +196,19 @@ def fit(rows: list[tuple[list[list[int]], list[int], list, list]], steps: int =
             small -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[used] = small
     share = (np.bincount(y, minlength=NONE + 1) + 1) / (len(y) + NONE + 1)
-    for at, strength in ((2, 1.0), (3, 5.0)):
-        pairs = np.zeros((NONE + 1, NONE + 1))
-        for r in rows:
-            for i, j in r[at]:
-                pairs[r[1][i], r[1][j]] += 1
-        pairs = pairs + pairs.T
-        expected = np.outer(share, share) * max(pairs.sum(), 1)
-        prior = np.full((NONE + 1, NONE + 1), 1.0) if at == 2 else np.eye(NONE + 1) * strength + 0.2  # same keys: same label, before any pair is seen
-        ratio = (pairs + prior) / (expected + prior.mean())
-        tables.append(np.clip(np.log(ratio), -4, 4) * (0.5 if at == 2 else 1.0))
-    return Field(w, *tables)
+    pairs = np.ones((NONE + 1, NONE + 1))
+    same, total = 99.0, 100.0  # before any link is seen: mentions with a key in common mean one entity
+    for nodes, labels, chain, skip in rows:
+        for i, j in chain:
+            pairs[labels[i], labels[j]] += 0.5
+            pairs[labels[j], labels[i]] += 0.5
+        same += sum(labels[i] == labels[j] for i, j in skip)
+        total += len(skip)
+    near = 0.5 * np.clip(np.log(pairs / pairs.sum() / np.outer(share, share)), -2, 2)
+    agree = min(same / total, 0.999)
+    linked = np.full((NONE + 1, NONE + 1), np.log((1 - agree) / NONE))
+    np.fill_diagonal(linked, np.log(agree))
+    return Field(w, near, linked)
 
 
 def train(docs: DataFrame, *, max_docs: int = 20_000) -> Field:

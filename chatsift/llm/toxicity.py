@@ -8,8 +8,7 @@ Two numpy models in a row, both with the class prior in their risk:
    prior for rare forms;
 2. a logistic model of a text's three strongest words, their mean and its length,
    trained with the non-negative estimator: the risk of positives at label 1 plus
-   max(0, risk of unlabelled at label 0 - prior * risk of positives at label 0);
-   where that difference is negative, the step goes back along its gradient.
+   max(0, risk of unlabelled at label 0 - prior * risk of positives at label 0).
 
 Evidence for training rows comes from the folds they are not in. The fit looks at a
 bounded sample (``max_positive``, ``max_unlabelled`` texts, the smallest by hash of
@@ -90,8 +89,8 @@ def described(texts: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     return np.array(rows).reshape(-1, 6)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, folds: int = 3, steps: int = 1500,
-        rate: float = 0.05, decay: float = 1e-3, seed: int = 0) -> Classifier:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, folds: int = 3, steps: int = 1000,
+        rate: float = 0.05, decay: float = 1e-4) -> Classifier:
     """Each text: its (word slot, beginning slot) pairs, one row per distinct word."""
     xs = []
     for group in (positive, unlabelled):
@@ -103,15 +102,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     mean, scale = xs[1].mean(0), xs[1].std(0) + 1e-6
     mean[-1], scale[-1] = 0, 1
     p, u = ((x - mean) / scale for x in xs)
-    rng = np.random.default_rng(seed)
     w, m, v = np.zeros(6), np.zeros(6), np.zeros(6)
     for step in range(1, steps + 1):
-        pb, ub = p[rng.integers(0, len(p), 256)], u[rng.integers(0, len(u), 1024)]
-        zp, zu = pb @ w, ub @ w
+        zp, zu = p @ w, u @ w
         rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        slope = sigmoid(zu) @ ub / len(ub) - prior * (sigmoid(zp) @ pb) / len(pb)
-        g = slope - prior * (sigmoid(-zp) @ pb) / len(pb) if rest >= 0 else -slope
-        g = g + decay * w
+        slope = sigmoid(zu) @ u / len(u) - prior * (sigmoid(zp) @ p) / len(p)
+        g = decay * w - prior * (sigmoid(-zp) @ p) / len(p) + (slope if rest > 0 else 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Classifier(evidence(positive, unlabelled, prior), mean, scale, w)
