@@ -35,8 +35,7 @@ CHECKSUMS = 0x80
 FRAME_BYTES = 256 << 10
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Marks that may follow a word's letters.
-TAIL = ".,;:!?"
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class Writer:
@@ -129,8 +128,7 @@ class Encoder:
     """Ids of texts by the tokenizers library, with the ids of recent words kept.
 
     This tokenizer drops white space and never joins what white space parts, so a
-    text's ids are those of its words in a row; it lower-cases, and parts letters from
-    marks. The memo has a bounded size.
+    text's ids are those of its words in a row. The memo has a bounded size.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
@@ -143,15 +141,8 @@ class Encoder:
         words = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         self.memo.trim()
         new = [w for w in set().union(*words) if w not in self.memo]
-        # Letters and what follows them are encoded apart, and case makes no difference, so forms share their core.
-        split = [(w, w.rstrip(TAIL)) for w in new]
-        split = [(w, c.lower() if c.isascii() else c, w[len(c):]) for w, c in split if c.isalpha()]
-        whole = set(new).difference(w for w, _, _ in split).union(c for _, c, _ in split).union(t for _, _, t in split if t)
-        todo = [w for w in whole if w not in self.memo]
-        for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            self.memo[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for w, core, tail in split:
-            self.memo[w] = self.memo[core] + self.memo[tail] if tail else self.memo[core]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.memo[w] = PACK[len(e.ids)](*e.ids) if len(e.ids) < len(PACK) else struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = self.memo.__getitem__
         for w in words:
             yield b"".join(map(get, w))
