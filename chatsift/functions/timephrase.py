@@ -104,14 +104,15 @@ def with_time_phrase(df: DataFrame, text: str, ts: str, when: Column | None = No
     c = F.col
     df = df.withColumn("_anchored", c(text) if when is None else F.when(when, c(text)))
     df = df.withColumn("_phrase", time_phrase(c("_anchored"))).withColumn("_plow", F.lower("_phrase"))
-    month_day = rf"^.*?(?:\b{MONTH}\s+(\d{{1,2}})\b|\b(\d{{1,2}})\s+{MONTH}\b).*$"
+    month_day = rf"\b{MONTH}\s+(\d{{1,2}})\b|\b(\d{{1,2}})\s+{MONTH}\b"
     df = df.withColumns({
         "_rel": F.regexp_extract("_plow", r"^in\s+(\d{1,6}\s*[mhdw])", 1),
         "_clock": F.regexp_extract("_plow", rf"\b(?:{CLOCK})", 0),
         "_part": F.regexp_extract("_plow", rf"\b{DAYPART}", 0),
         "_dayword": F.regexp_extract("_plow", rf"\b(?:{DAYWORD})", 0),
         "_month": F.regexp_extract("_plow", rf"\b{MONTH}\b", 0),
-        "_mday": F.regexp_replace("_plow", month_day, "$1$2"),
+        # One of the groups is empty. An extract holds digits or nothing, whatever line breaks the phrase has.
+        "_mday": F.concat(F.regexp_extract("_plow", month_day, 1), F.regexp_extract("_plow", month_day, 2)),
         "_slash": F.regexp_extract("_plow", r"\b\d{1,2}/\d{1,2}(?:/(?:\d{4}|\d{2}))?\b", 0),
     })
     first, second, third = (

@@ -47,21 +47,18 @@ def _label_sum(labels: Column) -> Column:
 # -- quotas and draws ---------------------------------------------------------------
 
 def quotas(templates: DataFrame, n_per_intent: int = 600) -> DataFrame:
-    """Examples to draw per category: (category, templates, quota).
+    """Examples to draw per category: (category, templates, quota, exact).
 
     An intent's share is split evenly over its categories (mixed money gets
-    half a share), every multi-intent template is used eight times, and
-    negatives, which form one category, come to half of all positives.
+    half a share), every multi-intent template is used eight times exactly
+    (``exact``), and negatives, which form one category, come to half of all
+    positives. A category that mixes kinds has the kind with the most labels.
     """
-    kind = (
-        F.when(_label_sum(F.col("labels")) == 0, "none")
-        .when(_label_sum(F.col("labels")) > 1, "multi")
-        .otherwise("single")
-    )
+    kind = F.when(F.col("most") == 0, "none").when(F.col("most") > 1, "multi").otherwise("single")
     intent = F.coalesce(*[F.when(F.col(f"labels.{i}") == 1, i) for i in INTENTS])
     groups = templates.groupBy("category").agg(
-        F.count("*").alias("templates"), F.first(kind).alias("kind"), F.first(intent).alias("intent")
-    )
+        F.count("*").alias("templates"), F.max(_label_sum(F.col("labels"))).alias("most"), F.min(intent).alias("intent")
+    ).withColumn("kind", kind).drop("most")
     peers = groups.where("kind = 'single'").groupBy("intent").agg(F.count("*").alias("peers"))
     shares = F.when(F.col("category") == "mixed_money", 2 * F.col("peers")).otherwise(F.col("peers"))
     quota = F.when(F.col("kind") == "multi", 8 * F.col("templates")).when(
@@ -72,28 +69,31 @@ def quotas(templates: DataFrame, n_per_intent: int = 600) -> DataFrame:
         F.lit("none").alias("kind"), F.floor(F.sum("quota") * 0.5).cast("bigint").alias("negatives")
     )
     return sized.join(half, "kind", "left").select(
-        "category", "templates", F.coalesce("quota", "negatives").alias("quota")
+        "category", "templates", F.coalesce("quota", "negatives").alias("quota"), (F.col("kind") == "multi").alias("exact")
     )
 
 
 def draw_templates(templates: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """``quota`` rows per category, each with a template drawn by hash.
+    """``quota`` rows per category, each with a template drawn by hash, or in turn where exact.
 
     ``templates`` carries ``idx``, its place in the category from 0. Rows are
     made in two steps of bounded arrays so that a large quota spreads out.
     """
+    if "exact" not in plan.columns:
+        plan = plan.withColumn("exact", F.lit(False))
     blocks = plan.where("quota > 0").select(
-        "category", "templates", "quota",
+        "category", "templates", "quota", "exact",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / BLOCK).cast("bigint"))).alias("block"),
     )
     first = F.col("block") * BLOCK
     last = F.least(F.col("quota"), first + BLOCK) - 1
     rows = blocks.repartition("category", "block").select(
-        "category", "templates", F.explode(F.sequence(first, last)).alias("i")
+        "category", "templates", "exact", F.explode(F.sequence(first, last)).alias("i")
     )
     row = F.concat(F.col("category"), F.lit("#"), F.col("i").cast("string"))
     rows = rows.select(
-        row.alias("id"), "category", pick(seed, row, "template", F.col("templates")).alias("idx")
+        row.alias("id"), "category",
+        F.when(F.col("exact"), F.col("i") % F.col("templates")).otherwise(pick(seed, row, "template", F.col("templates"))).alias("idx"),
     )
     return rows.join(templates, ["category", "idx"]).drop("idx")
 

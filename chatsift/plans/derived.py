@@ -151,7 +151,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations table as messages."""
     c = table(spark, sf_dir, "conversations")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        (F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("seq"),
         F.col("conv_id").cast("string").alias("chat_id"),
         F.col("role").alias("sender"), "text",
     )

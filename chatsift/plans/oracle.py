@@ -433,10 +433,10 @@ _QUOTAS = f"""{_TEMPLATES}, gr AS (SELECT category, count(*) AS templates, any_v
 pe AS (SELECT *, count(*) FILTER (flags = 1) OVER (PARTITION BY mo) AS peers FROM gr),
 po AS (SELECT *, CASE WHEN flags = 2 THEN 8 * templates WHEN flags = 1 AND category = 'mixed_money' THEN 600 // (2 * peers)
    WHEN flags = 1 THEN 600 // peers END AS quota FROM pe),
-qu AS (SELECT category, templates, CAST(coalesce(quota, floor((SELECT sum(quota) FROM po) * 0.5)) AS BIGINT) AS quota FROM po)"""
-_DRAWN = f"""{_QUOTAS}, dr AS (SELECT category || '#' || CAST(i AS VARCHAR) AS id, category, templates
-   FROM (SELECT category, templates, unnest(generate_series(0, quota - 1)) AS i FROM qu WHERE quota > 0) g),
-dt AS MATERIALIZED (SELECT id, te.* FROM dr JOIN te ON te.category = dr.category AND te.idx = {_draw(Q.SEED, 'id', 'template')} % templates)"""
+qu AS (SELECT category, templates, flags, CAST(coalesce(quota, floor((SELECT sum(quota) FROM po) * 0.5)) AS BIGINT) AS quota FROM po)"""
+_DRAWN = f"""{_QUOTAS}, dr AS (SELECT category || '#' || CAST(i AS VARCHAR) AS id, category, templates, flags, i
+   FROM (SELECT category, templates, flags, unnest(generate_series(0, quota - 1)) AS i FROM qu WHERE quota > 0) g),
+dt AS MATERIALIZED (SELECT id, te.* FROM dr JOIN te ON te.category = dr.category AND te.idx = CASE WHEN flags = 2 THEN i % templates ELSE {_draw(Q.SEED, 'id', 'template')} % templates END)"""
 
 
 def _filled(source: str, keep: str) -> str:
@@ -544,7 +544,7 @@ ORACLE: dict[str, str] = {
     "phones_in_messages": f"SELECT seq, {phone('text')} AS phone FROM ({ACCEPTED}) x",
     "durations": f"SELECT seq, {duration('text')} AS seconds FROM ({ACCEPTED}) x",
     "places": f"SELECT seq, {place('text')} AS place FROM ({ACCEPTED}) x",
-    "places_in_conversations": f"SELECT conv_id * 1000 + turn AS seq, {place('text')} AS place FROM conversations",
+    "places_in_conversations": f"SELECT conv_id * 1000000000 + turn AS seq, {place('text')} AS place FROM conversations",
     "targeting": f"""SELECT seq, {addressee('text')} AS addressee, {third_party('text', addressee('text'), 'sender')} AS third_party,
       {is_self('text')} AS is_self, {is_mutual('text')} AS is_mutual FROM ({ACCEPTED}) x""",
     "time_phrases": f"""SELECT seq, time_iso, time_phrase, time_phrase IS NOT NULL AS is_valid,
@@ -565,7 +565,7 @@ ORACLE: dict[str, str] = {
     "fired_intents": f"{_F} SELECT seq, chat_id, intent, CAST(confidence AS DOUBLE) AS confidence, {_TARGET} FROM fi",
     "payloads": f"{_F} SELECT seq, intent, {PAYLOAD_JSON} AS payload, {KEY1} AS key1, {KEY2} AS key2 FROM fi",
     "conversation_intents": " UNION ALL ".join(
-        f"SELECT conv_id * 1000 + turn AS seq, '{i}' AS intent FROM conversations WHERE {has_any('lower(text)', V.INTENT_KEYWORDS[i])}"
+        f"SELECT conv_id * 1000000000 + turn AS seq, '{i}' AS intent FROM conversations WHERE {has_any('lower(text)', V.INTENT_KEYWORDS[i])}"
         for i in INTENTS),
     "batch_scored": "SELECT seq, " + ", ".join(
         f"CAST(CASE WHEN {has_any('lower(text)', V.INTENT_KEYWORDS[i])} THEN 0.99 ELSE 0.01 END AS DOUBLE) AS {i}"

@@ -568,7 +568,7 @@ def _fillers(spark, sf):
 
 @query
 def quotas(spark, sf):
-    return DS.quotas(_templates(spark, sf), 600)
+    return DS.quotas(_templates(spark, sf), 600).drop("exact")
 
 
 @query

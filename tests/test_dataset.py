@@ -101,17 +101,9 @@ def test_split_is_exact(spark):
         assert got == want
 
 
-def test_default_fillers(spark):
-    from chatsift.functions.text import extract_phone
-    from chatsift.operators.fillers import default_fillers
-
-    table = default_fillers(spark, variety=500).persist()
-    counts = {r["token"]: (r["n"], r["top"]) for r in table.groupBy("token").agg(
-        F.count("*").alias("n"), F.max("idx").alias("top")).collect()}
-    assert len(counts) == 14 and all(n == top + 1 for n, top in counts.values())
-    assert table.where("value IS NULL OR value LIKE '%{%'").count() == 0
-    phones = table.where("token = 'phone'")
-    assert phones.where(extract_phone(F.col("value")).isNull()).count() == 0
-    rows = spark.createDataFrame(
-        [(1, "{time}|{time2}|{duration}|{day}|{date}|{event}|{name}|{addressee}|{address}|{task}|{num4}")], "id int, template string")
-    assert "{" not in DS.fill(rows, table, 1).first()["text"]
+def test_multi_intent_templates_are_used_exactly_eight_times(spark, templates):
+    plan = DS.quotas(templates, 600)
+    multi = [r["category"] for r in plan.where("exact").collect()]
+    drawn = DS.draw_templates(templates, plan, 7).where(F.col("category").isin(multi))
+    counts = drawn.groupBy("category", "template").count().collect()
+    assert counts and {r["count"] for r in counts} == {8}

@@ -128,3 +128,18 @@ def test_time_phrase(spark, text, iso, phrase):
     )
     got = with_time_phrase(row, "text", "ts").first()
     assert (got["time_iso"], got["time_phrase"]) == (iso, phrase)
+
+
+@pytest.mark.parametrize("text", [
+    "lunch mar 5\nnoon", "meeting on\n5 mar", "dinner noon\n5 mar", "call\tmar\r\n5 at\n8:30 pm", "5\u2028mar noon", "mar \u0665 noon",
+    "in 999999 w\n", "13/13/13\n25:99", "mar 5\u00a0noon\n\n7 apr",
+])
+def test_time_phrase_survives_any_white_space(spark, text):
+    row = spark.createDataFrame([(text,)], "text string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    with_time_phrase(row, "text", "ts").collect()
+
+
+def test_day_before_a_line_break(spark):
+    row = spark.createDataFrame([("lunch mar 5\nnoon",)], "text string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    got = with_time_phrase(row, "text", "ts").first()
+    assert got["time_iso"] and got["time_iso"][5:10] == "03-05"
