@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import os
+import re
 import sys
 
 import duckdb
@@ -37,5 +38,7 @@ def test_query(spark, con, name):
 
 def test_registry(spark):
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"learned_scorer"}
+    # The training-data queries, where present, have tests of their own.
+    own = {n for n in queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own - set(oracle_sql()) == {"learned_scorer"}
     assert entry(spark).count() > 0
