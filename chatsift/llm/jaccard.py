@@ -18,8 +18,10 @@ are one class; links are found between classes:
 4. Between groups: postings of one shingle in different groups and components, under
    the length and the positional filter.
 
-Every pair is verified once: the suffix filter bounds the difference of the two sets
-by halving them, then the sets are intersected. What is left out is pairs already
+Before texts are fetched, a pair must pass a bound on its difference: every node
+carries the parity of its shingles in 1,024 bins, and sets whose parities differ in k
+bins differ in k shingles at least. Every pair left is verified once: the suffix filter
+bounds the difference by halving the sets, then the sets are intersected. What is left out is pairs already
 known to be connected, so components are exact. Nulls and empty texts: no shingles,
 linked with nothing; rows are judged one by one, whether or not ids repeat, and a null
 id is never the smallest one.
@@ -44,6 +46,7 @@ SLOTS = 1 << 23  # of the frequency table, 2 bytes each
 PIECES = 64  # rows it travels in
 MOST = 65_535
 BITS = 1 << 23  # of the table of wanted ids
+BINS = 1 << 10  # of a set's parities
 GROUP = 0.7  # similarity to a hub from which a set belongs to its group
 
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -140,13 +143,27 @@ def frequencies(profile: DataFrame) -> np.ndarray:
     return out
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether each bin holds an odd number of the set's shingles, as BINS / 64 words."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def may_differ(pairs: DataFrame, nodes_: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) but for those whose parities show a lower similarity; exact, as it only drops on proof."""
+    side = lambda c: nodes_.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odds").alias(f"odds_{c}"))
+    apart = F.aggregate(F.zip_with("odds_a", "odds_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
+
+
 def least_common(n: int) -> int:
     """Smallest set that a set of n can link with: ceil(0.9 n)."""
     return -(-9 * n // 10)
 
 
 def nodes(docs: DataFrame, profile: DataFrame, counts) -> DataFrame:
-    """A row per class: node, rep (smallest id), key, n and prefix. Small nodes are sets of common shingles."""
+    """A row per class: node, rep (smallest id), key, n, odds (parities) and prefix. Small nodes are sets of common shingles."""
 
     def run(batches):
         memo, c = Words(200_000), counts.value
@@ -156,22 +173,22 @@ def nodes(docs: DataFrame, profile: DataFrame, counts) -> DataFrame:
                 if len(s):
                     f = c[(s % SLOTS).astype(np.int64)]
                     order = np.argsort(f, kind="stable")[: len(s) - least_common(len(s)) + 1]
-                    rows.append((uid, key(s), float((1 / np.maximum(f, 1, dtype=float)).mean()), s[order].astype(np.int64)))
+                    rows.append((uid, key(s), float((1 / np.maximum(f, 1, dtype=float)).mean()), parities(s), s[order].astype(np.int64)))
             if rows:
-                uid, k, odd, prefix = zip(*rows)
+                uid, k, odd, odds, prefix = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid, pa.int64()), pa.array(k, pa.binary()), pa.array(odd), pa.array(prefix, pa.list_(pa.int64()))],
-                    ["id", "key", "odd", "prefix"],
+                    [pa.array(uid, pa.int64()), pa.array(k, pa.binary()), pa.array(odd), *(pa.array(c, pa.list_(pa.int64())) for c in (odds, prefix))],
+                    ["id", "key", "odd", "odds", "prefix"],
                 )
 
     classes = profile.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("rep"))
-    rows = docs.mapInArrow(run, "id long, key binary, odd double, prefix array<long>").alias("d")
+    rows = docs.mapInArrow(run, "id long, key binary, odd double, odds array<long>, prefix array<long>").alias("d")
     one = (
         rows.join(classes.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.id").eqNullSafe(F.col("c.rep")))
-        .select("c.key", "rep", "n", "odd", "prefix").dropDuplicates(["key"])
+        .select("c.key", "rep", "n", "odd", "odds", "prefix").dropDuplicates(["key"])
     )
     ordered = one.repartitionByRange(partitions(docs.sparkSession), "odd", "key").sortWithinPartitions("odd", "key")
-    return staged(ordered.select(F.monotonically_increasing_id().alias("node"), "rep", "key", "n", "prefix"), "nodes")
+    return staged(ordered.select(F.monotonically_increasing_id().alias("node"), "rep", "key", "n", "odds", "prefix"), "nodes")
 
 
 def bit_table(nodes_: DataFrame, ends: DataFrame):
@@ -322,7 +339,7 @@ def links(docs: DataFrame, nodes_: DataFrame, counts) -> DataFrame:
         shared.where("node <> hub").select("hub", "node", "n").distinct()
         .join(sizes, "hub").where(length.format(int(10 * GROUP))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
-    hubs = staged(hubs, "hub-pairs")
+    hubs = staged(may_differ(hubs, nodes_, GROUP), "hub-pairs")
     hub_texts = wanted_texts(docs, nodes_, hubs)
     near = verified(hubs, nodes_, hub_texts)
     first = near.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -338,7 +355,7 @@ def links(docs: DataFrame, nodes_: DataFrame, counts) -> DataFrame:
     inside = within(state, known, nodes_, hub_texts, counts)
     across = between(shared, state)
     rest = inside.union(across).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = staged(rest, "other-pairs")
+    rest = staged(may_differ(rest, nodes_, 0.9), "other-pairs")
     more = verified(rest, nodes_, wanted_texts(docs, nodes_, rest))
     return first.union(more.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
