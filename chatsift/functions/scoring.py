@@ -53,8 +53,3 @@ def intent_probs(logits: Column, order: list[str]) -> Column:
         value = F.get(probs, F.lit(slots[name])) if name in slots else F.lit(0.0)
         pairs += [F.lit(name), value]
     return F.create_map(*pairs)
-
-
-def scores_of(probs: Column) -> Column:
-    """A probability map as an array in intent order, missing = 0.0."""
-    return F.array(*[F.coalesce(F.try_element_at(probs, F.lit(i)), F.lit(0.0)) for i in INTENTS])

@@ -98,17 +98,6 @@ def per_intent_report(rows: DataFrame, names: list[str] = INTENTS, threshold: fl
     )
 
 
-def roc_auc(long: DataFrame) -> DataFrame:
-    """Exact ROC-AUC per intent, ties averaged; 0.0 when a class is missing.
-
-    Cells are first counted per (intent, probability). The running count then
-    walks distinct probabilities only; if even those are too many for one
-    window task, range-partitioned chunks carry the count (see ``running_sum``).
-    """
-    ranked = running_sum(_points(long), "intent", "prob", "neg", "below")
-    return ranked.groupBy("intent").agg(_auc().alias("auc"))
-
-
 def running_sum(
     rows: DataFrame, key: str, order: str, value: str, out: str, max_window_rows: int = MAX_WINDOW_ROWS
 ) -> DataFrame:

@@ -101,54 +101,56 @@ def _popups(decisions: DataFrame) -> DataFrame:
     ).where(F.col("rule") != "nobody")
 
 
+# How a popup finds its members: all of the chat, one by name, or one by lower-cased name.
+ALL, NAMED, LOWER = "all", "named", "lower"
+
+
+def _keyed_members(members: DataFrame) -> DataFrame:
+    """Three rows per member, one for each way to be found; an unnamed member has no lower-cased name."""
+    name = lambda how, c: F.struct(F.lit(how).alias("how"), c.alias("name"))
+    user = F.col("user")
+    ways = F.array(name(ALL, F.lit("")), name(NAMED, _as_key(user)), name(LOWER, F.concat(F.lit("="), F.lower(user))))
+    return members.select("chat_id", "user", F.inline(ways)).where("name is not null")
+
+
+def _as_key(name: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), name), F.lit(""))
+
+
 def audience(decisions: DataFrame, members: DataFrame) -> DataFrame:
     """The devices that act: one row per popup and chat member concerned.
 
-    An equi-join on the chat; Spark broadcasts the members when their size
+    One equi-join on (chat, how, name): a popup for one person meets that person only,
+    one for the chat its members. Spark broadcasts the members when their size
     allows and splits a hot chat when it does not. For counts alone use
     :func:`popups_per_member`, which never makes these rows.
     """
-    pops = _popups(decisions)
-    is_sender = F.col("user").eqNullSafe(F.col("sender"))
-    who = (
-        F.when(F.col("rule") == "everyone", F.lit(True))
-        .when(F.col("rule") == "others", ~is_sender)
-        .when(F.col("rule") == "sender", is_sender)
-        .otherwise(F.lower("user") == F.col("addressee"))
-    )
-    return pops.join(members, "chat_id").where(who).select("seq", "chat_id", "intent", "rule", "user")
+    rule, sender = F.col("rule"), F.col("sender")
+    how = F.when(rule.isin("everyone", "others"), ALL).when(rule == "sender", NAMED).otherwise(LOWER)
+    name = F.when(how == ALL, "").when(how == NAMED, _as_key(sender)).otherwise(F.concat(F.lit("="), "addressee"))
+    pops = _popups(decisions).withColumns({"how": how, "name": name})
+    met = pops.join(_keyed_members(members), ["chat_id", "how", "name"])
+    return met.where((rule != "others") | ~F.col("user").eqNullSafe(sender)).select("seq", "chat_id", "intent", "rule", "user")
 
 
 def popups_per_member(decisions: DataFrame, members: DataFrame) -> DataFrame:
-    """How many popups each chat member gets, without listing them.
+    """How many popups each distinct chat member gets, without listing them.
 
-    Popups are first counted per chat, rule and person named by the rule.
-    Each member then adds up: those for everyone, those for others unless sent
-    by the member, and those aimed at the member as sender or addressee.
+    Each popup counts for its chat or for a person; one for others counts for the chat
+    and, negatively, for its sender. These are summed per (chat, how, name) in one
+    aggregation and joined with the members once.
     """
-    pops = _popups(decisions)
-    person = F.when(F.col("rule") == "addressee", F.col("addressee")).when(
-        F.col("rule").isin("sender", "others"), F.col("sender")
-    )
-    counts = pops.groupBy("chat_id", "rule", person.alias("person")).agg(F.count("*").alias("n")).where(
-        F.col("rule").isin("everyone", "others") | F.col("person").isNotNull()
+    way = lambda how, name, n: F.struct(F.lit(how).alias("how"), name.alias("name"), F.lit(n).alias("n"))
+    rule, sender, whole = F.col("rule"), _as_key(F.col("sender")), F.lit("")
+    counts = (
+        F.when(rule == "everyone", F.array(way(ALL, whole, 1)))
+        .when(rule == "others", F.array(way(ALL, whole, 1), way(NAMED, sender, -1)))
+        .when(rule == "sender", F.array(way(NAMED, sender, 1)))
+        .otherwise(F.array(way(LOWER, F.concat(F.lit("="), F.col("addressee")), 1)))
     )
-    per_chat = counts.groupBy("chat_id").agg(
-        F.sum(F.when(F.col("rule").isin("everyone", "others"), F.col("n"))).alias("shared")
-    )
-
-    def own(rule: str, name: str) -> DataFrame:
-        return counts.where((F.col("rule") == rule) & F.col("person").isNotNull()).select(
-            "chat_id", F.col("person").alias(f"_{name}"), F.col("n").alias(name)
-        )
-
-    out = members.join(per_chat, "chat_id", "left")
-    for rule, key in (("others", F.col("user")), ("sender", F.col("user")), ("addressee", F.lower("user"))):
-        side = own(rule, f"n_{rule}")
-        out = out.withColumn(f"_n_{rule}", key).join(side, ["chat_id", f"_n_{rule}"], "left").drop(f"_n_{rule}")
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    total = zero("shared") - zero("n_others") + zero("n_sender") + zero("n_addressee")
-    return out.select("chat_id", "user", total.alias("popups"))
+    sums = _popups(decisions).select("chat_id", F.inline(counts)).groupBy("chat_id", "how", "name").agg(F.sum("n").alias("n"))
+    met = _keyed_members(members.select("chat_id", "user").distinct()).join(sums, ["chat_id", "how", "name"], "left")
+    return met.groupBy("chat_id", "user").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("popups"))
 
 
 # -- cards and summaries ----------------------------------------------------------

@@ -617,6 +617,9 @@ ORACLE: dict[str, str] = {
       FROM ({_FRAMES}) f WHERE NOT json_valid(value) OR NOT regexp_matches(coalesce(value ->> '$.text', ''), '\\S')""",
     "stream_responses": _RESPONSES,
     "stream_decisions": f"{_R} SELECT {_DEC}, false AS late FROM dec",
+    "stream_late_decisions": f"""WITH RECURSIVE {replay().replace('FROM allev WHERE chat_id IS NOT NULL)', f'FROM allev WHERE chat_id IS NOT NULL AND NOT ({Q.HELD}))')}
+      SELECT {_DEC}, false AS late FROM dec
+      UNION ALL SELECT seq, intent, kind, {", ".join(["NULL"] * (len(Q.DECISION) - 3))}, true FROM allev WHERE {Q.HELD}""",
     "stream_metrics": f"""{_R} SELECT strftime(ts, '%Y-%m-%d') AS window_start, intent, count(*) AS detected,
       count(*) FILTER (should_popup AND chat_state <> 'untracked') AS popups_fired, count(*) FILTER (NOT should_popup) AS popups_suppressed
       FROM dec WHERE kind = 'message' GROUP BY 1, 2""",

@@ -389,6 +389,29 @@ def stream_decisions(spark, sf):
     return spark.read.parquet(_streamed(spark, sf)).select(*DECISION, "late")
 
 
+HELD = "seq % 50 = 7 AND ts < TIMESTAMP '2024-01-10' AND chat_id IS NOT NULL"
+
+
+@query
+def stream_late_decisions(spark, sf):
+    """The same stream, but some early rows of chats come last, long after the watermark: each is reported as late."""
+    fired = enrich.fired_intents(D.messages(spark, sf), D.PARAMS, keep="money")
+    events = policy_events(fired, D.controls(spark, sf))
+    path = scratch_path(spark, "events")
+    held = F.coalesce(F.expr(HELD), F.lit(False))
+    files = {"early": events.where(~held & (F.col("ts") < SLICES[0])),
+             "middle": events.where((F.col("ts") >= SLICES[0]) & (F.col("ts") < SLICES[1])),
+             "recent": events.where(F.col("ts") >= SLICES[1]), "late": events.where(held)}
+    for part in files.values():
+        part.repartition(FILES).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    out = scratch_path(spark, "decisions")
+    ST.start_decisions(
+        ST.decide_stream(stream, D.PARAMS), out, scratch_path(spark, "progress"), available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(out).select(*DECISION, "late")
+
+
 @query
 def stream_metrics(spark, sf):
     """Counters per day kept by a second stream that reads the decisions."""

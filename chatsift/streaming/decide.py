@@ -2,11 +2,11 @@
 
 The same decision function as the batch replay, with one tracker per
 (chat, intent) in the state store. Rows of a key are put in (ts, seq) order
-within a micro-batch; a row older than what the key has already applied is
+within a micro-batch. Every row comes out: one older than what the key has already
+applied, or older than the watermark where the key has no state (any more), is
 reported as late and changes nothing. Event-time timers drop trackers that
 have been idle for longer than the eviction window, so state stays bounded by
-the chats that are alive. Rows below the watermark are dropped by Spark and
-counted in the query's progress.
+the chats that are alive.
 """
 
 from __future__ import annotations
@@ -73,7 +73,10 @@ class CooldownProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         saved = self.value.get()
-        tracker, applied, timer = None, (-(2**62), -(2**62)), 0
+        # without state, the watermark is the oldest time that can still be judged
+        floor = timerValues.getCurrentWatermarkInMs() * 1000
+        tracker, applied, timer = None, (floor, -(2**62)), 0
+        fresh = saved is None
         if saved is not None:
             tracker = Tracker(*saved[:9]) if saved[0] is not None else None
             applied, timer = (saved[9], saved[10]), saved[11]
@@ -83,7 +86,7 @@ class CooldownProcessor(StatefulProcessor):
             if (row["_us"], row["seq"]) < applied:
                 out.append(make(*carried, *[None] * 12, True))
                 continue
-            applied = (row["_us"], row["seq"])
+            applied, fresh = (row["_us"], row["seq"]), False
             tracker, o = advance(
                 tracker, row["kind"], row["_us"], row["key1"], row["key2"], row["payload_json"], self.params
             )
@@ -93,6 +96,8 @@ class CooldownProcessor(StatefulProcessor):
                 o.existed, t.popup_count, t.suppression_count, t.last_popup, t.last_event, t.reason,
                 t.payload, False,
             ))
+        if fresh:  # late rows only
+            return iter(out)
         if not timer:
             timer = self._expiry_ms(applied[0])
             self.handle.registerTimer(timer)
@@ -102,7 +107,7 @@ class CooldownProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         saved = self.value.get()
         if saved is not None:
-            # every event still to come is newer than the watermark
+            # every event still to be applied is newer than the watermark
             now = timerValues.getCurrentWatermarkInMs() * 1000
             tracker = alive(
                 Tracker(*saved[:9]) if saved[0] is not None else None, now, self.params.eviction
@@ -129,10 +134,13 @@ class CooldownProcessor(StatefulProcessor):
 def decide_stream(events: DataFrame, params: PolicyParams = PolicyParams(), watermark: str = "10 minutes") -> DataFrame:
     """Streaming form of the batch replay; same columns plus ``late``.
 
-    Rows without a chat skip the state store.
+    Rows without a chat skip the state store. The watermark drives timers only: the
+    stateful step gets ``ts`` as a computed column, so rows below the watermark
+    reach it and come out as late instead of being dropped.
     """
-    rows = events.withWatermark("ts", watermark).withColumn(
-        "_us", F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.withWatermark("ts", watermark).withColumn("_us", us).withColumn(
+        "ts", F.timestamp_micros("_us").cast(events.schema["ts"].dataType)
     )
     has_chat = F.coalesce("chat_id", F.lit("")) != ""
     carried = [f for f in events.schema.fields]
@@ -168,6 +176,17 @@ def enrich_stream(
     return decide_stream(policy_events(fired, controls, CARRIED if keep is None else keep), params, watermark)
 
 
+def settled(decisions: DataFrame) -> DataFrame:
+    """Decisions with something definite for late messages: no popup, reason and state ``late``."""
+    late = F.col("late")
+    return decisions.withColumns({
+        "should_popup": F.when(late & (F.col("kind") == MESSAGE), False).otherwise(F.col("should_popup")),
+        "suppressed_reason": F.when(late, "late").otherwise(F.col("suppressed_reason")),
+        "cooldown_remaining_seconds": F.when(late, 0).otherwise(F.col("cooldown_remaining_seconds")),
+        "chat_state": F.when(late, "late").otherwise(F.col("chat_state")),
+    })
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state with timers needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -200,7 +219,7 @@ def start_responses(
     use_rocksdb(decisions.sparkSession)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        out = replies(batch, [*keep, raw] if raw else list(keep))
+        out = replies(settled(batch), [*keep, raw] if raw else list(keep))
         if raw:
             out = out.select("seq", frame_response(F.col(raw), F.col("intents")).alias("response"))
         out.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
@@ -215,11 +234,13 @@ def start_frame_split(parsed: DataFrame, good: str, bad: str, checkpoint: str, a
     """Split parsed frames: good ones to a table, rejected ones to a dead-letter table."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        # the epoch in the path makes a replayed micro-batch overwrite itself
+        # the epoch in the path makes a replayed micro-batch overwrite itself; parsed once for both
+        batch = batch.persist()
         batch.where(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(f"{good}/epoch={epoch}")
         batch.where(F.col("error").isNotNull()).select(
             "value", F.to_json(F.struct("error")).alias("response")
         ).write.mode("overwrite").parquet(f"{bad}/epoch={epoch}")
+        batch.unpersist()
 
     writer = parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
