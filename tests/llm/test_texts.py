@@ -193,6 +193,23 @@ def test_suffix_filter_is_a_lower_bound():
         assert all(jaccard.differ_at_least(x, y, d) <= true for d in range(4))
 
 
+def test_parities_are_a_lower_bound(spark):
+    rng = np.random.default_rng(2)
+    apart = lambda x, y: sum(int(a ^ b).bit_count() for a, b in zip(*(jaccard.parities(s).view("<u8").tolist() for s in (x, y))))
+    for n in (1, 40, 900, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.union1d(x[n // 10:], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64))
+        assert apart(x, x) == 0 and apart(x, y) <= len(np.setxor1d(x, y))
+    # One of four shingles differs: similarity 0.6.
+    base = np.arange(4, dtype=np.uint64) << np.uint64(32)
+    other = np.append(base[:3], np.uint64(9 << 32))
+    rows = [(0, 4, jaccard.parities(base).tolist()), (1, 4, jaccard.parities(other).tolist()), (2, 4, jaccard.parities(base).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, n long, odds array<long>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    kept = lambda t: sorted(tuple(r) for r in jaccard.may_differ(pairs, nodes, t).collect())
+    assert kept(0.6) == [(0, 1), (0, 2)] and kept(0.7) == [(0, 2)]
+
+
 # -- personal data
 
 PATTERNS = {
