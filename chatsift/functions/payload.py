@@ -95,7 +95,7 @@ def payload_json(intent: Column, payload: Column) -> Column:
 def override_key(intent: Column, payload: Column, slot: int, keys: dict | None = None) -> Column:
     """The slot-th override value as text; '' and 0 count as not set."""
     out = F.lit(None).cast("string")
-    for name, fields in (keys or OVERRIDE_KEYS).items():
+    for name, fields in (OVERRIDE_KEYS if keys is None else keys).items():
         if slot < len(fields):
             value = payload[fields[slot]].cast("string")
             if fields[slot] in ("seconds_from_now", "duration_minutes"):

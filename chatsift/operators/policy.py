@@ -56,18 +56,22 @@ _UNTRACKED = {
 }
 
 
-def policy_events(fired: DataFrame, controls: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def policy_events(
+    fired: DataFrame, controls: DataFrame | None = None, keep: list[str] | None = None,
+    keys: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """Messages and controls in one ordered table, ready for :func:`decide`.
 
-    ``keep`` lists further message columns to carry through.
+    ``keep`` lists further message columns to carry through. ``keys`` names, per
+    intent, up to two payload fields whose change makes a new action; None: the usual ones.
     """
     intent, payload = F.col("intent"), F.col("payload")
     kind = F.when(F.col("fired"), MESSAGE).otherwise(OBSERVE) if "fired" in fired.columns else F.lit(MESSAGE)
     rows = fired.select(
         *[c for c in ("seq", "ts", "chat_id", "intent") if c in fired.columns],
         kind.alias("kind"),
-        override_key(intent, payload, 0).alias("key1"),
-        override_key(intent, payload, 1).alias("key2"),
+        override_key(intent, payload, 0, keys).alias("key1"),
+        override_key(intent, payload, 1, keys).alias("key2"),
         F.when(kind == MESSAGE, payload_json(intent, payload)).alias("payload_json"),
         *[F.col(c) for c in keep or []],
     )

@@ -65,9 +65,13 @@ def _entry_json(x: Column) -> Column:
 def frame_response(raw: Column, intents: Column) -> Column:
     """The input frame with the flat block and the intents array added.
 
-    The frame's own text is kept, so unknown fields survive unchanged.
+    The frame's own text is kept, so unknown fields survive unchanged. Only a frame
+    that may have one of the added fields already is written anew without it.
     """
     flat = F.to_json(F.struct(*FLAT, F.lit(None).cast("double").alias("latency_ms")), {"ignoreNullFields": "false"})
+    taken = F.contains(raw, F.lit('"venmo_detection"')) | F.contains(raw, F.lit('"intents"'))
+    others = F.map_filter(F.from_json(raw, "map<string,variant>"), lambda k, _: ~k.isin("venmo_detection", "intents"))
+    raw = F.when(taken, F.to_json(others, {"ignoreNullFields": "false"})).otherwise(raw)
     body = F.regexp_replace(raw, r"\}\s*$", "")
     comma = F.when(F.regexp_like(body, F.lit(r"^\s*\{\s*$")), F.lit("")).otherwise(F.lit(","))
     return F.concat(

@@ -37,13 +37,15 @@ def enrich_and_decide(
     keep: list[str] | None = None,
     observe: bool = True,
     max_group_rows: int = MAX_GROUP_ROWS,
+    keys: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Score, extract and decide. One row per fired intent and control.
 
     ``observe`` adds a row for each message without money, carrying the money
     state of its chat at that moment; replies and counters need them. ``keep``
-    names the message columns to carry through the shuffle.
+    names the message columns to carry through the shuffle, ``keys`` the payload
+    fields that tell a new action from a repeated one.
     """
     fired = fired_intents(messages, params, scorer, keep="money" if observe else "fired")
-    events = policy_events(fired, controls, CARRIED if keep is None else keep)
+    events = policy_events(fired, controls, CARRIED if keep is None else keep, keys)
     return decide(events, params, chat_sizes(messages, controls), max_group_rows)

@@ -261,7 +261,7 @@ BASE = f"m AS MATERIALIZED ({ACCEPTED}), tm AS MATERIALIZED (SELECT seq, time_is
 FIRED = f"{BASE}, fi AS MATERIALIZED ({fired()})"
 
 
-def replay(params=D.PARAMS) -> str:
+def replay(params=D.PARAMS, key1=KEY1, key2=KEY2) -> str:
     """CTEs ending in ``dec``: one row per event with the tracker after it."""
     ev_us, gr = params.eviction * 1_000_000, params.grace * 1_000_000
     cd, dm = params.cooldown * 1_000_000, params.dismissed * 1_000_000
@@ -275,7 +275,7 @@ ctl AS (
   UNION ALL SELECT seq, ts, chat_id, kind, i.intent, NULL, false FROM ({D.controls_sql()}) c,
     (SELECT unnest([{intents}]) AS intent) i WHERE kind = 'reset_cooldown' AND c.intent IS NULL),
 allev AS (
-  SELECT seq, ts, chat_id, intent, 'message' AS kind, {KEY1} AS key1, {KEY2} AS key2, {PAYLOAD_JSON} AS body, CAST(NULL AS BOOLEAN) AS scoped FROM fi
+  SELECT seq, ts, chat_id, intent, 'message' AS kind, {key1} AS key1, {key2} AS key2, {PAYLOAD_JSON} AS body, CAST(NULL AS BOOLEAN) AS scoped FROM fi
   UNION ALL SELECT seq, ts, chat_id, 'money', 'observe', NULL, NULL, NULL, NULL FROM m
     WHERE seq NOT IN (SELECT seq FROM fi WHERE intent = 'money')
   UNION ALL SELECT seq, ts, chat_id, intent, kind, key1, NULL,
@@ -574,6 +574,13 @@ ORACLE: dict[str, str] = {
     "hot_chat_decisions": f"{_R} SELECT {_DEC} FROM dec",
     "default_window_decisions": f"""WITH RECURSIVE {replay(Q.PolicyParams()).replace(D.controls_sql(), D.controls_sql() + ' AND false')}
       SELECT seq, intent, should_popup, suppressed_reason, cooldown_remaining_seconds, popup_count FROM dec WHERE kind = 'message'""",
+    "custom_key_decisions": f"""WITH RECURSIVE {replay(key1="CASE intent WHEN 'money' THEN direction WHEN 'maps' THEN nullif(place, '') END", key2='NULL').replace(D.controls_sql(), D.controls_sql() + ' AND false')}
+      SELECT seq, intent, should_popup, suppressed_reason, cooldown_remaining_seconds, popup_count FROM dec WHERE kind = 'message'""",
+    "stored_messages": D.messages_sql(),
+    "stored_controls": f"SELECT seq, ts, chat_id, kind, intent, amount FROM ({D.controls_sql()}) c",
+    "stored_replies": f"{_R} {_MONEY_ROW}",
+    "stored_splits": f"{_DATASET} SELECT id, text, money, alarm, contact, calendar, maps, category, split FROM ds",
+    "label_vectors": f"{_DATASET} SELECT id, concat(money, alarm, contact, calendar, maps) AS vector FROM ds",
     "control_answers": f"""{_R} SELECT seq, chat_id, intent, kind, chat_state,
       CASE WHEN kind <> 'reset_cooldown' THEN previous_state END AS previous_state,
       CASE WHEN kind = 'payment_complete' THEN popup_count END AS popup_count_total,

@@ -228,6 +228,54 @@ def hot_chat_decisions(spark, sf):
     return _decisions(spark, sf, observe=True, keep=[], max_group_rows=500).select(DECISION)
 
 
+KEYS = {"money": ["direction"], "maps": ["place"]}
+
+
+@query
+def custom_key_decisions(spark, sf):
+    """Another direction makes a new money action, another place a new trip; nothing else does."""
+    d = end_to_end.enrich_and_decide(D.messages(spark, sf), None, D.PARAMS, keep=[], observe=False, keys=KEYS)
+    return d.select("seq", "intent", "should_popup", "suppressed_reason", "cooldown_remaining_seconds", "popup_count")
+
+
+@query
+def stored_messages(spark, sf):
+    """Messages written as JSON lines and read by the message source."""
+    path = scratch_path(spark, "messages")
+    D.messages(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return S.read_messages(spark, path, "json").select("seq", "ts", "message_id", "chat_id", "sender", "text")
+
+
+@query
+def stored_controls(spark, sf):
+    path = scratch_path(spark, "controls")
+    D.controls(spark, sf).write.parquet(path)
+    return S.read_controls(spark, path).select("seq", "ts", "chat_id", "kind", "intent", "amount")
+
+
+@query
+def stored_replies(spark, sf):
+    """Replies through the batch sink: nested rows as Parquet, read again."""
+    path = scratch_path(spark, "replies")
+    respond.replies(_decisions(spark, sf, observe=True)).write.parquet(path)
+    return spark.read.parquet(path).select("seq", "chat_id", "message_id", "sender", *respond.FLAT)
+
+
+@query
+def stored_splits(spark, sf):
+    """The labelled dataset through the split sink and scan."""
+    path = scratch_path(spark, "splits")
+    S.write_splits(_examples(spark, sf), path)
+    parts = [S.read_splits(spark, path, split) for split in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "text", "labels.*", "category", "split")
+
+
+@query
+def label_vectors(spark, sf):
+    vector = evaluate.label_vector(F.col("labels"))
+    return _examples(spark, sf).select("id", F.array_join(vector.cast("array<int>"), "").alias("vector"))
+
+
 @query
 def default_window_decisions(spark, sf):
     """The default windows, messages only."""

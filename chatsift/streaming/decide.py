@@ -170,10 +170,11 @@ def enrich_stream(
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     keep: list[str] | None = None,
     watermark: str = "10 minutes",
+    keys: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """End to end on streams: the batch enrichment up to the stateful step."""
     fired = fired_intents(messages, params, scorer, keep="money")
-    return decide_stream(policy_events(fired, controls, CARRIED if keep is None else keep), params, watermark)
+    return decide_stream(policy_events(fired, controls, CARRIED if keep is None else keep, keys), params, watermark)
 
 
 def settled(decisions: DataFrame) -> DataFrame:

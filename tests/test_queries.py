@@ -17,7 +17,7 @@ NAMES = [
     "trigger_totals", "amounts", "phones_in_documents", "targeting", "time_phrases", "labels_and_titles",
     "payloads", "decisions", "hot_chat_decisions", "flat_replies", "frame_responses", "chat_snapshot",
     "audience", "eval_per_intent", "class_report", "filled_templates", "augmented_messages", "exact_split",
-    "action_cards", "batch_scored",
+    "action_cards", "batch_scored", "stream_late_decisions", "custom_key_decisions", "popups_per_member", "stored_messages",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables not there")

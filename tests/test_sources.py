@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from chatsift.config import INTENTS
-from chatsift.operators import dataset as DS
+from chatsift.operators import dataset as DS, respond
 from chatsift.operators import enrich, evaluate, learn
 from chatsift.sources import messages as S
 from chatsift.streaming import decide as ST
@@ -57,6 +57,18 @@ def test_frame_stream_splits_good_and_bad(spark, tmp_path):
         '{"error":"invalid JSON"}', '{"error":"text required"}'}
 
 
+def test_fields_a_frame_already_has_are_replaced(spark):
+    frames = ['{"text": "you owe me $5", "intents": [1], "x": {"intents": 2}, "n": null}', '{"text": "hi", "x": 1}']
+    raw = spark.createDataFrame([(f,) for f in frames], "value string")
+    entry = "array<struct<type:string,confidence:double,should_popup:boolean,suppressed_reason:string,cooldown_remaining_seconds:int,chat_state:string,payload_json:string,targeting:struct<addressee:string>>>"
+    flat = {c: F.lit(None).cast("string") for c in respond.FLAT}
+    rows = raw.withColumns({**flat, "intents": F.array().cast(entry)})
+    got = [json.loads(r[0]) for r in rows.select(respond.frame_response(F.col("value"), F.col("intents"))).collect()]
+    assert got[0]["intents"] == [] and got[0]["x"] == {"intents": 2} and got[0]["n"] is None and got[1]["x"] == 1
+    answer = rows.select(respond.frame_response(F.col("value"), F.col("intents"))).first()[0]
+    assert answer.count('"intents"') == 2  # the nested one and ours
+
+
 def test_learned_scorer(spark, tmp_path):
     texts = {"money": "you owe me cash {}", "alarm": "remind me to wake {}", "contact": "save number {}",
              "calendar": "meeting scheduled {}", "maps": "navigate place {}"}
