@@ -208,7 +208,9 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame) -> DataFr
     """(key, text, left, right) of classes in pairs (a, b): as some a, as some b.
 
     Bit tables keep other rows out before any set is made; the few that pass by
-    chance and copies of a row from different tasks meet no pair or repeat one.
+    chance and copies of a row from different tasks meet no pair or repeat one. A copy
+    may pass one table by chance before the wanted row comes, so what a class has been
+    given in a task is kept by flag.
     """
     tables = [bit_table(nodes_, pairs.select(F.col(c).alias("node")).distinct()) for c in "ab"]
 
@@ -224,9 +226,10 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame) -> DataFr
                 rows = []
                 for t, x, y, s in zip(*(c.to_pylist() for c in part.columns), sets(part.column(0).to_pylist(), memo)):
                     k = key(s)
-                    if len(s) and k not in seen:
-                        seen[k] = True
-                        rows.append((k, t, x, y))
+                    given_x, given_y = seen.get(k, (False, False))
+                    if len(s) and (x and not given_x or y and not given_y):
+                        seen[k] = (x or given_x, y or given_y)
+                        rows.append((k, t, x and not given_x, y and not given_y))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.bool_(), pa.bool_()))],

@@ -185,6 +185,22 @@ def test_jaccard_of_few_rows(spark):
     assert jaccard.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_copies_that_pass_one_bit_table_by_chance(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITS", 1 << 16)
+    bit = lambda ids: {r.id: r.bit for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(
+        "id", f"pmod(xxhash64(id), {1 << 16}L) AS bit").collect()}
+    bits = bit(range(200_000))
+    hub, rep = 1, 2
+    # A copy of the class of ``rep`` that hits the bit of ``hub`` only, the left table, and comes first.
+    copy = next(i for i in range(10, 200_000) if bits[i] == bits[hub] != bits[rep])
+    rows = [(copy, "a b c d"), (rep, "a b c d"), (hub, "a b c d e")]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text AS binary) AS text").coalesce(1)
+    nodes = spark.createDataFrame([(0, hub), (1, rep)], "node long, rep long")
+    texts = jaccard.wanted_texts(docs, nodes, spark.createDataFrame([(0, 1)], "a long, b long"))
+    assert [bytes(r.text) for r in texts.where("right").collect()] == [b"a b c d"]
+    assert b"a b c d e" in [bytes(r.text) for r in texts.where("left").collect()]
+
+
 def test_suffix_filter_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(200):
