@@ -1,12 +1,13 @@
 """Operator 6: n-gram Jaccard join by rare-first prefix filtering.
 
-A text's set: its distinct 3-word shingles (A-Z lower-cased, words split at ASCII
-white space), the whole sequence where there are fewer words, nothing where there are
-none. Two texts link when their sets' Jaccard similarity is at least 9/10. Equal sets
-are one class; links are found between classes:
+A text's set: its distinct shingles of some words (A-Z lower-cased, words split at
+ASCII white space), the whole sequence where there are fewer words, nothing where there
+are none. Two texts link when their sets' Jaccard similarity is at least t. Shingle
+length and t are a ``Rule``: 3 words and 9/10 for the query. Equal sets are one class;
+links are found between classes:
 
 1. A table of fixed size counts the shingles of all documents by hash. Every set is
-   ordered rare first, and its prefix of |x| - ceil(0.9 |x|) + 1 shingles posted:
+   ordered rare first, and its prefix of |x| - ceil(t |x|) + 1 shingles posted:
    linked sets share a posted shingle.
 2. Hubs. Each shingle's postings meet only its hub, the set with the fewest rare
    shingles, after the length filter. So a group of near copies costs a pair per
@@ -31,6 +32,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +44,54 @@ from pyspark.sql import functions as F
 from chatsift.llm.common import Bounded, parts, partitions, read, staged
 from chatsift.llm.graph import components
 
-SHINGLE = 3
 SLOTS = 1 << 23  # of the frequency table, 2 bytes each
 PIECES = 64  # rows it travels in
 MOST = 65_535
 BITS = 1 << 23  # of the table of wanted ids
 BINS = 1 << 10  # of a set's parities
-GROUP = 0.7  # similarity to a hub from which a set belongs to its group
+GROUP = Fraction(7, 10)  # similarity to a hub from which a set belongs to its group, if links need no less
 
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _TAKEN = np.uint64(1 << 63)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the least similarity p / q of a link. Bounds are in whole numbers."""
+
+    shingle: int
+    p: int
+    q: int
+
+    @classmethod
+    def of(cls, shingle: int, similarity: float) -> Rule:
+        t = Fraction(similarity).limit_denominator(1000)
+        if shingle < 1 or not 0 < t <= 1:
+            raise ValueError("needs a shingle of one word at least and a similarity above 0, up to 1")
+        return cls(shingle, t.numerator, t.denominator)
+
+    @property
+    def similarity(self) -> Fraction:
+        return Fraction(self.p, self.q)
+
+    @property
+    def group(self) -> Fraction:
+        return min(GROUP, self.similarity)
+
+    @property
+    def linked(self) -> str:
+        return alike(self.similarity)
+
+    def least_common(self, n: int) -> int:
+        """Smallest set that a set of n can link with: ceil(t n)."""
+        return -(-self.p * n // self.q)
+
+
+def alike(t: Fraction) -> str:
+    """SQL: verified sets have the similarity t at least."""
+    return f"{t.denominator} * both >= {t.numerator} * (n_a + n_b - both)"
+
+
 class Words(Bounded):
     def __missing__(self, word: bytes) -> bytes:
         self[word] = h = xxhash.xxh64(word).digest()
@@ -64,24 +103,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sets(texts: list[bytes | None], memo: Words) -> Iterator[np.ndarray]:
+def chained(h: np.ndarray, n: int) -> np.ndarray:
+    """Of every n neighbours in h, one number that depends on their order."""
+    at = len(h) - n + 1
+    out = h[:at]
+    for i in range(1, n):
+        out = out * (_K1 if i % 2 else _K2) + h[i: at + i]
+    return out
+
+
+def sets(texts: list[bytes | None], memo: Words, shingle: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes (63 bits) of each whole text."""
     memo.trim()
     split = [(t or b"").lower().split() for t in texts]
     h = np.frombuffer(b"".join(b"".join(map(memo.__getitem__, w)) for w in split), "<u8")
     with np.errstate(over="ignore"):
-        three = mixed((h[:-2] * _K1 + h[1:-1]) * _K2 + h[2:]) if len(h) > 2 else h[:0]
+        runs = mixed(chained(h, shingle)) if len(h) >= shingle else h[:0]
         at = 0
         for w in split:
             n = len(w)
-            if n >= SHINGLE:
-                s = np.sort(three[at: at + n - 2] & ~_TAKEN)
+            if n >= shingle:
+                s = np.sort(runs[at: at + n - shingle + 1] & ~_TAKEN)
                 keep = np.ones(len(s), bool)
                 np.not_equal(s[1:], s[:-1], out=keep[1:])
                 yield s[keep]
             elif n:
-                short = h[at: at + n]
-                yield mixed(np.array([((short[0] * _K2 + short[-1]) * _K1 + np.uint64(n)) * _K3])) & ~_TAKEN
+                yield mixed((chained(h[at: at + n], n) * _K1 + np.uint64(n)) * _K3) & ~_TAKEN
             else:
                 yield h[:0]
             at += n
@@ -91,14 +138,14 @@ def key(s: np.ndarray) -> bytes:
     return xxhash.xxh128(s.tobytes()).digest()
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     """One pass: (id, n, key) per row, and the partial frequency table of each task (piece, counts)."""
 
     def run(batches):
         memo, counts = Words(200_000), np.zeros(SLOTS, np.uint16)
         for batch in parts(batches):
             n, k = [], []
-            for s in sets(batch.column(1).to_pylist(), memo):
+            for s in sets(batch.column(1).to_pylist(), memo, rule.shingle):
                 at = (s % SLOTS).astype(np.int64)
                 counts[at] += counts[at] < MOST  # of one text's shingles in a slot one counts
                 n.append(len(s))
@@ -149,30 +196,25 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def may_differ(pairs: DataFrame, nodes_: DataFrame, similarity: float) -> DataFrame:
+def may_differ(pairs: DataFrame, nodes_: DataFrame, similarity: float | Fraction) -> DataFrame:
     """Pairs (a, b) but for those whose parities show a lower similarity; exact, as it only drops on proof."""
     side = lambda c: nodes_.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odds").alias(f"odds_{c}"))
     apart = F.aggregate(F.zip_with("odds_a", "odds_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    most = F.lit(float((1 - similarity) / (1 + similarity))) * (F.col("n_a") + F.col("n_b")) + 1e-6
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
 
 
-def least_common(n: int) -> int:
-    """Smallest set that a set of n can link with: ceil(0.9 n)."""
-    return -(-9 * n // 10)
-
-
-def nodes(docs: DataFrame, profile: DataFrame, counts) -> DataFrame:
+def nodes(docs: DataFrame, profile: DataFrame, counts, rule: Rule) -> DataFrame:
     """A row per class: node, rep (smallest id), key, n, odds (parities) and prefix. Small nodes are sets of common shingles."""
 
     def run(batches):
         memo, c = Words(200_000), counts.value
         for batch in parts(batches):
             rows = []
-            for uid, s in zip(batch.column(0).to_pylist(), sets(batch.column(1).to_pylist(), memo)):
+            for uid, s in zip(batch.column(0).to_pylist(), sets(batch.column(1).to_pylist(), memo, rule.shingle)):
                 if len(s):
                     f = c[(s % SLOTS).astype(np.int64)]
-                    order = np.argsort(f, kind="stable")[: len(s) - least_common(len(s)) + 1]
+                    order = np.argsort(f, kind="stable")[: len(s) - rule.least_common(len(s)) + 1]
                     rows.append((uid, key(s), float((1 / np.maximum(f, 1, dtype=float)).mean()), parities(s), s[order].astype(np.int64)))
             if rows:
                 uid, k, odd, odds, prefix = zip(*rows)
@@ -204,7 +246,7 @@ def bit_table(nodes_: DataFrame, ends: DataFrame):
     return nodes_.sparkSession.sparkContext.broadcast(table)
 
 
-def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame) -> DataFrame:
+def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle: int = 3) -> DataFrame:
     """(key, text, left, right) of classes in pairs (a, b): as some a, as some b.
 
     Bit tables keep other rows out before any set is made; the few that pass by
@@ -224,7 +266,7 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame) -> DataFr
             for part in parts([batch.filter(pa.array(flags[0] | flags[1]))], 0):
                 seen.trim()
                 rows = []
-                for t, x, y, s in zip(*(c.to_pylist() for c in part.columns), sets(part.column(0).to_pylist(), memo)):
+                for t, x, y, s in zip(*(c.to_pylist() for c in part.columns), sets(part.column(0).to_pylist(), memo, shingle)):
                     k = key(s)
                     given_x, given_y = seen.get(k, (False, False))
                     if len(s) and (x and not given_x or y and not given_y):
@@ -275,28 +317,30 @@ def with_texts(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame) -> DataFra
 class Sets(Bounded):
     """Sets of recent texts: pairs come sorted by their first text's key."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, shingle: int):
         super().__init__(limit)
-        self.memo = Words(200_000)
+        self.memo, self.shingle = Words(200_000), shingle
 
     def __missing__(self, text: bytes) -> np.ndarray:
-        self[text] = s = next(sets([text], self.memo))
+        self[text] = s = next(sets([text], self.memo, self.shingle))
         return s
 
 
-def both_sets(batches) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
-    kept, memo = Sets(20), Words(200_000)
+def both_sets(batches, shingle: int) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    kept, memo = Sets(20, shingle), Words(200_000)
     for batch in parts(batches, -1):
         kept.trim()
-        yield batch, ((kept[x], y) for x, y in zip(batch.column(2).to_pylist(), sets(batch.column(3).to_pylist(), memo)))
+        yield batch, ((kept[x], y) for x, y in zip(batch.column(2).to_pylist(), sets(batch.column(3).to_pylist(), memo, shingle)))
 
 
-def verified(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, n_a, n_b, both) of pairs (a, b); both: common shingles, -1 if too few for a group."""
 
+    least = rule.group / (1 + rule.group)
+
     def run(batches):
-        for batch, couples in both_sets(batches):
-            rows = [(len(s), len(t), common(s, t, int(GROUP / (1 + GROUP) * (len(s) + len(t))))) for s, t in couples]
+        for batch, couples in both_sets(batches, rule.shingle):
+            rows = [(len(s), len(t), common(s, t, least.numerator * (len(s) + len(t)) // least.denominator)) for s, t in couples]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], *(pa.array(c, pa.int64()) for c in zip(*rows))], ["a", "b", "n_a", "n_b", "both"]
             )
@@ -305,15 +349,12 @@ def verified(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame) -> DataFrame
     return staged(rows, "verified").distinct()
 
 
-LINKED = "100 * both >= 90 * (n_a + n_b - both)"
-
-
-def differences(groups: DataFrame, nodes_: DataFrame, texts: DataFrame, counts) -> DataFrame:
+def differences(groups: DataFrame, nodes_: DataFrame, texts: DataFrame, counts, shingle: int) -> DataFrame:
     """(hub, node, n_hub, n, elements) per member (a: hub, b: node): what it adds, then what it lacks, each rare first."""
 
     def run(batches):
         c = counts.value
-        for batch, couples in both_sets(batches):
+        for batch, couples in both_sets(batches, shingle):
             rows = []
             for x, y in couples:
                 ordered = []
@@ -331,49 +372,52 @@ def differences(groups: DataFrame, nodes_: DataFrame, texts: DataFrame, counts)
     return rows.dropDuplicates(["hub", "node"])
 
 
-def links(docs: DataFrame, nodes_: DataFrame, counts) -> DataFrame:
+def links(docs: DataFrame, nodes_: DataFrame, counts, rule: Rule) -> DataFrame:
     """Linked pairs of nodes (u, v) that connect all that is connected."""
     postings = nodes_.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     buckets = postings.groupBy("gram").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1").drop("size")
     sizes = nodes_.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
-    length = "10 * least(n, n_hub) >= {0} * greatest(n, n_hub)"
+    group = rule.group
+    length = f"{group.denominator} * least(n, n_hub) >= {group.numerator} * greatest(n, n_hub)"
     shared = staged(postings.join(buckets, "gram"), "postings")
     hubs = (
         shared.where("node <> hub").select("hub", "node", "n").distinct()
-        .join(sizes, "hub").where(length.format(int(10 * GROUP))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        .join(sizes, "hub").where(length).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
-    hubs = staged(may_differ(hubs, nodes_, GROUP), "hub-pairs")
-    hub_texts = wanted_texts(docs, nodes_, hubs)
-    near = verified(hubs, nodes_, hub_texts)
-    first = near.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    hubs = staged(may_differ(hubs, nodes_, group), "hub-pairs")
+    hub_texts = wanted_texts(docs, nodes_, hubs, rule.shingle)
+    near = verified(hubs, nodes_, hub_texts, rule)
+    first = near.where(rule.linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = staged(components(first), "labels")
 
     # Groups: a member's hub is the smallest one that is near enough; others are groups of their own.
-    member = near.where(F.expr(f"both >= {GROUP} * (n_a + n_b - both)")).groupBy("b").agg(F.min("a").alias("a"))
+    member = near.where(alike(group)).groupBy("b").agg(F.min("a").alias("a"))
     known = label.select("node", "label")
     state = staged(
         nodes_.select("node", "n").join(member.withColumnRenamed("b", "node"), "node", "left").join(known, "node", "left")
         .select("node", "n", F.coalesce("a", "node").alias("group"), F.coalesce("label", "node").alias("label")), "state",
     )
-    inside = within(state, known, nodes_, hub_texts, counts)
-    across = between(shared, state)
+    inside = within(state, known, nodes_, hub_texts, counts, rule)
+    across = between(shared, state, rule)
     rest = inside.union(across).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = staged(may_differ(rest, nodes_, 0.9), "other-pairs")
-    more = verified(rest, nodes_, wanted_texts(docs, nodes_, rest))
-    return first.union(more.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rest = staged(may_differ(rest, nodes_, rule.similarity), "other-pairs")
+    more = verified(rest, nodes_, wanted_texts(docs, nodes_, rest, rule.shingle), rule)
+    return first.union(more.where(rule.linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFrame, counts) -> DataFrame:
+def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFrame, counts, rule: Rule) -> DataFrame:
     """Pairs of one group that may link though one of them is not connected with the hub."""
     member = state.where("node <> group").join(
         label.select(F.col("node").alias("group"), F.col("label").alias("hub_label")), "group", "left"
     ).withColumn("far", F.expr("label <> coalesce(hub_label, `group`)"))
     open_ = member.where("far").select("group").distinct()
     member = staged(member.join(open_, "group").select("group", "node", "label", "far"), "members")
-    d = differences(member.select(F.col("group").alias("a"), F.col("node").alias("b")), nodes_, texts, counts)
-    # Two sets link when (|dx| + |dy| - (|x| + |y|) / 19) / 2 differences are shared; each side's least value of it:
+    d = differences(member.select(F.col("group").alias("a"), F.col("node").alias("b")), nodes_, texts, counts, rule.shingle)
+    # Two sets link when (|dx| + |dy| - apart / both * (|x| + |y|)) / 2 differences are shared; each side's least value of it:
+    both, apart = rule.q + rule.p, rule.q - rule.p
     least = F.expr(
-        "if(far, greatest(1, cast(ceil((19 * size(elements) - n - n_hub) / 38.0) as int)), cast(floor(9 * size(elements) / 19.0) as int) + 1)"
+        f"if(far, greatest(1, cast(({both} * size(elements) - {apart} * (n + n_hub) + {2 * both - 1}) div {2 * both} as int)),"
+        f" cast(({rule.p} * size(elements)) div {both} as int) + 1)"
     )
     rows = d.join(member.select(F.col("group").alias("hub"), "node", "label", "far"), ["hub", "node"])
     prefix = F.expr("slice(elements, 1, greatest(0, size(elements) - least + 1))")
@@ -384,12 +428,12 @@ def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFra
     pairs = side(rows.where("far"), "a").join(side(rows, "b"), ["hub", "element"]).where(
         "label_a <> label_b and (node_a < node_b or not far_b)"
         # the first difference in common leaves room for the others
-        " and 38 * least(d_a - pos_a, d_b - pos_b) >= 19 * (d_a + d_b) - n_a - n_b"
+        f" and {2 * both} * least(d_a - pos_a, d_b - pos_b) >= {both} * (d_a + d_b) - {apart} * (n_a + n_b)"
     )
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def between(shared: DataFrame, state: DataFrame) -> DataFrame:
+def between(shared: DataFrame, state: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different groups and components under one posted shingle."""
     rows = shared.join(state.select("node", "group", "label"), "node")
     home = rows.where("node = hub").select("gram", F.col("group").alias("home"))
@@ -401,19 +445,22 @@ def between(shared: DataFrame, state: DataFrame) -> DataFrame:
     two = rows.select(*[F.col(c).alias(c if c == "gram" else c + "_b") for c in rows.columns])
     pairs = one.join(two, "gram").where(
         "group_a <> group_b and label_a <> label_b and (group_b = home_b or node_a < node_b)"
-        " and 10 * least(n_a, n_b) >= 9 * greatest(n_a, n_b)"
-        " and 19 * least(n_a - pos_a, n_b - pos_b) >= 9 * (n_a + n_b)"
+        f" and {rule.q} * least(n_a, n_b) >= {rule.p} * greatest(n_a, n_b)"
+        f" and {rule.q + rule.p} * least(n_a - pos_a, n_b - pos_b) >= {rule.p} * (n_a + n_b)"
     )
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) per row."""
+def near_duplicates(
+    docs: DataFrame, *, shingle: int = 3, similarity: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, n_shingles, component_id) per row; links: shingles of so many words, so similar at least."""
+    rule = Rule.of(shingle, similarity)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    profile = profiles(docs)
+    profile = profiles(docs, rule)
     counts = docs.sparkSession.sparkContext.broadcast(frequencies(profile))
-    nodes_ = nodes(docs, profile, counts)
-    found = staged(components(links(docs, nodes_, counts)), "components")
+    nodes_ = nodes(docs, profile, counts, rule)
+    found = staged(components(links(docs, nodes_, counts, rule)), "components")
     joined = nodes_.select("node", "rep", "key").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = joined.join(smallest, "label").select("key", "component_id")
@@ -426,7 +473,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies."""
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, similarity=0.9)
 
 
 OP6_SQL = r"""

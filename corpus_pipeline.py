@@ -19,6 +19,9 @@ from chatsift.llm.common import read, staged
 # The stages learn and iterate; no SQL says the same.
 ORACLE_SQL = None
 
+#: Near copies: shingles of so many words, sets with this Jaccard similarity at least.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+
 
 def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work over (doc_id, text, __rest), with the other columns packed away and put back in their order."""
@@ -36,7 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies."""
-    found = jaccard.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs, shingle=NEAR_WORDS, similarity=NEAR_SIMILARITY)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
     return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))

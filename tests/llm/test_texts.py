@@ -185,6 +185,59 @@ def test_jaccard_of_few_rows(spark):
     assert jaccard.near_duplicates(table.limit(0)).count() == 0
 
 
+def plain_near(docs, words, percent):
+    sets = []
+    for _, text in docs:
+        w = SPACE.findall(lower(text))
+        sets.append({tuple(w[i: i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    label = list(range(len(docs)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and label[i] != label[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                label = [label[j] if k == label[i] else k for k in label]
+    least = {}
+    for (uid, _), k in zip(docs, label):
+        least[k] = min(uid, least.get(k, uid))
+    return sorted((uid, len(x), least[k]) for (uid, _), x, k in zip(docs, sets, label))
+
+
+def near_texts(seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(8):
+        base = prose(rng, rng.randrange(40, 140), 5000).split()
+        texts += [edited(rng, base, rng.randrange(0, 6)) for _ in range(12)]
+        texts += [" ".join(base + prose(rng, len(base) * k // 100, 5000).split()) for k in (8, 12, 18, 24, 30)]  # appended
+        texts += [" ".join(base[: len(base) * k // 100]) for k in (92, 86, 81, 76)]  # cut off
+    base = prose(rng, 150, 5000).split()  # one large group, many of whose pairs don't link
+    texts += [edited(rng, base, rng.randrange(0, 9)) for _ in range(150)]
+    chain = prose(rng, 200, 5000).split()  # links from one to the next only
+    texts += [" ".join(chain[7 * i: 7 * i + 110]) for i in range(12)]
+    texts += [prose(rng, rng.randrange(0, 30), 50) for _ in range(40)]
+    texts += ["a b c d", "A b  c d", "a c b d", "a b c", "a x y d", "a", "", None, "a b c d e", "a b c d e f"]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return list(zip(order, texts))
+
+
+@pytest.mark.parametrize("words,percent", [(5, 80), (2, 60), (7, 100)])
+def test_jaccard_at_other_figures(spark, words, percent):
+    docs = near_texts(words)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(table, shingle=words, similarity=percent / 100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_near(docs, words, percent)
+
+
+def test_pipeline_drops_near_copies_at_five_words(spark):
+    import corpus_pipeline as cp
+
+    docs = near_texts(3)
+    kept = cp.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    want = [uid for uid, _, c in plain_near(docs, 5, 80) if uid == c]
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert want != [uid for uid, _, c in plain_near(docs, 3, 90) if uid == c]
+
+
 def test_copies_that_pass_one_bit_table_by_chance(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BITS", 1 << 16)
     bit = lambda ids: {r.id: r.bit for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(
