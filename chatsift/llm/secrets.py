@@ -32,8 +32,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 VALUE_LEAST = 6
 
-#: Candidates: addresses, and tokens of 16 characters or more from their first character on.
-WEAK_PATTERN = r"""(?<![A-Za-z0-9+/_=.-])(?:https?://[^\s"'<>]{4,}|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|windows|googleapis)\.(?:com|net)|(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,})"""
+#: Candidates: addresses up to their query, and tokens of 16 characters or more from their
+#: first character on. A token has = only as padding at its end, so the value of name=value
+#: is one of its own; its name is one only if it is bare letters and digits.
+WEAK_PATTERN = (
+    r"""(?<![A-Za-z0-9+/_.-])(?:https?://(?=[^\s"'<>]{4})[^\s"'<>?#]+"""
+    r"""|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|windows|googleapis)\.(?:com|net)"""
+    r"""|(?=[A-Za-z+/_-]*[0-9])(?:[A-Za-z0-9+/_-]{16,}+=*+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/]{16,}+(?==+[A-Za-z0-9+/_-])))"""
+)
 
 
 def let(value: Column, body) -> Column:

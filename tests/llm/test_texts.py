@@ -399,6 +399,24 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_in_assignments_and_queries(spark):
+    lines = f"ACCESS_ID={ID}\nSIGNING_KEY={KEY}"
+    query = f"see https://h/?id={ID}&key={KEY} now"
+    docs = [(1, lines), (2, query), (3, f"{ID}={KEY}"), (4, f"https://s3.example.org/b#id={ID}&key={KEY}=="), (5, f"SIGNING_KEY_NUMBER_1={KEY}"),
+            (6, f"host=s3.amazonaws.com id={ID} key={KEY}"), (7, f"ACCESS_ID={ID}")]
+    by = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+    def at(text, **parts):
+        return ",".join(sorted((f"{k}:{text.index(v)}:{text.index(v) + len(v)}" for k, v in parts.items()), key=lambda s: int(s.split(":")[1])))
+
+    assert by[1] == at(lines, identifier=ID, secret=KEY)
+    assert by[2] == at(query, endpoint="https://h/", identifier=ID, secret=KEY)
+    assert by[3] == at(docs[2][1], identifier=ID, secret=KEY)
+    assert by[4] == at(docs[3][1], endpoint="https://s3.example.org/b", identifier=ID, secret=KEY + "==")
+    assert by[6] == at(docs[5][1], endpoint="s3.amazonaws.com", identifier=ID, secret=KEY)
+    assert by[5] == by[7] == ""
+
+
 # -- pipeline
 
 
