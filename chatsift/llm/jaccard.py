@@ -139,32 +139,32 @@ def key(s: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass: (id, n, key) per row, and the partial frequency table of each task (piece, counts)."""
+    """One pass over (id, mark, text): (id, mark, n, key) per row, and the partial frequency table of each task (piece, counts)."""
 
     def run(batches):
         memo, counts = Words(200_000), np.zeros(SLOTS, np.uint16)
         for batch in parts(batches):
             n, k = [], []
-            for s in sets(batch.column(1).to_pylist(), memo, rule.shingle):
+            for s in sets(batch.column(2).to_pylist(), memo, rule.shingle):
                 at = (s % SLOTS).astype(np.int64)
                 counts[at] += counts[at] < MOST  # of one text's shingles in a slot one counts
                 n.append(len(s))
                 k.append(key(s))
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["id", "n", "key", "piece", "counts"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(k, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
+                ["id", "mark", "n", "key", "piece", "counts"],
             )
         size = SLOTS // PIECES
         for p in range(PIECES):
             piece = counts[p * size: (p + 1) * size]
             if piece.any():
                 yield pa.RecordBatch.from_pydict({
-                    "id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "key": pa.array([None], pa.binary()),
+                    "id": pa.array([None], pa.int64()), "mark": pa.array([None], pa.string()), "n": pa.array([None], pa.int64()), "key": pa.array([None], pa.binary()),
                     "piece": pa.array([p], pa.int32()), "counts": pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary()),
                 })
 
-    return staged(docs.mapInArrow(run, "id long, n long, key binary, piece int, counts binary"), "profiles")
+    return staged(docs.mapInArrow(run, "id long, mark string, n long, key binary, piece int, counts binary"), "profiles")
 
 
 def frequencies(profile: DataFrame) -> np.ndarray:
@@ -455,20 +455,25 @@ def near_duplicates(
     docs: DataFrame, *, shingle: int = 3, similarity: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_shingles, component_id) per row; links: shingles of so many words, so similar at least."""
-    rule = Rule.of(shingle, similarity)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    profile = profiles(docs, rule)
+    rows = grouped(docs.select(F.col(id_col).alias("id"), F.lit(None).alias("mark"), F.col(text_col).alias("text")), Rule.of(shingle, similarity))
+    return rows.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(id, mark, n, label, least) per row of (id, mark, text); label: of its component, least: the smallest id there."""
+    whole = docs.select(F.col("id").cast("long"), F.col("mark").cast("string"), F.col("text").cast("string").cast("binary").alias("text"))
+    docs = whole.select("id", "text")
+    profile = profiles(whole, rule)
     counts = docs.sparkSession.sparkContext.broadcast(frequencies(profile))
     nodes_ = nodes(docs, profile, counts, rule)
     found = staged(components(links(docs, nodes_, counts, rule)), "components")
     joined = nodes_.select("node", "rep", "key").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    classes = joined.join(smallest, "label").select("key", "component_id")
-    rows = profile.where("piece is null").select("id", "n", "key")
-    return rows.join(classes, "key", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    smallest = joined.groupBy("label").agg(F.min("rep").alias("least"))
+    classes = joined.join(smallest, "label").select("key", "label", "least")
+    return profile.where("piece is null").select("id", "mark", "n", "key").join(classes, "key", "left").select("id", "mark", "n", "label", "least")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

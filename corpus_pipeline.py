@@ -2,8 +2,8 @@
 
 Each stage works on all rows its predecessor kept. All but the last return the columns
 they were given, further ones included; names may clash with an operator's own. Null
-and empty texts pass the filters. Ids are taken to be unique but for repeated rows,
-of which the second stage keeps one; rows without an id all stay.
+and empty texts pass the filters. Rows may lack an id or share one: the second stage
+judges every row by its own text.
 """
 
 from __future__ import annotations
@@ -38,11 +38,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    found = jaccard.near_duplicates(docs, shingle=NEAR_WORDS, similarity=NEAR_SIMILARITY)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """One row of each component of near copies: the smallest id, null last, and of its texts the smallest.
+
+    Texts without a word are in no component; of repeated rows (same id and text) one
+    stays, and all of them where the id is null.
+    """
+    text = F.col("text").cast("string")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.coalesce(F.md5(text.cast("binary")), F.lit(""))})
+    rows = staged(jaccard.grouped(
+        marked.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), "text"), jaccard.Rule.of(NEAR_WORDS, NEAR_SIMILARITY)
+    ), "near-rows")
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, left["__id"].eqNullSafe(right["id"]) & (left["__mark"] == right["mark"]), how)
+
+    first = rows.where("n > 0 and id <=> least")
+    marks = staged(first.groupBy("label").agg(F.first("id").alias("id"), F.min("mark").alias("mark"), F.max("mark").alias("other")), "near-first")
+    tied = first.join(marks.where("mark <> other").select("label"), "label").select("id", "mark", "label").distinct()
+    texts = meet(marked.select("__id", "__mark", text.alias("__text")), tied, "inner").groupBy("label", "id").agg(F.min("__text").alias("text"))
+    kept = (
+        marks.where("mark = other").select("id", "mark").union(texts.select("id", F.md5(F.col("text").cast("binary")).alias("mark")))
+        .union(rows.where("n = 0 and id is not null").select("id", "mark")).distinct()
+    )
+    lone = F.col("__id").isNull() & ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = meet(marked.where(~lone), kept, "left_semi").dropDuplicates(["__id", "__mark"])
+    return named.union(marked.where(lone)).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,6 +238,22 @@ def test_pipeline_drops_near_copies_at_five_words(spark):
     assert want != [uid for uid, _, c in plain_near(docs, 3, 90) if uid == c]
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    docs = [(1, a + " z"), (2, a), (2, b), (2, b), (3, c), (3, c + " y"), (4, c + " x"), (None, d), (None, d + " w"), (None, a + " v"),
+            (5, None), (5, None), (5, ""), (None, ""), (None, ""), (None, None)]
+    rng.shuffle(docs)
+    table = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, mark string").repartition(3)
+    out = cp.drop_near_copies(spark, table, "")
+    assert out.columns == table.columns
+    want = [(1, a + " z"), (2, b), (3, c), (None, d), (5, None), (5, ""), (None, ""), (None, ""), (None, None)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
 def test_copies_that_pass_one_bit_table_by_chance(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BITS", 1 << 16)
     bit = lambda ids: {r.id: r.bit for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(
