@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatsift.llm import decontam, jaccard, pii, quality, secrets, sentencepiece, sharding, tokenfile, toxicity, warc
+from chatsift.llm import decontam, jaccard, pii, quality, resampling, secrets, sentencepiece, sharding, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
+    "op11_resample": resampling.op11_resample,
 }
 
 ORACLE = {
     "op5_decontaminate": decontam.OP5_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op1_warc": warc.OP1_SQL,
+    "op11_resample": resampling.OP11_SQL,
 }
