@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatsift.llm import decontam, jaccard, pii, quality, resampling, secrets, sentencepiece, sharding, tokenfile, toxicity, warc
+from chatsift.llm import decontam, fourier, jaccard, pii, quality, resampling, secrets, sentencepiece, sharding, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
     "op11_resample": resampling.op11_resample,
+    "op12_quality_scores": fourier.op12_quality_scores,
 }
 
 ORACLE = {
