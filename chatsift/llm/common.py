@@ -80,3 +80,16 @@ class Bounded(dict):
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
+
+
+#: SQL of a table ``crc`` with one list ``t``: the 256 steps of CRC-32.
+CRC_TABLE_SQL = """
+  SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) r(i)"""
+
+
+def crc32_sql(h: str) -> str:
+    """SQL of the unsigned CRC-32 of bytes given as hex digits, beside a row of ``crc``."""
+    return f"""xor(list_reduce(
+    list_transform(range(0, length({h}) // 2), lambda k: cast('0x' || substr({h}, 2 * k + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatsift.llm import decontam, fourier, jaccard, pii, quality, resampling, secrets, sentencepiece, sharding, tokenfile, toxicity, warc
+from chatsift.llm import decontam, fourier, jaccard, pii, prefixtrie, quality, resampling, secrets, sentencepiece, sharding, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_resample": resampling.op11_resample,
     "op12_quality_scores": fourier.op12_quality_scores,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op1_warc": warc.OP1_SQL,
     "op11_resample": resampling.OP11_SQL,
+    "op13_prefix_trie": prefixtrie.OP13_SQL,
 }

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatsift.llm.common import partitions, parts, read, staged
+from chatsift.llm.common import CRC_TABLE_SQL, crc32_sql, partitions, parts, read, staged
 
 #: Bytes of a word as they are, A-Z in lower case, all others as spaces.
 _FOLD = bytes(
@@ -247,17 +247,13 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP11_SQL = f"""
-WITH crc AS (
-  SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
-  FROM range(256) r(i)
+WITH crc AS ({CRC_TABLE_SQL}
 ), docs AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS words FROM documents),
 dw AS (SELECT n, unnest(words) AS w FROM docs),
 bw AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
 vocab AS (SELECT w, hex(w) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
 hashed AS (
-  SELECT w, xor(list_reduce(
-    list_transform(range(0, length(h) // 2), lambda k: cast('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)),
-    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+  SELECT w, {crc32_sql("h")} % 10000 AS bucket
   FROM vocab, crc
 ),
 s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (w) GROUP BY bucket),
