@@ -32,12 +32,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 VALUE_LEAST = 6
 
+SPANS = "array<struct<start:int,end:int,kind:string>>"
+
 #: Candidates: addresses up to their query, and tokens of 16 characters or more from their
 #: first character on. A token has = only as padding at its end, so the value of name=value
 #: is one of its own; its name is one only if it is bare letters and digits.
 WEAK_PATTERN = (
     r"""(?<![A-Za-z0-9+/_.-])(?:https?://(?=[^\s"'<>]{4})[^\s"'<>?#]+"""
-    r"""|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|windows|googleapis)\.(?:com|net)"""
+    r"""|[a-z0-9-][a-z0-9.-]*\.(?:amazonaws|azure|windows|googleapis)\.(?:com|net)"""
     r"""|(?=[A-Za-z+/_-]*[0-9])(?:[A-Za-z0-9+/_-]{16,}+=*+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/]{16,}+(?==+[A-Za-z0-9+/_-])))"""
 )
 
@@ -47,34 +49,42 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(numbers: Column) -> Column:
+    """Sums of an array's numbers up to each place, in log2 rounds that add what stands 1, 2, 4 ... places before."""
+    before = lambda a, i, k: F.coalesce(F.get(a, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))
+
+    def summed(a: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int") - 1)
+        return F.when(F.size(a) > 1, F.aggregate(rounds, a, lambda a, k: F.transform(a, lambda x, i: x + before(a, i, k)))).otherwise(a)
+
+    return let(numbers.cast("array<int>"), summed)
+
+
 def found(text: Column, pattern: str, kind: Column | str, keep=None, group: int = 0) -> Column:
-    """Array of (start, order, end, kind) of the matches in text, in characters; ``keep`` tests the text of a group.
+    """Array of (start, end, kind) of the matches in text, in characters; ``keep`` tests the text of a group.
 
     The places follow from the lengths of the pieces between matches. Texts
-    without a match cost one search.
+    without a match cost one search, others little more than in proportion to their matches.
     """
     named = kind if callable(kind) else lambda _: F.lit(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-
-    def walk(rows: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
-
-        def step(a: Column, r: Column) -> Column:
-            begin = a["at"] + F.length(r["piece"])
-            end = begin + F.length(r["whole"])
-            span = F.struct(begin.alias("start"), end.alias("end"), named(r["whole"]).alias("kind"))
-            ok = keep(r["tested"]) if keep else F.lit(True)
-            return F.struct(end.alias("at"), F.when(ok, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
-
-        return F.aggregate(rows, start, step, lambda a: a["out"])
-
     pieces = F.split(text, pattern, -1)
     rows = F.filter(
         F.arrays_zip(pieces.alias("piece"), matches.alias("whole"), tested.alias("tested")), lambda r: r["whole"].isNotNull()
     )
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return F.when(text.rlike(pattern), walk(rows)).otherwise(empty)
+
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: F.length(r["piece"]) + F.length(r["whole"])))
+        spans = F.zip_with(rows, ends, lambda r, end: F.struct(
+            (end - F.length(r["whole"])).alias("start"), end.alias("end"), named(r["whole"]).alias("kind"),
+            (keep(r["tested"]) if keep else F.lit(True)).alias("kept"),
+        ))
+        return F.transform(F.filter(spans, lambda s: s["kept"]), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    none = F.array().cast(SPANS)
+    return F.when(text.rlike(pattern), let(rows, placed).cast(SPANS)).otherwise(none)
 
 
 def weak_kind(token: Column) -> Column:
@@ -103,22 +113,24 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "weak": found(t, WEAK_PATTERN, weak_kind, strong_token),
     }
     rows = rows.select(*others, F.xxhash64("__t", F.length("__t")).alias("__key"), *[s.alias(f"__{k}") for k, s in spans.items()])
-    base = F.concat(*[F.col(f"__{k}") for k in BASE])
-    free = F.filter("__weak", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return rows.withColumn("__base", base).withColumn("__weak", F.when(F.size("__weak") > 0, free).otherwise(F.col("__weak")))
+    return rows.withColumn("__base", F.concat(*[F.col(f"__{k}") for k in BASE]))
 
 
 def linked(parts: DataFrame) -> DataFrame:
     """The weak parts (row, start, end, kind) whose complementary parts are in reach.
 
     parts: row, start, end, kind, weak. Every part is dealt to the buckets that its
-    scope covers; parts of one bucket are joined on their intervals.
+    scope covers; parts of one bucket are joined on their intervals, first to drop
+    weak parts that overlap a base span, then to find what complements what.
     """
     bucket = F.explode(F.sequence(
         F.floor(F.greatest(F.col("start") - REACH, F.lit(0)) / REACH), F.floor((F.col("end") + REACH) / REACH)
     ))
     role = F.create_map(*[x for k, r in ROLE.items() for x in (F.lit(k), F.lit(r))])[F.col("kind")]
     dealt = parts.withColumn("role", role).withColumn("bucket", bucket)
+    base = dealt.where("not weak").select("row", "bucket", F.col("start").alias("from"), F.col("end").alias("to"))
+    covered = dealt.where("weak").join(base, ["row", "bucket"]).where("from < end and start < to").select("row", "start", "kind", "weak")
+    dealt = dealt.join(covered.distinct(), ["row", "start", "kind", "weak"], "left_anti")
     a = dealt.where("weak").select("row", "bucket", "start", "end", "kind", "role")
     b = dealt.select("row", "bucket", F.col("start").alias("start_b"), F.col("end").alias("end_b"), F.col("role").alias("role_b"))
     near = a.join(b, ["row", "bucket"]).where(
@@ -156,7 +168,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") ->
     )
     joined = rows.join(links.withColumnRenamed("row", "__row"), "__row", "left")
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    none = F.array().cast(SPANS)
     return joined.select(
         id_col, *[count(k) for k in BASE], F.sha2(spelled(ordered(F.col("__base"))), 256).alias("base_sha256"),
         spelled(ordered(F.concat("__base", F.coalesce("__more", none)))).alias("spans"),
