@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatsift.llm.common import parts, read
 
@@ -42,7 +43,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _MAYBE = re.compile(r"[0-9@]")
-_MENTION = re.compile(r"[^\s@<>(),;:\"]+ ?(?:@|\[at\]) ?[^\s@<>(),;:\"]+|[+(]?[0-9](?:[ ().-]{0,2}[0-9])+")
+_ANCHOR = re.compile(r"@|\[at\]")
+_SIDE = re.compile(r"[^\s@<>(),;:\"]+")
+_BOUND = frozenset("@<>(),;:\"")
+_NUMBER = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])+")
 
 SLOTS = 1 << 13
 ROUNDS = 12
@@ -96,10 +100,31 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         if s >= free:  # of overlapping base spans the first stands for both
             out.append((s, k, e))
             free = e
-    gaps = zip([0, *(e for _, _, e in out)], [*(s for s, _, _ in out), len(text)])
-    for a, b in list(gaps):
-        out += [(m.start(), NONE, m.end()) for m in _MENTION.finditer(text, a, b) if m.end() - m.start() >= 6]
-    return sorted(out)
+    for find in (addresses, numbers):
+        gaps = zip([0, *(e for _, _, e in out)], [*(s for s, _, _ in out), len(text)])
+        out = sorted(out + [(s, NONE, e) for a, b in gaps for s, e in find(text, a, b) if e - s >= 6])
+    return out
+
+
+def addresses(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """What looks like an address: an @ or [at] with a run of other characters on both sides, a space between at most."""
+    out, free = [], a
+    for m in _ANCHOR.finditer(text, a, b):
+        if m.start() < free:
+            continue
+        end = m.start() - (m.start() > free and text[m.start() - 1] == " ")
+        start = end
+        while start > free and text[start - 1] not in _BOUND and not text[start - 1].isspace():
+            start -= 1
+        side = _SIDE.match(text, m.end() + (text[m.end(): m.end() + 1] == " "), b)
+        if start < end and side:
+            out.append((start, side.end()))
+            free = side.end()
+    return out
+
+
+def numbers(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    return [m.span() for m in _NUMBER.finditer(text, a, b)]
 
 
 def form(text: str) -> str:
@@ -211,31 +236,48 @@ def fit(rows: list[tuple[list[list[int]], list[int], list, list]], steps: int =
     return Field(w, near, linked)
 
 
-def train(docs: DataFrame, *, max_docs: int = 20_000) -> Field:
-    """Fit on docs (id, text): the sample's mentions come to the driver as slots and links."""
+def sampled(text: str, most: int) -> tuple[list[int], list[int], list[int], list[int]] | None:
+    """Clues, labels, chain and skip links of a text's mentions; of more than ``most`` those with the smallest hash."""
+    found = mentions(text, base_spans(text))
+    if len(found) > most:
+        found = sorted(sorted(found, key=lambda f: (zlib.crc32(f"{f[0]}:{text[f[0]: f[2]]}".encode()), f))[:most])
+    if not found:
+        return None
+    chain, skip = edges(text, found)
+    return ([i for s, _, e in found for i in clues(text, s, e)], [k for _, k, _ in found],
+            [i for p in chain for i in p], [i for p in skip for i in p])
+
+
+def train(docs: DataFrame, *, max_docs: int = 20_000, max_mentions: int = 1000) -> Field:
+    """Fit on docs (id, text): the sample's mentions come to the driver as slots and links.
+
+    The sample: one text (the smallest by hash) of each of ``max_docs`` ids, the smallest
+    by hash of those with a digit or an @, and ``max_mentions`` mentions of each.
+    """
     ids = (
         docs.where("id is not null").where(F.col("text").rlike("[0-9@]")).select("id").distinct()
         .orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(max_docs)
     )
+    rows = docs.join(F.broadcast(ids), "id").select("id", F.xxhash64("text").alias("h"), "text")
+    schema = rows.select("id", "h").schema
+    lists = ("clues", "labels", "chain", "skip")
+    for name in lists:
+        schema = schema.add(name, T.ArrayType(T.IntegerType()))
 
     def extract(batches):
         for batch in parts(batches):
-            out = []
-            for text in batch.column(0).to_pylist():
-                found = mentions(text or "", base_spans(text))[:1000]
-                if found:
-                    chain, skip = edges(text, found)
-                    out.append(([i for s, _, e in found for i in clues(text, s, e)], [k for _, k, _ in found],
-                                [i for p in chain for i in p], [i for p in skip for i in p]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in zip(*out)], ["clues", "labels", "chain", "skip"])
-
-    schema = "clues array<int>, labels array<int>, chain array<int>, skip array<int>"
-    rows = docs.join(F.broadcast(ids), "id").select("text").mapInArrow(extract, schema).toLocalIterator()
+            told = [sampled(t or "", max_mentions) for t in batch.column(2).to_pylist()]
+            at = [i for i, x in enumerate(told) if x]
+            if at:
+                kept = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns[:2], *(pa.array(c, pa.list_(pa.int32())) for c in zip(*(told[i] for i in at)))], schema.names)
+
+    found = rows.mapInArrow(extract, schema).groupBy("id").agg(F.min_by(F.struct(*lists), "h").alias("r")).select("r.*").collect()
     pair = lambda a: list(zip(a[::2], a[1::2]))
     return fit([
         ([r.clues[i: i + len(r.clues) // len(r.labels)] for i in range(0, len(r.clues), len(r.clues) // len(r.labels))],
-         list(r.labels), pair(r.chain), pair(r.skip)) for r in rows
+         list(r.labels), pair(r.chain), pair(r.skip)) for r in found
     ])
 
 
