@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from chatsift.llm.common import read, staged
 
 WINDOW = 8
-SPACE = "[ \t-\r]"
+WORD = "[^ \t-\r]+"
 WORDS_LEAST, REPEAT_MOST = 20, 30
 ROUNDS = 40
 #: Votes added to the counts of each rule, as a share of all documents: bad votes on bad and on good texts.
@@ -52,9 +52,8 @@ def repeated_words(words: Column) -> Column:
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with its counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \t-\r]"))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(*others, text.alias("__text"), words.alias("__words"), lines.alias("__lines"))
     return rows.select(
