@@ -114,15 +114,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def sample(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Slots of the texts whose ids are in a bounded table."""
+    """Slots of one text of each id of a bounded table: the smallest by hash, if an id has several."""
+    rows = docs.join(F.broadcast(ids), "id").select("id", F.xxhash64("text").alias("h"), "text")
+    schema = rows.select("id", "h").schema.add("pairs", "binary")
 
     def extract(batches):
         for batch in parts(batches):
-            pairs = [np.array([slot(w) for w in sorted(forms(t))], "<i4").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"pairs": pa.array(pairs, pa.binary())})
+            pairs = [np.array([slot(w) for w in sorted(forms(t))], "<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(pairs, pa.binary())], schema.names)
 
-    rows = docs.join(F.broadcast(ids), "id").select("text").mapInArrow(extract, "pairs binary").toLocalIterator()
-    return [np.frombuffer(r.pairs, "<i4").reshape(-1, 2) for r in rows]
+    found = rows.mapInArrow(extract, schema).groupBy("id").agg(F.min_by("pairs", "h").alias("pairs")).collect()
+    return [np.frombuffer(bytes(r.pairs), "<i4").reshape(-1, 2) for r in sorted(found, key=lambda r: str(r.id))]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unlabelled: int = 12000) -> Classifier | None:
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_u
     known = labels.agg(F.count("*").alias("n"), F.sum(F.expr("int(toxic = 1)")).alias("toxic")).first()
     if not known.toxic:
         return None
-    # An id may stand for repeated rows, so the samples are of distinct ids.
+    # An id may stand for many rows: one text of each counts.
     rank = F.xxhash64("id", F.lit("sample"))
     positive = labels.where("toxic = 1").orderBy(rank, "id").limit(max_positive).select("id")
     unlabelled = docs.where("id is not null").select("id").distinct().orderBy(rank, "id").limit(max_unlabelled)
