@@ -1,38 +1,41 @@
-"""Cooldown policy as a batch replay: one ordered fold per (chat, intent).
+"""Cooldown policy as a batch replay: ordered folds per (chat, intent).
 
 Decisions depend on earlier decisions, so no window function can express them.
-Events are shuffled once and folded in a streaming pass over each sorted
-partition; nothing is collected per group.
-
-Two layouts, chosen by a count of the largest group:
-
-* groups that fit one task: hash partitioning by (chat, intent);
-* a hot chat: range partitioning by (chat, intent, ts, seq), which cuts long
-  histories into chunks. Chunks are folded side by side; only the tracker at
-  each cut has to be known. It is found by folding each chunk from a guess and
-  correcting until no cut changes. Any reset, long pause or new action in a
-  chunk makes its result independent of the guess, so two rounds are usual.
-  Counters are kept relative to the cut, so they never cause another round.
+One plan for all sizes, in one job:
+
+1. Events are shuffled once, by (chat, intent, piece of time), and sorted. So a hot
+   chat is as many pieces as it has days.
+2. Each piece says what it makes of any tracker it may be entered with. After an idle
+   pause it starts afresh, whatever came before. Otherwise the entry matters only
+   until every possible tracker has fired: a fire sets the tracker
+   anew, so the table lists the events up to there, a window's worth, and for each of their
+   messages the tracker at the end of the piece if it is the first to fire.
+3. Per (chat, intent), one task goes through the tables of its pieces in order and finds the
+   tracker that each piece is entered with. Counters are kept relative.
+4. The sorted pieces are folded, side by side, each from its entry.
+
+Nothing is collected, and no step repeats.
 """
 
 from __future__ import annotations
 
 import json
-import math
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatsift.config import MESSAGE, OBSERVE, PAYMENT, PolicyParams, shared_dir
+from chatsift.config import DISMISSED, MESSAGE, OBSERVE, PAYMENT, RESET, PolicyParams
 from chatsift.functions.payload import override_key, payload_json
-from chatsift.operators.decision import Tracker, advance
+from chatsift.operators.decision import SECOND, Tracker, advance, alive
 from chatsift.operators.enrich import keyed_controls
 
 KEY = ["chat_id", "intent"]
-ORDER = ["chat_id", "intent", "ts", "seq"]
-MAX_GROUP_ROWS = 2_000_000
+#: Seconds of one chat and intent that one step of a task holds.
+PIECE_SECONDS = 86_400
 
 _ADDED = [
     ("should_popup", T.BooleanType(), pa.bool_()),
@@ -89,65 +92,45 @@ def policy_events(
     return rows.unionByName(ctl, allowMissingColumns=True)
 
 
-def largest_group(events: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in all); one small aggregation."""
-    row = (
-        events.where(_tracked()).groupBy(*keys).count()
-        .agg(F.max("count"), F.sum("count")).first()
-    )
-    return row[0] or 0, row[1] or 0
-
-
 def _tracked():
     return F.coalesce("chat_id", F.lit("")) != ""
 
 
-def decide(
-    events: DataFrame,
-    params: PolicyParams = PolicyParams(),
-    sizes: tuple[int, int] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def decide(events: DataFrame, params: PolicyParams = PolicyParams(), piece_seconds: int = PIECE_SECONDS) -> DataFrame:
     """Fold ordered events into one decision row per event.
 
-    ``sizes`` is (an upper bound on the rows of any one group, rows in all), if
-    the caller knows it more cheaply than by counting ``events``; see
-    :func:`largest_group`. Rows without a chat are never tracked: they pop.
+    Histories are cut every ``piece_seconds``; results don't depend on it. Rows
+    without a chat are never tracked: they pop, and are spread by their number.
     """
-    largest, total = sizes or largest_group(events, KEY)
-    rows = events.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    if largest <= max_group_rows:
-        # rows without a chat have no order to keep: spread them
-        salt = F.when(~_tracked(), F.col("seq"))
-        ordered = rows.repartition(*KEY, salt).sortWithinPartitions(*ORDER)
-        return _fold(ordered, params, entries={}).drop("_us")
-    return _fold_hot(rows, params, math.ceil(total / max_group_rows)).drop("_us")
-
-
-def _fold(ordered: DataFrame, params: PolicyParams, entries: dict) -> DataFrame:
-    added = [T.StructField(name, kind) for name, kind, _ in _ADDED]
-    schema = T.StructType(ordered.schema.fields + added)
-    return ordered.mapInArrow(lambda batches: _fold_batches(batches, params, entries), schema)
-
-
-def _fold_batches(batches, params, entries):
-    """Fold sorted batches; ``entries`` gives the tracker a chunk starts with."""
-    key, tracker, started = None, None, False
+    piece = [*KEY, "_piece"]
+    order = [*piece, "ts", "seq"]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = F.when(_tracked(), F.floor(us / (piece_seconds * SECOND))).otherwise(F.col("seq"))
+    rows = events.withColumns({"_us": us, "_piece": cut.cast("long")})
+    rows = rows.repartition(*piece).sortWithinPartitions(*order)
+    tables = rows.mapInArrow(lambda b: _tables(b, params), "c string, i string, p long, body string")
+    entries = tables.repartition("c", "i").sortWithinPartitions("c", "i", "p").mapInArrow(
+        lambda b: _entries(b, params), "c string, i string, p long, _entry string")
+    # the shuffle of the rows is the same in both branches, so Spark runs it once
+    entered = rows.join(entries, [rows[a] == entries[b] for a, b in zip(piece, "cip")], "left").drop("c", "i", "p")
+    schema = T.StructType(rows.schema.fields + [T.StructField(name, kind) for name, kind, _ in _ADDED])
+    folded = entered.sortWithinPartitions(*order).mapInArrow(lambda b: _fold(b, params), schema)
+    return folded.drop("_us", "_piece")
+
+
+def _fold(batches, params):
+    """Fold sorted pieces, each from the tracker it is entered with."""
+    piece, tracker = None, None
     for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in (
-            "chat_id", "intent", "kind", "_us", "key1", "key2", "payload_json")}
-        if not started and batch.num_rows:
-            started = True
-            if entries:
-                tracker = entries.get(batch.column("_chunk")[0].as_py())
-                key = (cols["chat_id"][0], cols["intent"][0])
+        cols = [batch.column(n).to_pylist() for n in (
+            "chat_id", "intent", "_piece", "_entry", "kind", "_us", "key1", "key2", "payload_json")]
         out = []
-        for chat, intent, kind, now, key1, key2, body in zip(*cols.values()):
+        for chat, intent, p, entry, kind, now, key1, key2, body in zip(*cols):
             if not chat:
                 out.append(_UNTRACKED.get(kind, _NOTHING))
                 continue
-            if (chat, intent) != key:
-                key, tracker = (chat, intent), None
+            if (chat, intent, p) != piece:
+                piece, tracker = (chat, intent, p), Tracker(*json.loads(entry)) if entry else None
             tracker, o = advance(tracker, kind, now, key1, key2, body, params)
             if tracker is None:
                 out.append((o.should_popup, o.suppressed_reason, o.remaining, "idle",
@@ -159,105 +142,164 @@ def _fold_batches(batches, params, entries):
                             tracker.last_event, tracker.reason, tracker.payload))
         columns = list(zip(*out)) or [()] * len(_ADDED)
         added = [pa.array(v, t) for v, (_, _, t) in zip(columns, _ADDED)]
-        yield pa.RecordBatch.from_arrays(
-            batch.columns + added, names=batch.schema.names + [n for n, _, _ in _ADDED]
-        )
-
-
-# -- hot chats ------------------------------------------------------------------
-
-def _fold_hot(rows: DataFrame, params: PolicyParams, chunks: int) -> DataFrame:
-    spark = rows.sparkSession
-    shared_dir(spark)
-    chunks = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # first checkpoint: finding range bounds reads the rows once more, and that
-    # must not repeat the extraction; second: the bounds come from sampling, so
-    # the cut itself must be kept
-    staged = (
-        rows.checkpoint().repartitionByRange(chunks, *ORDER).sortWithinPartitions(*ORDER)
-        .withColumn("_chunk", F.spark_partition_id()).checkpoint()
-    )
-    entries = _entry_trackers(staged, params)
-    return _fold(staged, params, entries).drop("_chunk")
+        names = [n for n in batch.schema.names if n != "_entry"]
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + added, names=names + [n for n, _, _ in _ADDED])
 
 
-def _entry_trackers(staged: DataFrame, params: PolicyParams) -> dict[int, Tracker | None]:
-    """The tracker at each cut that falls inside a group.
+# -- what a piece makes of any entry ----------------------------------------------------
 
-    Reads one row per chunk on the driver; the number of chunks is ours.
-    """
-    edges = sorted(
-        staged.groupBy("_chunk")
-        .agg(F.min_by(F.struct(*KEY), F.struct(*ORDER)).alias("first"),
-             F.max_by(F.struct(*KEY), F.struct(*ORDER)).alias("last"))
-        .collect(), key=lambda r: r["_chunk"],
-    )
-    follows = {}  # chunk -> the chunk it continues
-    for prev, cur in zip(edges, edges[1:]):
-        if prev["last"]["chat_id"] and tuple(prev["last"]) == tuple(cur["first"]):
-            follows[cur["_chunk"]] = prev["_chunk"]
-    last_key = {r["_chunk"]: tuple(r["last"]) for r in edges}
-    # chunks that one group fills from start to end pass their entry on
-    through = {
-        r["_chunk"] for r in edges
-        if r["_chunk"] in follows and tuple(r["first"]) == tuple(r["last"])
-    }
-    thin = staged.select("_chunk", *KEY, "kind", "_us", "key1", "key2", "payload_json")
-    guess: dict[int, Tracker | None] = {}
-    exits: dict[int, tuple] = {}
-    todo = set(follows.values())
-    while todo:
-        start = {c: guess.get(c) for c in todo}
-        keys = {c: last_key[c] for c in todo}
-        rows = (
-            thin.where(F.col("_chunk").isin(sorted(todo)))
-            .mapInArrow(
-                lambda batches: _exit_batches(batches, params, start, keys),
-                "_chunk int, tracker string, carried boolean",
-            ).collect()
-        )
-        for r in rows:
-            t = json.loads(r["tracker"])
-            exits[r["_chunk"]] = (Tracker(*t) if t else None, r["carried"])
-        todo = set()
-        for cur in sorted(through & set(follows.values())):
-            entry = _without_counts(exits[follows[cur]][0])
-            if entry != guess.get(cur):
-                guess[cur] = entry
-                todo.add(cur)
-    entries: dict[int, Tracker | None] = {}
-    for cur in sorted(follows):  # counters: add what was there before the cut
-        prev = follows[cur]
-        tracker, carried = exits[prev]
-        before = entries.get(prev) if prev in through else None
-        if tracker is not None and carried and before is not None:
-            tracker = tracker._replace(
-                popup_count=tracker.popup_count + before.popup_count,
-                suppression_count=tracker.suppression_count + before.suppression_count,
-            )
-        entries[cur] = tracker
-    return entries
-
-
-def _without_counts(tracker: Tracker | None) -> Tracker | None:
-    return tracker and tracker._replace(popup_count=0, suppression_count=0)
-
-
-def _exit_batches(batches, params, start, keys):
-    """Tracker after the last group of a chunk, and whether the entry lived on."""
-    chunk, tracker, carried = None, None, True
+def _pieces(batches) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(chat, intent, piece) and its events (kind, us, key1, key2, payload), in order."""
+    piece, events = None, []
     for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in (
-            "_chunk", "chat_id", "intent", "kind", "_us", "key1", "key2", "payload_json")}
-        for c, chat, intent, kind, now, key1, key2, body in zip(*cols.values()):
-            if chunk is None:
-                chunk, tracker = c, start[c]
-            if not chat or (chat, intent) != keys[c]:
+        cols = [batch.column(n).to_pylist() for n in ("chat_id", "intent", "_piece", "kind", "_us", "key1", "key2", "payload_json")]
+        for chat, intent, p, *event in zip(*cols):
+            if not chat:
                 continue
-            tracker, o = advance(tracker, kind, now, key1, key2, body, params)
-            carried = carried and o.existed and tracker is not None
-    if chunk is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int32()), pa.array([json.dumps(tracker)]), pa.array([carried])],
-            names=["_chunk", "tracker", "carried"],
-        )
+            if (chat, intent, p) != piece:
+                if events:
+                    yield piece, events
+                piece, events = (chat, intent, p), []
+            events.append(tuple(event))
+    if events:
+        yield piece, events
+
+
+def _tables(batches, params):
+    rows = []
+    for piece, events in _pieces(batches):
+        rows.append((*piece, json.dumps(table(events, params))))
+        if len(rows) == 1000:
+            yield _batch(rows, "body")
+            rows = []
+    if rows:
+        yield _batch(rows, "body")
+
+
+def _batch(rows: list[tuple], last: str) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["c", "i", "p", last])
+
+
+def table(events: list[tuple], params: PolicyParams) -> list:
+    """[time of the first event, tracker at the end, events up to where every entry has fired, {message: (end, carried)}].
+
+    With a pause inside, the end is known: the last session starts from nothing.
+    Otherwise it follows from the entry, see :func:`leave`.
+    """
+    first, pause = events[0][1], params.eviction * SECOND
+    for start in range(len(events) - 1, 0, -1):
+        if events[start][1] - events[start - 1][1] > pause:
+            tracker = None
+            for kind, now, *rest in events[start:]:
+                tracker, _ = advance(tracker, kind, now, *rest, params)
+            return [first, tracker, None, None]
+    # the longest that a tracker from before can keep quiet; None: it is gone
+    quiet: int | None = first + max(params.cooldown, params.dismissed, params.grace) * SECOND
+    n = 0
+    for n, (kind, now, *_) in enumerate(events, 1):
+        if kind == MESSAGE and (quiet is None or now >= quiet):
+            break
+        if kind in (RESET, PAYMENT, DISMISSED):
+            quiet = None if kind == RESET else now + SECOND * (params.grace if kind == PAYMENT else params.dismissed)
+    head = events[:n]
+    return [first, None, head, ends(events, [i for i, e in enumerate(head) if e[0] == MESSAGE], params)]
+
+
+def ends(events: list[tuple], starts: list[int], params: PolicyParams) -> dict[int, tuple[Tracker | None, bool]]:
+    """Tracker at the end if the message at a start fires, counted from there, and whether its counters lived on.
+
+    From fire to fire: the next one is the first message after the cooldown or with
+    another action, found without a look at those between, unless a control comes before it.
+    """
+    n = len(events)
+    control = [n] * (n + 1)  # the next control
+    other = [n] * n  # the next message with another action
+    near: list[tuple[str | None, int]] = [(None, n), (None, n)]
+    beyond = [n, n]  # the next message whose key differs from the nearest one's
+    for i in range(n - 1, -1, -1):
+        kind, _, *keys = events[i][:4]
+        control[i] = control[i + 1] if kind in (MESSAGE, OBSERVE) else i
+        if kind != MESSAGE:
+            continue
+        for k in (0, 1):
+            if keys[k]:
+                if near[k][0] != keys[k]:
+                    beyond[k] = near[k][1]
+                near[k] = (keys[k], i)
+                other[i] = min(other[i], beyond[k])
+    messages = [i for i, e in enumerate(events) if e[0] == MESSAGE]
+    times = [events[i][1] for i in messages]
+    rank = {i: r for r, i in enumerate(messages)}
+
+    def step(i: int) -> tuple[int, Tracker | None, int, int, bool]:
+        """(next fire or n, tracker at the end, popups, quiet messages, carried) after a fire at i."""
+        now, key1, key2, body = events[i][1:]
+        t = Tracker("cooldown", now, now, key1, key2, body, 0, 0, "popup_just_fired")
+        r = max(rank[i] + 1, bisect_left(times, now + min(params.cooldown * SECOND, params.eviction * SECOND + 1)))
+        j = min(messages[r] if r < len(messages) else n, other[i])
+        c = control[i + 1]
+        if j < c:
+            carried = events[j][1] - now <= params.eviction * SECOND
+            return j, None, 1, rank[j] - rank[i] - 1 if carried else 0, carried
+        t = t._replace(suppression_count=(bisect_left(messages, c) - rank[i] - 1))
+        carried = True
+        for j in range(c, n):
+            kind, at, *rest = events[j]
+            t, o = advance(t, kind, at, *rest, params)
+            carried = carried and o.existed
+            if o.should_popup:
+                return j, None, t.popup_count, t.suppression_count, carried
+            carried = carried and t is not None
+        return n, t, 0, 0, carried
+
+    known: dict[int, tuple[Tracker | None, bool]] = {}
+    for start in starts:
+        path, i = [], start
+        while i not in known:
+            j, t, popups, quiet, carried = step(i)
+            if j == n:
+                known[i] = (t, carried)
+                break
+            path.append((i, j, popups, quiet, carried))
+            i = j
+        for i, j, popups, quiet, carried in reversed(path):
+            t, lived = known[j]
+            if lived and t is not None:
+                t = t._replace(popup_count=t.popup_count + popups, suppression_count=t.suppression_count + quiet)
+            known[i] = (t, lived and carried)
+    return {i: known[i] for i in starts}
+
+
+def leave(entry: Tracker | None, head: list, at_end: dict, params: PolicyParams) -> Tracker | None:
+    """The tracker at the end of a piece that is entered with ``entry``."""
+    t = entry
+    for i, (kind, now, *rest) in enumerate(head):
+        t, o = advance(t, kind, now, *rest, params)
+        if o.should_popup:
+            end, carried = at_end[str(i)]
+            if end is None:
+                return None
+            end = Tracker(*end)
+            if carried:
+                end = end._replace(
+                    popup_count=end.popup_count + t.popup_count, suppression_count=end.suppression_count + t.suppression_count)
+            return end
+    return t
+
+
+def _entries(batches, params):
+    """The tracker that each piece is entered with, where there is one."""
+    key, t = None, None
+    for batch in batches:
+        out = []
+        for chat, intent, piece, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if (chat, intent) != key:
+                key, t = (chat, intent), None
+            first, end, head, at_end = json.loads(body)
+            t = alive(t, first, params.eviction)
+            if t is not None:
+                out.append((chat, intent, piece, json.dumps(t)))
+            t = leave(t, head, at_end, params) if head else end and Tracker(*end)
+        if out:
+            yield _batch(out, "_entry")

@@ -5,30 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chatsift.config import PolicyParams
 from chatsift.operators.enrich import fired_intents
-from chatsift.operators.policy import MAX_GROUP_ROWS, decide, policy_events
+from chatsift.operators.policy import PIECE_SECONDS, decide, policy_events
 
 CARRIED = ["message_id", "sender", "ordinal", "confidence", "payload", "targeting"]
 
 
-def chat_sizes(messages: DataFrame, controls: DataFrame | None = None) -> tuple[int, int]:
-    """Upper bounds for :func:`decide`: events of the largest chat, and in all.
-
-    Reads only the chat column, so no text is scored for it.
-    """
-    chats = messages.select("chat_id")
-    if controls is not None:
-        chats = chats.unionByName(controls.select("chat_id"))
-    row = (
-        chats.where(F.coalesce("chat_id", F.lit("")) != "").groupBy("chat_id").count()
-        .agg(F.max("count"), F.sum("count")).first()
-    )
-    return row[0] or 0, row[1] or 0
-
-
 def enrich_and_decide(
     messages: DataFrame,
     controls: DataFrame | None = None,
@@ -36,7 +20,7 @@ def enrich_and_decide(
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     keep: list[str] | None = None,
     observe: bool = True,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    piece_seconds: int = PIECE_SECONDS,
     keys: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Score, extract and decide. One row per fired intent and control.
@@ -48,4 +32,4 @@ def enrich_and_decide(
     """
     fired = fired_intents(messages, params, scorer, keep="money" if observe else "fired")
     events = policy_events(fired, controls, CARRIED if keep is None else keep, keys)
-    return decide(events, params, chat_sizes(messages, controls), max_group_rows)
+    return decide(events, params, piece_seconds)

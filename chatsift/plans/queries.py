@@ -224,8 +224,8 @@ def decisions(spark, sf):
 
 @query
 def hot_chat_decisions(spark, sf):
-    """Histories cut into chunks as for a chat too big for a task; quiet messages included."""
-    return _decisions(spark, sf, observe=True, keep=[], max_group_rows=500).select(DECISION)
+    """Histories cut into pieces of three hours, much shorter than the windows; quiet messages included."""
+    return _decisions(spark, sf, observe=True, keep=[], piece_seconds=10_800).select(DECISION)
 
 
 KEYS = {"money": ["direction"], "maps": ["place"]}

@@ -1,6 +1,7 @@
 """The fold against a literal re-telling of the rules, in every layout."""
 
 import datetime
+import json
 import random
 
 import pytest
@@ -87,21 +88,21 @@ def test_replay_equals_the_rules(spark):
     assert run(spark, rows) == retell(rows)
 
 
-@pytest.mark.parametrize("seed", [2, 3])
-def test_hot_chat_in_chunks_equals_the_rules(spark, seed):
+@pytest.mark.parametrize("seed,piece", [(2, 7), (3, 60), (8, 400)])
+def test_hot_chat_in_pieces_equals_the_rules(spark, seed, piece):
     rows = histories(seed, chats=4, length=50, hot=600)
-    assert run(spark, rows, max_group_rows=40) == retell(rows)
+    assert run(spark, rows, piece_seconds=piece) == retell(rows)
 
 
 def test_hot_chat_that_never_pauses(spark):
     """No reset, no pause, no new amount: every chunk depends on the one before."""
     rows = histories(4, chats=1, length=30, hot=500, kinds=["message"], amounts=(None,), gaps=(1, 2))
-    assert run(spark, rows, max_group_rows=50) == retell(rows)
+    assert run(spark, rows, piece_seconds=20) == retell(rows)
 
 
 def test_hot_chat_with_only_dismissals_and_payments(spark):
     rows = histories(5, chats=0, length=0, hot=400, kinds=["message", "popup_dismissed", "payment_complete"], gaps=(1, 7))
-    assert run(spark, rows, max_group_rows=30) == retell(rows)
+    assert run(spark, rows, piece_seconds=15) == retell(rows)
 
 
 def test_partitioning_does_not_matter(spark):
@@ -111,9 +112,45 @@ def test_partitioning_does_not_matter(spark):
 
 def test_untracked_rows_never_form_a_group(spark):
     rows = [(c, "money", BASE, i, "message", None, None, None) for i, c in enumerate([None, ""] * 50)]
-    for kw in ({}, {"max_group_rows": 1, "sizes": (10, 100)}):
-        got = run(spark, rows, **kw)
-        assert len(got) == 100 and all(r[1] is True and r[4] == "untracked" for r in got)
+    got = run(spark, rows)
+    assert len(got) == 100 and all(r[1] is True and r[4] == "untracked" for r in got)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_tables_of_pieces_tell_the_end_for_any_entry(seed):
+    """Without Spark: leaving a piece by its table equals folding it, from many trackers."""
+    rng = random.Random(seed)
+    params = rng.choice([P, PolicyParams(cooldown=30, dismissed=90, grace=6, eviction=20), PolicyParams(cooldown=5, dismissed=2, grace=50, eviction=60)])
+    kinds = rng.choice([KINDS, ["message"], ["message"] * 30 + ["popup_dismissed"], ["message", "payment_complete", "popup_dismissed", "observe"]])
+    events, at = [], 10**9
+    for _ in range(rng.randrange(1, 80)):
+        at += rng.choice([0, 1, 2, 6, 19]) * 10**6 + rng.randrange(2)
+        kind, key = rng.choice(kinds), rng.choice([None, "", "$1", "$2"])
+        events.append((kind, at, key if kind in ("message", "payment_complete") else None, rng.choice([None, "a", "b"]) if kind == "message" else None, key))
+    told = json.loads(json.dumps(policy.table(events, params)))
+    for _ in range(40):
+        born = events[0][1] - rng.randrange(params.eviction * 10**6)
+        entry = rng.choice([None, policy.Tracker(
+            rng.choice(["cooldown", "dismissed", "post_payment"]), born - rng.choice([0, 3 * 10**6]), born, rng.choice([None, "$1", "$3"]), rng.choice([None, "a"]), None, 7, 9, "r")])
+        want = entry
+        for e in events:
+            want, _ = policy.advance(want, e[0], e[1], *e[2:], params)
+        got = policy.leave(entry, told[2], told[3], params) if told[2] else told[1] and policy.Tracker(*told[1])
+        assert got == want, (entry, events)
+
+
+def test_same_plan_for_any_number_of_pieces(spark):
+    """One job, without a collect: the plan is lazy and the same for five pieces and for fifty."""
+    rows = histories(4, chats=1, length=30, hot=500, kinds=["message"], amounts=(None,), gaps=(1, 2))
+    events = spark.createDataFrame(rows, SCHEMA)
+    status = spark.sparkContext.statusTracker()
+    jobs = []
+    for piece in (150, 15):
+        spark.sparkContext.setJobGroup(f"pieces {piece}", "")
+        policy.decide(events, P, piece_seconds=piece).select(OUT).collect()
+        jobs.append(len(status.getJobIdsForGroup(f"pieces {piece}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
 
 
 @pytest.fixture(scope="module")
