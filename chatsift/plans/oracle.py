@@ -534,6 +534,10 @@ _RESPONSES = f"""WITH RECURSIVE {_FRAME_REPLAY},
         || coalesce(entries, '') || ']}}' AS response
       FROM fm JOIN m ON m.seq = fm.seq LEFT JOIN en ON en.seq = m.seq"""
 
+_SESSIONS = f"""WITH RECURSIVE {replay()}, gaps AS (SELECT *, us - lag(us) OVER w AS gap FROM (SELECT *, epoch_us(ts) AS us FROM allev WHERE kind <> 'observe' AND chat_id IS NOT NULL) a
+    WINDOW w AS (PARTITION BY chat_id, intent ORDER BY ts, seq)),
+  se AS (SELECT *, 1 + count(*) FILTER (gap > {D.PARAMS.eviction}000000) OVER (PARTITION BY chat_id, intent ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS session FROM gaps)"""
+
 ORACLE: dict[str, str] = {
     "trigger_totals": f"""{_F} SELECT trigger_type, direction, count(*) AS n, count(amount) AS with_amount,
       round(sum(CAST(nullif(regexp_replace(amount, '[^0-9.]', '', 'g'), '') AS DOUBLE)), 2) AS total
@@ -548,8 +552,8 @@ ORACLE: dict[str, str] = {
     "targeting": f"""SELECT seq, {addressee('text')} AS addressee, {third_party('text', addressee('text'), 'sender')} AS third_party,
       {is_self('text')} AS is_self, {is_mutual('text')} AS is_mutual FROM ({ACCEPTED}) x""",
     "time_phrases": f"""SELECT seq, time_iso, time_phrase, time_phrase IS NOT NULL AS is_valid,
-      length(left(text, 9)) >= 3 AND (regexp_matches(left(text, 9), '\\d') OR regexp_matches(lower(left(text, 9)),
-        {q(chr(92) + 'b(?:' + '|'.join(w.replace('.', chr(92) + '.') for w in V.TIME_WORDS) + ')' + chr(92) + 'b')})) AS starts_with_time
+      length(text) >= 3 AND (regexp_matches(text, '\\d') OR regexp_matches(lower(text),
+        {q(chr(92) + 'b(?:' + '|'.join(w.replace('.', chr(92) + '.') for w in V.TIME_WORDS) + ')' + chr(92) + 'b')})) AS names_a_time
       FROM ({timed(ACCEPTED)}) x""",
     "labels_and_titles": f"""SELECT seq, {strip_phrase('text', 'time_phrase')} AS stripped, {alarm_label('text', 'time_phrase')} AS label,
       {calendar_title('text', 'time_phrase')} AS title FROM ({timed(ACCEPTED)}) x""",
@@ -576,6 +580,19 @@ ORACLE: dict[str, str] = {
       SELECT seq, intent, should_popup, suppressed_reason, cooldown_remaining_seconds, popup_count FROM dec WHERE kind = 'message'""",
     "custom_key_decisions": f"""WITH RECURSIVE {replay(key1="CASE intent WHEN 'money' THEN direction WHEN 'maps' THEN nullif(place, '') END", key2='NULL').replace(D.controls_sql(), D.controls_sql() + ' AND false')}
       SELECT seq, intent, should_popup, suppressed_reason, cooldown_remaining_seconds, popup_count FROM dec WHERE kind = 'message'""",
+    "idle_sessions": f"""{_SESSIONS} SELECT seq, intent, kind, session FROM se
+      UNION ALL SELECT seq, intent, kind, NULL FROM allev WHERE chat_id IS NULL AND kind <> 'observe'""",
+    "session_totals": f"""{_SESSIONS} SELECT chat_id, intent, session, count(*) AS events, (max(us) - min(us)) // 1000000 AS seconds
+      FROM se GROUP BY 1, 2, 3""",
+    "states_as_of": f"""{_R}, lg AS (SELECT event_id AS seq, epoch_us(ts) AS us, CASE WHEN user_id % 3 = 0 THEN 'chat_hot' WHEN user_id % 7 = 1 THEN NULL
+        ELSE 'chat_' || CAST(user_id % 11 AS VARCHAR) END AS chat_id FROM events),
+      kn AS (SELECT *, epoch_us(ts) AS us FROM dec WHERE intent = 'money' AND kind <> 'observe' AND chat_state <> 'untracked'),
+      mixed AS (SELECT chat_id, us, seq, 0 AS side, CAST(NULL AS VARCHAR) AS k FROM lg WHERE chat_id IS NOT NULL
+        UNION ALL SELECT chat_id, us, seq, 1, concat_ws('/', chat_state, popup_count, suppression_count, last_event_us) FROM kn),
+      told AS (SELECT seq, side, last_value(k IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY us, seq, side ROWS UNBOUNDED PRECEDING) AS k FROM mixed)
+      SELECT lg.seq, split_part(k, '/', 1) AS chat_state, CAST(split_part(k, '/', 2) AS BIGINT) AS popup_count,
+        CAST(split_part(k, '/', 3) AS BIGINT) AS suppression_count, CAST(nullif(split_part(k, '/', 4), '') AS BIGINT) AS last_event_us
+      FROM lg LEFT JOIN told ON told.seq = lg.seq AND side = 0""",
     "stored_messages": D.messages_sql(),
     "stored_controls": f"SELECT seq, ts, chat_id, kind, intent, amount FROM ({D.controls_sql()}) c",
     "stored_replies": f"{_R} {_MONEY_ROW}",

@@ -16,8 +16,8 @@ from chatsift.functions import text as X
 from chatsift.functions import vocab as V
 from chatsift.functions.timephrase import with_time_phrase
 from chatsift.operators import dataset as DS
-from chatsift.operators import enrich, evaluate, learn, metrics, respond, state
-from chatsift.operators.policy import policy_events
+from chatsift.operators import enrich, evaluate, history, learn, metrics, respond, state
+from chatsift.operators.policy import KEY, policy_events
 from chatsift.plans import derived as D
 from chatsift.plans import end_to_end
 from chatsift.plans.session import tune
@@ -111,7 +111,7 @@ def time_phrases(spark, sf):
     timed = with_time_phrase(_accepted(spark, sf), "text", "ts")
     return timed.select(
         "seq", "time_iso", "time_phrase", X.valid_time_phrase(F.col("time_phrase")).alias("is_valid"),
-        X.valid_time_phrase(F.substr("text", F.lit(1), F.lit(9))).alias("starts_with_time"),
+        X.valid_time_phrase(F.col("text")).alias("names_a_time"),
     )
 
 
@@ -228,6 +228,31 @@ def hot_chat_decisions(spark, sf):
     return _decisions(spark, sf, observe=True, keep=[], piece_seconds=10_800).select(DECISION)
 
 
+@query
+def idle_sessions(spark, sf):
+    """Trackers' lives apart: each event's number of the session it falls into, per chat and intent."""
+    rows = policy_events(_fired(spark, sf), D.controls(spark, sf)).select("seq", "ts", "chat_id", "intent", "kind")
+    out = history.sessions(rows, D.PARAMS.eviction, KEY, piece_seconds=36_000)
+    return out.select("seq", "intent", "kind", "session")
+
+
+@query
+def session_totals(spark, sf):
+    rows = policy_events(_fired(spark, sf), D.controls(spark, sf)).select("seq", "ts", "chat_id", "intent")
+    out = history.session_totals(history.sessions(rows, D.PARAMS.eviction, KEY), KEY)
+    return out.select("chat_id", "intent", "session", "events", "seconds")
+
+
+@query
+def states_as_of(spark, sf):
+    """Every event of the log with the money tracker that its chat had right before it."""
+    chat = "CASE WHEN user_id % 3 = 0 THEN 'chat_hot' WHEN user_id % 7 = 1 THEN NULL ELSE 'chat_' || cast(user_id % 11 as varchar(9)) END"
+    log = D.events(spark, sf).select(F.col("event_id").alias("seq"), "ts", F.expr(chat).alias("chat_id"), F.lit("money").alias("intent"))
+    told = ["chat_state", "popup_count", "suppression_count", "last_event_us"]
+    known = history.as_of(log, _decisions(spark, sf, keep=[]).where("chat_state <> 'untracked'"), KEY, told)
+    return known.select("seq", *[F.col("known")[c].alias(c) for c in told])
+
+
 KEYS = {"money": ["direction"], "maps": ["place"]}
 
 
