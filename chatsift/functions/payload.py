@@ -102,3 +102,15 @@ def override_key(intent: Column, payload: Column, slot: int, keys: dict | None =
                 value = F.nullif(value, F.lit("0"))
             out = F.when(intent == name, F.nullif(value, F.lit(""))).otherwise(out)
     return out
+
+
+def override_key_of_json(intent: Column, body: Column, slot: int, keys: dict | None = None) -> Column:
+    """The same value read from a payload's JSON text."""
+    out = F.lit(None).cast("string")
+    for name, fields in (OVERRIDE_KEYS if keys is None else keys).items():
+        if slot < len(fields):
+            value = F.get_json_object(body, f"$.{fields[slot]}")
+            if fields[slot] in ("seconds_from_now", "duration_minutes"):
+                value = F.nullif(value, F.lit("0"))
+            out = F.when(intent == name, F.nullif(value, F.lit(""))).otherwise(out)
+    return out

@@ -61,13 +61,16 @@ def active_trackers(snap: DataFrame) -> DataFrame:
     return snap.agg(F.count("*").alias("active_chat_trackers"))
 
 
-def windowed_metrics(decisions: DataFrame, every: str = "1 minute", watermark: str | None = None) -> DataFrame:
-    """Counters per event-time window and intent; for tables and streams."""
+def windowed_metrics(decisions: DataFrame, every: str = "1 minute", watermark: str | None = None, late: bool = False) -> DataFrame:
+    """Counters per event-time window and intent; for tables and streams. ``late``: rows decided as late apart from the others."""
     rows = decisions.withWatermark("ts", watermark) if watermark else decisions
-    keep = ("popups_fired", "popups_suppressed")
+    keep = {k: v for k, v in _counters().items() if k in ("popups_fired", "popups_suppressed")}
+    if late:
+        keep = {k: F.count_if(~F.col("late") & (F.col("should_popup") if k == "popups_fired" else ~F.col("should_popup"))
+                              & (F.col("chat_state") != "untracked")) for k in keep} | {"late": F.count_if("late")}
     return (
         rows.where(F.col("kind") == MESSAGE)
         .groupBy(F.window("ts", every).alias("w"), "intent")
-        .agg(F.count("*").alias("detected"), *[_counters()[k].alias(k) for k in keep])
+        .agg(F.count("*").alias("detected"), *[c.alias(k) for k, c in keep.items()])
         .select(F.col("w.start").alias("window_start"), "intent", "detected", *keep)
     )

@@ -7,24 +7,43 @@ from pyspark.sql import functions as F
 
 from chatsift.config import PolicyParams
 from chatsift.functions.links import iso_utc
+from chatsift.functions.payload import override_key_of_json
+
+
+_TOLD = ["chat_state", "last_popup_us", "last_event_us", "last_payload", "popup_count", "suppression_count", "state_reason"]
+
+
+def _last(decisions: DataFrame, as_of: Column | None) -> DataFrame:
+    """The newest decision per (chat, intent); ``max_by`` aggregates map-side, so a hot chat ships one row per task."""
+    rows = decisions.where(F.col("chat_state") != "untracked")
+    rows = rows if as_of is None else rows.where(F.col("ts") <= as_of)
+    return rows.groupBy("chat_id", "intent").agg(F.max_by(F.struct(*_TOLD, "ts", "seq"), F.struct("ts", "seq")).alias("s")).select(
+        "chat_id", "intent", "s.*")
 
 
 def snapshot(decisions: DataFrame, as_of: Column, params: PolicyParams = PolicyParams()) -> DataFrame:
-    """Live trackers at ``as_of``, one row per (chat, intent).
+    """Live trackers at ``as_of``, one row per (chat, intent)."""
+    return described(_last(decisions, as_of), as_of, params)
+
+
+def trackers(decisions: DataFrame, as_of: Column | None = None, keys: dict | None = None) -> DataFrame:
+    """Trackers with all that a stream needs to go on from them: their override values and the newest event applied.
 
-    ``max_by`` aggregates map-side, so a hot chat ships one row per task.
+    ``keys``: the payload fields that tell a new action from a repeated one, as for the decisions.
     """
-    now = F.unix_micros(as_of.cast("timestamp"))
-    fields = (
-        "chat_state", "last_popup_us", "last_event_us", "last_payload",
-        "popup_count", "suppression_count", "state_reason",
-    )
-    last = (
-        decisions.where((F.col("chat_state") != "untracked") & (F.col("ts") <= as_of))
-        .groupBy("chat_id", "intent")
-        .agg(F.max_by(F.struct(*fields), F.struct("ts", "seq")).alias("s"))
-        .select("chat_id", "intent", "s.*")
+    intent, body = F.col("intent"), F.col("last_payload")
+    return _last(decisions, as_of).where(F.col("last_event_us").isNotNull()).select(
+        "chat_id", "intent", F.col("chat_state").alias("state"), F.col("last_popup_us").alias("last_popup"),
+        F.col("last_event_us").alias("last_event"), override_key_of_json(intent, body, 0, keys).alias("key1"),
+        override_key_of_json(intent, body, 1, keys).alias("key2"), body.alias("payload"), "popup_count", "suppression_count",
+        F.col("state_reason").alias("reason"), F.unix_micros(F.col("ts").cast("timestamp")).alias("applied_us"),
+        F.col("seq").alias("applied_seq"),
     )
+
+
+def described(last: DataFrame, as_of: Column, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Trackers that are alive at ``as_of``, with what is left of their cooldown."""
+    now = F.unix_micros(as_of.cast("timestamp"))
     live = last.where(
         F.col("last_event_us").isNotNull()
         & (now - F.col("last_event_us") <= params.eviction * 1_000_000)

@@ -644,6 +644,14 @@ ORACLE: dict[str, str] = {
     "stream_late_decisions": f"""WITH RECURSIVE {replay().replace('FROM allev WHERE chat_id IS NOT NULL)', f'FROM allev WHERE chat_id IS NOT NULL AND NOT ({Q.HELD}))')}
       SELECT {_DEC}, false AS late FROM dec
       UNION ALL SELECT seq, intent, kind, {", ".join(["NULL"] * (len(Q.DECISION) - 3))}, true FROM allev WHERE {Q.HELD}""",
+    "live_controls": f"{_R} SELECT {_DEC}, false AS late FROM dec",
+    "live_chat_snapshot": f"{_R}, {_SNAP} SELECT * FROM snap",
+    "stream_from_history": f"{_R} SELECT {_DEC}, false AS late FROM dec",
+    "stream_counters": f"""WITH RECURSIVE {replay().replace('FROM allev WHERE chat_id IS NOT NULL)', f'FROM allev WHERE chat_id IS NOT NULL AND NOT ({Q.HELD}))')},
+      mixed AS (SELECT ts, intent, should_popup, chat_state <> 'untracked' AS tracked, false AS late FROM dec WHERE kind = 'message'
+        UNION ALL SELECT ts, intent, NULL, NULL, true FROM allev WHERE kind = 'message' AND {Q.HELD})
+      SELECT strftime(ts, '%Y-%m-%d') AS window_start, intent, count(*) AS detected, count(*) FILTER (should_popup AND tracked) AS popups_fired,
+        count(*) FILTER (NOT should_popup AND tracked) AS popups_suppressed, count(*) FILTER (late) AS late FROM mixed GROUP BY 1, 2""",
     "stream_metrics": f"""{_R} SELECT strftime(ts, '%Y-%m-%d') AS window_start, intent, count(*) AS detected,
       count(*) FILTER (should_popup AND chat_state <> 'untracked') AS popups_fired, count(*) FILTER (NOT should_popup) AS popups_suppressed
       FROM dec WHERE kind = 'message' GROUP BY 1, 2""",
@@ -701,3 +709,15 @@ ORACLE: dict[str, str] = {
       SELECT *, actions || ' action' || CASE WHEN actions = 1 THEN '' ELSE 's' END || ' to follow up on' AS title,
         messages || ' message' || CASE WHEN messages = 1 THEN '' ELSE 's' END || ' · ' || duration || ' duration' AS stats FROM t""",
 }
+
+ORACLE |= {
+    "stream_control_answers": ORACLE["control_answers"], "stream_reset_answers": ORACLE["reset_answers"],
+    "stored_nested_replies": ORACLE["nested_replies"], "array_splits": f"{_DATASET} SELECT text, money, alarm, contact, calendar, maps, category, split FROM ds",
+    "stored_report": f"""WITH {_MULTI}, c AS (SELECT intent, sum(label * pred) AS tp, sum(pred) AS predicted, sum(label) AS support FROM ce GROUP BY 1),
+      pr AS (SELECT intent, {_PRF}, CAST(support AS BIGINT) AS support FROM c),
+      su AS (SELECT round(avg(ok), 6) AS exact, round((SELECT avg(CAST((prob >= 0.5) = (label = 1) AS INT)) FROM ce), 6) AS hamming
+        FROM (SELECT id, min(CAST((prob >= 0.5) = (label = 1) AS INT)) AS ok FROM ce GROUP BY id) g)
+      SELECT exact AS test_accuracy, exact AS test_exact_match, hamming AS test_hamming, q.precision AS money_precision, q.recall AS money_recall, q.f1 AS money_f1,
+        t.precision AS alarm_precision, t.recall AS alarm_recall, t.f1 AS alarm_f1, t.support AS alarm_support, true AS maps_untold
+      FROM su, (SELECT * FROM pr WHERE intent = 'quality') q, (SELECT * FROM pr WHERE intent = 'toxic') t""",
+}

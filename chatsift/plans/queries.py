@@ -17,7 +17,7 @@ from chatsift.functions import vocab as V
 from chatsift.functions.timephrase import with_time_phrase
 from chatsift.operators import dataset as DS
 from chatsift.operators import enrich, evaluate, history, learn, metrics, respond, state
-from chatsift.operators.policy import KEY, policy_events
+from chatsift.operators.policy import KEY, decide, policy_events
 from chatsift.plans import derived as D
 from chatsift.plans import end_to_end
 from chatsift.plans.session import tune
@@ -295,6 +295,28 @@ def stored_splits(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "text", "labels.*", "category", "split")
 
 
+@query
+def stored_nested_replies(spark, sf):
+    """Nested entries of replies that were written as Parquet and read again."""
+    path = scratch_path(spark, "replies")
+    respond.replies(_decisions(spark, sf, observe=True)).write.parquet(path)
+    return _entries(spark.read.parquet(path))
+
+
+@query
+def array_splits(spark, sf):
+    """Splits as files of pretty-printed JSON arrays, a few hundred examples each, read by the split scan."""
+    path, examples = scratch_path(spark, "arrays"), _examples(spark, sf)
+    pieces = examples.withColumn("piece", F.floor(F.monotonically_increasing_id() / 500)).groupBy("split", "piece").agg(
+        F.to_json(F.collect_list(F.struct("text", "labels", "category", "split")), {"pretty": "true"}).alias("value"))
+    pieces.persist()
+    for split in ("train", "val", "test"):
+        pieces.where(F.col("split") == split).select("piece", "value").write.partitionBy("piece").text(f"{path}/{split}.json")
+    pieces.unpersist()
+    parts = [S.read_split(spark, path, split) for split in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("text", "labels.*", "category", "split")
+
+
 @query
 def label_vectors(spark, sf):
     vector = evaluate.label_vector(F.col("labels"))
@@ -327,7 +349,10 @@ def flat_replies(spark, sf):
 
 @query
 def nested_replies(spark, sf):
-    r = respond.replies(_decisions(spark, sf, observe=True))
+    return _entries(respond.replies(_decisions(spark, sf, observe=True)))
+
+
+def _entries(r):
     entry = F.transform("intents", lambda x: F.concat_ws(
         "/", x["type"], x["confidence"].cast("string"), x["should_popup"].cast("string"),
         x["suppressed_reason"], x["chat_state"], x["payload_json"], x["targeting"]["third_party"],
@@ -432,28 +457,35 @@ FILES = 4  # per time slice, and per micro-batch
 SLICES = ["2024-01-10", "2024-01-20"]
 
 
-def _arriving(spark, events):
+def _arriving(spark, events, cuts=tuple(SLICES)):
     """The events as a file stream: one micro-batch per time slice, in order."""
     path = scratch_path(spark, "events")
-    for start, end in zip([None, *SLICES], [*SLICES, None]):
-        part = events
-        if start:
-            part = part.where(F.col("ts") >= F.lit(start).cast("timestamp"))
-        if end:
-            part = part.where(F.col("ts") < F.lit(end).cast("timestamp"))
-        part.repartition(FILES).write.mode("append").parquet(path)
+    for start, end in zip([None, *cuts], [*cuts, None]):
+        _deliver(events, path, start, end)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
+def _deliver(events, path, start=None, end=None):
+    if start:
+        events = events.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    if end:
+        events = events.where(F.col("ts") < F.lit(end).cast("timestamp"))
+    events.repartition(FILES).write.mode("append").parquet(path)
+
+
+def _policy_events(spark, sf, keep=None):
+    return policy_events(enrich.fired_intents(D.messages(spark, sf), D.PARAMS, keep="money"), D.controls(spark, sf), keep)
+
+
+def _run(spark, decided):
+    """Decide all that is there; paths of the decisions and of the query's progress."""
+    out, progress = scratch_path(spark, "decisions"), scratch_path(spark, "progress")
+    ST.start_decisions(decided, out, progress, available_now=True).awaitTermination()
+    return out, progress
+
+
 def _streamed(spark, sf):
-    fired = enrich.fired_intents(D.messages(spark, sf), D.PARAMS, keep="money")
-    stream = _arriving(spark, policy_events(fired, D.controls(spark, sf)))
-    out = scratch_path(spark, "decisions")
-    started = ST.start_decisions(
-        ST.decide_stream(stream, D.PARAMS), out, scratch_path(spark, "progress"), available_now=True
-    )
-    started.awaitTermination()
-    return out
+    return _run(spark, ST.decide_stream(_arriving(spark, _policy_events(spark, sf)), D.PARAMS))[0]
 
 
 @query
@@ -468,8 +500,11 @@ HELD = "seq % 50 = 7 AND ts < TIMESTAMP '2024-01-10' AND chat_id IS NOT NULL"
 @query
 def stream_late_decisions(spark, sf):
     """The same stream, but some early rows of chats come last, long after the watermark: each is reported as late."""
-    fired = enrich.fired_intents(D.messages(spark, sf), D.PARAMS, keep="money")
-    events = policy_events(fired, D.controls(spark, sf))
+    return spark.read.parquet(_run(spark, _some_late(spark, sf))[0]).select(*DECISION, "late")
+
+
+def _some_late(spark, sf):
+    events = _policy_events(spark, sf)
     path = scratch_path(spark, "events")
     held = F.coalesce(F.expr(HELD), F.lit(False))
     files = {"early": events.where(~held & (F.col("ts") < SLICES[0])),
@@ -477,12 +512,74 @@ def stream_late_decisions(spark, sf):
              "recent": events.where(F.col("ts") >= SLICES[1]), "late": events.where(held)}
     for part in files.values():
         part.repartition(FILES).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
-    out = scratch_path(spark, "decisions")
-    ST.start_decisions(
-        ST.decide_stream(stream, D.PARAMS), out, scratch_path(spark, "progress"), available_now=True
-    ).awaitTermination()
-    return spark.read.parquet(out).select(*DECISION, "late")
+    return ST.decide_stream(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path), D.PARAMS)
+
+
+CLOSING = "-1L AS seq, timestamp'2100-01-01' AS ts, '~' AS chat_id"
+CONTROL_SLICES = ["2024-01-06", "2024-01-16"]
+
+
+@query
+def live_controls(spark, sf):
+    """Messages and controls as two live streams, controls days behind or ahead; each ends with a row that lets all others go."""
+    messages = D.messages(spark, sf).unionByName(spark.sql(f"SELECT {CLOSING}, 'bye' AS text"), allowMissingColumns=True)
+    controls = D.controls(spark, sf).unionByName(spark.sql(f"SELECT {CLOSING}, 'popup_dismissed' AS kind"), allowMissingColumns=True)
+    decided = ST.enrich_stream(
+        _arriving(spark, messages), _arriving(spark, controls, CONTROL_SLICES), D.PARAMS, keep=[], watermark="1 hour",
+        control_watermark="2 hours", hold=True)
+    out = spark.read.parquet(_run(spark, decided)[0])
+    return out.where("coalesce(chat_id, '') <> '~'").select(*DECISION, "late")
+
+
+@query
+def live_chat_snapshot(spark, sf):
+    """Trackers read from the state store of a query that has seen the events so far."""
+    events = _policy_events(spark, sf).where(F.col("ts") <= F.lit(AS_OF).cast("timestamp"))
+    _, progress = _run(spark, ST.decide_stream(_arriving(spark, events, SLICES[:1]), D.PARAMS))
+    return ST.live_snapshot(spark, progress, F.lit(AS_OF).cast("timestamp"), D.PARAMS)
+
+
+@query
+def stream_from_history(spark, sf):
+    """The first part of the history as a batch, the rest as a stream that begins with the batch's trackers."""
+    events = _policy_events(spark, sf)
+    path = scratch_path(spark, "history")
+    decide(events.where(F.col("ts") < SLICES[0]), D.PARAMS).write.parquet(path)
+    early = spark.read.parquet(path)
+    rest = _arriving(spark, events.where(F.col("ts") >= SLICES[0]), SLICES[1:])
+    out, _ = _run(spark, ST.decide_stream(rest, D.PARAMS, initial=state.trackers(early)))
+    return early.select(*DECISION, F.lit(False).alias("late")).unionByName(spark.read.parquet(out).select(*DECISION, "late"))
+
+
+@query
+def stream_counters(spark, sf):
+    """Counters per day that count late rows too, summed from the parts of all micro-batches."""
+    path = scratch_path(spark, "counters")
+    ST.start_counters(_some_late(spark, sf), path, scratch_path(spark, "progress"), "1 day", available_now=True).awaitTermination()
+    return ST.counters(spark, path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+def _served(spark, sf):
+    """One query with all its tables, stopped and started again from its checkpoint before the last slice."""
+    events = _policy_events(spark, sf, end_to_end.CARRIED)
+    path, root, progress = (scratch_path(spark, n) for n in ("events", "service", "progress"))
+    for start, end in ((None, SLICES[0]), SLICES, (SLICES[1], None)):
+        _deliver(events, path, start, end)
+        if start:
+            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+            ST.start_service(ST.decide_stream(stream, D.PARAMS), root, progress, D.PARAMS, available_now=True).awaitTermination()
+    return root
+
+
+@query
+def stream_control_answers(spark, sf):
+    return spark.read.parquet(f"{_served(spark, sf)}/control_answers").drop("epoch")
+
+
+@query
+def stream_reset_answers(spark, sf):
+    answers = spark.read.parquet(f"{_served(spark, sf)}/reset_answers").drop("epoch")
+    return answers.withColumn("cleared_intents", F.array_join("cleared_intents", ","))
 
 
 @query
@@ -547,6 +644,20 @@ def eval_per_intent(spark, sf):
     return r.select("intent", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "auc")], "support")
 
 
+@query
+def stored_report(spark, sf):
+    """A training report written as JSON and read with its fallback: it has no accuracy, so the exact match stands in."""
+    rows, names = _multi(spark, sf), ["money", "alarm"]
+    steps = _history(spark, sf).select("candidate", "val_hamming", *[
+        F.col("val_hamming").alias(c) for c in ("train_loss", "val_loss", "val_exact_match")])
+    path = scratch_path(spark, "report")
+    S.write_report(S.report_row(evaluate.summary(rows), evaluate.per_intent_report(rows, names), steps, model="heads", epochs=5), path)
+    r = S.read_report(spark, path)
+    told = [F.round(F.col("per_intent")[n][m], 6).alias(f"{n}_{m}") for n in names for m in ("precision", "recall", "f1")]
+    return r.select(*[F.round(c, 6).alias(c) for c in ("test_accuracy", "test_exact_match", "test_hamming")], *told,
+                    F.col("per_intent.alarm.support").alias("alarm_support"), F.col("per_intent.maps").isNull().alias("maps_untold"))
+
+
 @query
 def label_sets(spark, sf):
     r = _multi(spark, sf)

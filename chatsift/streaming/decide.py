@@ -7,13 +7,19 @@ applied, or older than the watermark where the key has no state (any more), is
 reported as late and changes nothing. Event-time timers drop trackers that
 have been idle for longer than the eviction window, so state stays bounded by
 the chats that are alive.
+
+Messages and controls may be two streams with a watermark each, of which the older
+one counts. With ``hold``, rows wait in the state until the watermark has passed them and
+are then applied in order of time: whichever stream is behind, decisions equal the batch
+replay, and only rows behind the watermark are late.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -21,8 +27,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from chatsift.config import MESSAGE, OBSERVE, PolicyParams
 from chatsift.operators.decision import Tracker, advance, alive
 from chatsift.operators.enrich import fired_intents
+from chatsift.operators.metrics import windowed_metrics
 from chatsift.operators.policy import policy_events
 from chatsift.operators.respond import frame_response, replies
+from chatsift.operators.state import cleared_intents, control_results, described
 from chatsift.plans.end_to_end import CARRIED
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,30 +69,86 @@ DECISION_FIELDS = [
 _DECIDED = [f.name for f in DECISION_FIELDS]
 
 
+_HELD = T.StructType([
+    T.StructField("us", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("row", T.BinaryType()),
+])
+
+
 class CooldownProcessor(StatefulProcessor):
     """Applies the decision function to each key's events."""
 
-    def __init__(self, params: PolicyParams, columns: list[str]):
-        self.params, self.columns = params, columns
+    def __init__(self, params: PolicyParams, columns: list[str], hold: bool = False):
+        self.params, self.columns, self.hold = params, columns, hold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("tracker", _STATE)
+        self.held = handle.getListState("held", _HELD) if self.hold else None
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        r = initialState
+        timer = self._expiry_ms(r["last_event"])
+        self.handle.registerTimer(timer)
+        self._save(Tracker(*[r[f] for f in Tracker._fields]), (r["applied_us"], r["applied_seq"]), timer)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if not self.hold:
+            return iter(self._apply(rows, watermark))
+        kept, out = [], []
+        for row in rows:
+            if row["_us"] // 1000 < watermark:
+                out.append(self._late(row))
+            else:
+                kept.append((row["_us"], row["seq"], pickle.dumps(row)))
+        if kept:
+            self.held.appendList(kept)
+            self._wake(kept)
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark, out = timerValues.getCurrentWatermarkInMs(), []
+        if self.hold:
+            held = sorted(self.held.get(), key=lambda r: (r[0], r[1]))
+            due = [r for r in held if r[0] // 1000 < watermark]
+            if due:
+                out = self._apply([pickle.loads(bytes(r[2])) for r in due], 0)
+                rest = [tuple(r) for r in held[len(due):]]
+                if rest:
+                    self.held.put(rest)
+                    self._wake(rest)
+                else:
+                    self.held.clear()
+        saved = self.value.get()
+        if saved is not None:
+            # every event still to be applied is newer than the watermark
+            tracker = alive(Tracker(*saved[:9]) if saved[0] is not None else None, watermark * 1000, self.params.eviction)
+            if tracker is None:
+                self.value.clear()
+            elif saved[11] <= watermark:
+                timer = self._expiry_ms(tracker.last_event)
+                self.handle.registerTimer(timer)
+                self._save(tracker, (saved[9], saved[10]), timer)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+    def _late(self, row: Row) -> Row:
+        return Row(*self.columns, *_DECIDED)(*[row[c] for c in self.columns], *[None] * 12, True)
+
+    def _apply(self, rows, watermark: int) -> list[Row]:
         saved = self.value.get()
         # without state, the watermark is the oldest time that can still be judged
-        floor = timerValues.getCurrentWatermarkInMs() * 1000
-        tracker, applied, timer = None, (floor, -(2**62)), 0
+        tracker, applied, timer = None, (watermark * 1000, -(2**62)), 0
         fresh = saved is None
         if saved is not None:
             tracker = Tracker(*saved[:9]) if saved[0] is not None else None
             applied, timer = (saved[9], saved[10]), saved[11]
         make, out = Row(*self.columns, *_DECIDED), []
         for row in sorted(rows, key=lambda r: (r["_us"], r["seq"])):
-            carried = [row[c] for c in self.columns]
             if (row["_us"], row["seq"]) < applied:
-                out.append(make(*carried, *[None] * 12, True))
+                out.append(self._late(row))
                 continue
             applied, fresh = (row["_us"], row["seq"]), False
             tracker, o = advance(
@@ -92,36 +156,19 @@ class CooldownProcessor(StatefulProcessor):
             )
             t = tracker or Tracker("idle", None, None, None, None, None, 0, 0, None)
             out.append(make(
-                *carried, o.should_popup, o.suppressed_reason, o.remaining, t.state, o.previous_state,
+                *[row[c] for c in self.columns], o.should_popup, o.suppressed_reason, o.remaining, t.state, o.previous_state,
                 o.existed, t.popup_count, t.suppression_count, t.last_popup, t.last_event, t.reason,
                 t.payload, False,
             ))
-        if fresh:  # late rows only
-            return iter(out)
-        if not timer:
-            timer = self._expiry_ms(applied[0])
-            self.handle.registerTimer(timer)
-        self._save(tracker, applied, timer)
-        return iter(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        saved = self.value.get()
-        if saved is not None:
-            # every event still to be applied is newer than the watermark
-            now = timerValues.getCurrentWatermarkInMs() * 1000
-            tracker = alive(
-                Tracker(*saved[:9]) if saved[0] is not None else None, now, self.params.eviction
-            )
-            if tracker is None:
-                self.value.clear()
-            else:
-                timer = self._expiry_ms(tracker.last_event)
+        if not fresh:  # else late rows only
+            if not timer:
+                timer = self._expiry_ms(applied[0])
                 self.handle.registerTimer(timer)
-                self._save(tracker, (saved[9], saved[10]), timer)
-        return iter(())
+            self._save(tracker, applied, timer)
+        return out
 
-    def close(self) -> None:
-        pass
+    def _wake(self, held: list[tuple]) -> None:
+        self.handle.registerTimer(min(r[0] for r in held) // 1000 + 1)
 
     def _expiry_ms(self, us: int) -> int:
         return us // 1000 + self.params.eviction * 1000 + 1
@@ -131,15 +178,21 @@ class CooldownProcessor(StatefulProcessor):
         self.value.update((*body, *applied, timer))
 
 
-def decide_stream(events: DataFrame, params: PolicyParams = PolicyParams(), watermark: str = "10 minutes") -> DataFrame:
+def decide_stream(
+    events: DataFrame, params: PolicyParams = PolicyParams(), watermark: str | None = "10 minutes", hold: bool = False,
+    initial: DataFrame | None = None,
+) -> DataFrame:
     """Streaming form of the batch replay; same columns plus ``late``.
 
-    Rows without a chat skip the state store. The watermark drives timers only: the
+    ``watermark`` None: the events have one already. ``hold``: wait for the watermark
+    before rows are applied. ``initial``: trackers to begin with (``state.trackers``), read in the
+    first micro-batch. Rows without a chat skip the state store. The watermark drives timers only: the
     stateful step gets ``ts`` as a computed column, so rows below the watermark
     reach it and come out as late instead of being dropped.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.withWatermark("ts", watermark).withColumn("_us", us).withColumn(
+    marked = events.withWatermark("ts", watermark) if watermark else events
+    rows = marked.withColumn("_us", us).withColumn(
         "ts", F.timestamp_micros("_us").cast(events.schema["ts"].dataType)
     )
     has_chat = F.coalesce("chat_id", F.lit("")) != ""
@@ -149,8 +202,8 @@ def decide_stream(events: DataFrame, params: PolicyParams = PolicyParams(), wate
     tracked = (
         rows.where(has_chat).groupBy("chat_id", "intent")
         .transformWithState(
-            statefulProcessor=CooldownProcessor(params, names), outputStructType=schema,
-            outputMode="Append", timeMode="EventTime",
+            statefulProcessor=CooldownProcessor(params, names, hold), outputStructType=schema,
+            outputMode="Append", timeMode="EventTime", initialState=initial and initial.groupBy("chat_id", "intent"),
         )
     )
     pops = F.when(F.col("kind") == MESSAGE, F.lit(True))
@@ -171,10 +224,19 @@ def enrich_stream(
     keep: list[str] | None = None,
     watermark: str = "10 minutes",
     keys: dict[str, list[str]] | None = None,
+    control_watermark: str | None = None,
+    hold: bool = False,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """End to end on streams: the batch enrichment up to the stateful step."""
+    """End to end on streams: the batch enrichment up to the stateful step.
+
+    ``controls`` may be a stream of its own, with ``control_watermark`` (None: the messages').
+    """
+    messages = messages.withWatermark("ts", watermark)
+    if controls is not None:
+        controls = controls.withWatermark("ts", control_watermark or watermark)
     fired = fired_intents(messages, params, scorer, keep="money")
-    return decide_stream(policy_events(fired, controls, CARRIED if keep is None else keep, keys), params, watermark)
+    return decide_stream(policy_events(fired, controls, CARRIED if keep is None else keep, keys), params, None, hold, initial)
 
 
 def settled(decisions: DataFrame) -> DataFrame:
@@ -231,6 +293,67 @@ def start_responses(
     return writer.start()
 
 
+SERVED = ["decisions", "replies", "control_answers", "reset_answers"]
+
+
+def start_service(
+    decisions: DataFrame, root: str, checkpoint: str, params: PolicyParams = PolicyParams(), available_now: bool = False,
+) -> StreamingQuery:
+    """One stateful query with four tables below ``root``: decisions, replies, and the answers to controls and to resets.
+
+    All rows of a message or of a control share a micro-batch. Each micro-batch writes its own folder in
+    every table, so one that is run again after a failure replaces itself.
+    """
+    use_rocksdb(decisions.sparkSession)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        known = batch.where(~F.col("late"))
+        tables = {
+            "decisions": batch, "replies": replies(settled(batch)),
+            "control_answers": control_results(known, params), "reset_answers": cleared_intents(known),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
+        batch.unpersist()
+
+    writer = decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_counters(decisions: DataFrame, path: str, checkpoint: str, every: str = "1 minute", available_now: bool = False) -> StreamingQuery:
+    """Counters per event-time window and intent that lose no row, however late.
+
+    Each micro-batch writes what it adds, one row per window and intent, late rows in a
+    column of their own; :func:`counters` sums the parts. There is no watermark and no
+    state, and a micro-batch that is run again replaces its part.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        windowed_metrics(settled(batch), every, late=True).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """Totals per window and intent of all parts written so far."""
+    parts = spark.read.parquet(path)
+    names = ("detected", "popups_fired", "popups_suppressed", "late")
+    return parts.groupBy("window_start", "intent").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def live_snapshot(spark: SparkSession, checkpoint: str, as_of: Column, params: PolicyParams = PolicyParams()) -> DataFrame:
+    """Live trackers of a running or stopped query, read from its state store; columns as of the batch snapshot.
+
+    It tells the state after the last finished micro-batch; ``as_of`` is the clock that
+    says what is left of cooldowns and which trackers have expired.
+    """
+    store = spark.read.format("statestore").option("stateVarName", "tracker").load(checkpoint)
+    names = {"state": "chat_state", "last_popup": "last_popup_us", "last_event": "last_event_us", "payload": "last_payload",
+             "popup_count": "popup_count", "suppression_count": "suppression_count", "reason": "state_reason"}
+    return described(store.select("key.*", *[F.col(f"value.{a}").alias(b) for a, b in names.items()]), as_of, params)
+
+
 def start_frame_split(parsed: DataFrame, good: str, bad: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Split parsed frames: good ones to a table, rejected ones to a dead-letter table."""
 
