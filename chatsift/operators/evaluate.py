@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chatsift.config import INTENTS, shared_dir
-
-MAX_WINDOW_ROWS = 1_000_000
+from chatsift.config import INTENTS
 
 
 def label_vector(labels: Column) -> Column:
@@ -98,32 +96,25 @@ def per_intent_report(rows: DataFrame, names: list[str] = INTENTS, threshold: fl
     )
 
 
-def running_sum(
-    rows: DataFrame, key: str, order: str, value: str, out: str, max_window_rows: int = MAX_WINDOW_ROWS
-) -> DataFrame:
-    """Sum of ``value`` over earlier rows of the key (exclusive), skew-safe."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    largest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_window_rows:
-        return rows.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    spark = rows.sparkSession
-    shared_dir(spark)
-    # one sorted chunk per task; the cut comes from sampling, so keep it
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-largest // max_window_rows))
-    staged = (
-        rows.repartitionByRange(chunks, key, order)
-        .withColumn("_chunk", F.spark_partition_id()).checkpoint()
-    )
-    # few rows: one per chunk and key, so both this window and the join are small
-    parts = staged.groupBy(key, "_chunk").agg(F.sum(value).alias("_part"))
-    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(key, "_chunk", F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        staged.join(offsets, [key, "_chunk"])
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .drop("_chunk", "_offset")
-    )
+def bucket(prob: Column) -> Column:
+    """A whole number that never falls as the probability rises, with narrow buckets near 0 and 1, where scores crowd."""
+    fine = F.when(prob < 0.5, F.floor(F.log2(prob) * 64)).otherwise(-F.floor(F.log2(1 - prob) * 64))
+    return F.when(prob.isNull(), -(10**6)).when(prob <= 0, -(10**5)).when(prob >= 1, 10**5).otherwise(fine).cast("long")
+
+
+def running_sum(rows: DataFrame, key: str, prob: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over rows of the key with a smaller probability; one row per probability is expected.
+
+    Rows are ranked inside buckets of probabilities; what lies below a bucket comes
+    from the sums of the others, of which a key has some hundred thousand at most.
+    """
+    parted = rows.withColumn("_bucket", bucket(F.col(prob)))
+    sums = parted.groupBy(key, "_bucket").agg(F.sum(value).alias("_part"))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "_bucket", F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(key, "_bucket").orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = parted.withColumn("_inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return ranked.join(offsets, [key, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_bucket", "_offset", "_inside")
 
 
 # -- binary (legacy) --------------------------------------------------------------

@@ -721,3 +721,31 @@ ORACLE |= {
         t.precision AS alarm_precision, t.recall AS alarm_recall, t.f1 AS alarm_f1, t.support AS alarm_support, true AS maps_untold
       FROM su, (SELECT * FROM pr WHERE intent = 'quality') q, (SELECT * FROM pr WHERE intent = 'toxic') t""",
 }
+
+
+def gradient_sql(slots: int = 64, steps: int = 8, rate: float = 4.0) -> str:
+    """The gradient steps of the five heads, one CTE per step."""
+    label = "UNION ALL".join(
+        f" SELECT seq, '{i}' AS intent, CAST({has_any('lower(text)', V.INTENT_KEYWORDS[i])} AS INT) AS y FROM m " for i in INTENTS)
+    ctes = [
+        f"m AS MATERIALIZED ({ACCEPTED})",
+        """crc AS (SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+          FROM range(256) r(i))""",
+        "words AS (SELECT seq, unnest(regexp_extract_all(lower(text), '[a-z0-9$'']+')) AS w FROM m)",
+        f"""hashed AS (SELECT w, xor(list_reduce(list_transform(range(0, length(hex(w)) // 2), lambda k: CAST('0x' || substr(hex(w), 2 * k + 1, 2) AS BIGINT)),
+          lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % {slots} AS slot FROM (SELECT DISTINCT w FROM words) d, crc)""",
+        f"x AS MATERIALIZED (SELECT DISTINCT seq, slot FROM words JOIN hashed USING (w) UNION ALL SELECT seq, {slots} FROM m)",
+        f"y AS MATERIALIZED ({label})",
+        "n AS (SELECT count(*) AS n FROM m WHERE seq % 5 <> 0)",
+        "w0 AS (SELECT intent, slot, CAST(0 AS DOUBLE) AS w FROM (SELECT DISTINCT intent FROM y) i, (SELECT DISTINCT slot FROM x) s)",
+    ]
+    score = "SELECT seq, intent, 1 / (1 + exp(-sum(w))) AS p FROM x JOIN w{} USING (slot) GROUP BY 1, 2"
+    for k in range(steps):
+        ctes.append(f"""w{k + 1} AS MATERIALIZED (SELECT w{k}.intent, w{k}.slot, w - {rate} * coalesce(g, 0) / (SELECT n FROM n) AS w FROM w{k} LEFT JOIN (
+          SELECT intent, slot, sum(p - y) AS g FROM ({score.format(k)}) s JOIN y USING (seq, intent) JOIN x USING (seq) WHERE seq % 5 <> 0 GROUP BY 1, 2
+        ) g ON g.intent = w{k}.intent AND g.slot = w{k}.slot)""")
+    told = ", ".join(f"round(max(p) FILTER (intent = '{i}'), 6) AS {i}" for i in INTENTS)
+    return f"WITH {', '.join(ctes)} SELECT seq, {told} FROM ({score.format(steps)}) s WHERE seq % 5 = 0 GROUP BY seq"
+
+
+ORACLE["gradient_scorer"] = gradient_sql()

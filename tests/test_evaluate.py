@@ -53,17 +53,20 @@ def test_per_intent(data):
             assert (got[name]["precision"], got[name]["recall"], got[name]["f1"]) == (0, 0, 0)
 
 
-def test_running_sum_in_chunks(spark):
+def test_running_sum_over_buckets(spark):
+    """Ranks by exact order wherever scores crowd: near 0, near 1, around a half, beyond both ends."""
     rng = random.Random(6)
-    rows = [("hot" if i % 3 else "cold", i, rng.randint(0, 9)) for i in range(500)]
-    df = spark.createDataFrame(rows, "k string, o int, v int")
-    plain = E.running_sum(df, "k", "o", "v", "s").orderBy("o").collect()
-    chunks = E.running_sum(df, "k", "o", "v", "s", max_window_rows=40).orderBy("o").collect()
-    assert [tuple(r) for r in plain] == [tuple(r) for r in chunks]
-    seen = {"hot": 0, "cold": 0}
-    for k, o, v in rows:
-        assert plain[o]["s"] == seen[k]
-        seen[k] += v
+    probs = [rng.choice([rng.random(), rng.random() * 1e-9, 1 - rng.random() * 1e-12, 0.5 + rng.uniform(-1e-9, 1e-9), 0.0, 1.0, -0.5, 1.5, 5e-324])
+             for _ in range(500)]
+    rows = [(rng.choice("ab"), p, rng.randint(0, 9)) for p in probs]
+    rows = [(k, p, v) for i, (k, p, v) in enumerate(rows) if (k, p) not in {r[:2] for r in rows[:i]}] + [("a", None, 3)]
+    got = E.running_sum(spark.createDataFrame(rows, "k string, p double, v int"), "k", "p", "v", "s").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        below = [v for k, p, v in rows if k == r.k and r.p is not None and (p is None or p < r.p)]
+        assert r.s == sum(below)
+    buckets = spark.createDataFrame([(float(p),) for p in sorted(probs)], "p double").select(E.bucket(F.col("p"))).collect()
+    assert [b[0] for b in buckets] == sorted(b[0] for b in buckets)
 
 
 def test_hardest_errors(data):
