@@ -3,18 +3,22 @@
 Base spans are matches of four patterns (email, ip, card, phone), checked and dropped
 where the check fails. Mentions are the base spans and, beside them, everything else
 that looks like an address or a number. The field's variables are the mentions'
-labels (none or one of the kinds): node potentials from a log-linear model of a
-mention's form and surroundings, chain potentials between neighbours, and skip
-potentials between mentions with the same address or the same digits, however far
-apart. Loopy sum-product messages make the labels of a document agree; a mention
-without a base span gets one if a kind has the larger belief and a mention of that
-kind shares a key with it. Base spans stay as they are.
-
-Potentials are learned from base labels on a bounded sample of documents
-(``max_docs``, the smallest by hash of their id, of those with a digit or an @).
-Mentions that share a key are linked in a row, first to next, so links grow with the
-mentions and not with their square. Null and empty texts have no spans; rows are
-judged one by one.
+labels (none or one of the kinds). Node potentials come from a mention's surroundings
+and size, and not from what the base patterns ask for, so that a number without its plus sign
+can look like one with it. Chain potentials join neighbours, skip potentials mentions with the same
+address or the same digits, however far apart. All three are learned together, by
+gradient steps on the pseudo-likelihood of the base labels; mentions that share a key
+with a base span but are none have no known label and count for nothing there.
+
+Loopy sum-product messages make the labels of a document agree. A mention without a
+base span becomes a span if its likeliest label is a kind and either its belief is SURE
+or links through mentions of that kind lead to a base span of it. Equal beliefs go to
+the kind listed first. Base spans stay as they are.
+
+Potentials are learned on a bounded sample of documents (``max_docs`` ids, the smallest
+by hash, of those with a digit or an @; ``max_mentions`` of each). Mentions that share
+a key are linked in a row, first to next, so links grow with the mentions and not with
+their square. Null and empty texts have no spans; rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-_MAYBE = re.compile(r"[0-9@]")
+_MAYBE = re.compile(r"[0-9@]|\[at\]")
 _ANCHOR = re.compile(r"@|\[at\]")
 _SIDE = re.compile(r"[^\s@<>(),;:\"]+")
 _BOUND = frozenset("@<>(),;:\"")
@@ -50,6 +54,7 @@ _NUMBER = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])+")
 
 SLOTS = 1 << 13
 ROUNDS = 12
+SURE = 0.9
 
 
 def luhn(digits: str) -> bool:
@@ -127,20 +132,18 @@ def numbers(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [m.span() for m in _NUMBER.finditer(text, a, b)]
 
 
-def form(text: str) -> str:
-    return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]{5,}", "D", re.sub(r"[^\x00-\x7F]+", "u", text))))
-
-
 def clues(text: str, start: int, end: int) -> list[int]:
-    """Feature slots of a mention."""
+    """Feature slots of a mention: what stands around it, and its size."""
     s = text[start:end]
     digits = sum(c.isdigit() for c in s)
-    before = text[max(0, start - 24): start].split()
-    after = text[end: end + 24].split()
+    before = text[max(0, start - 32): start].lower().split()[-2:]
+    after = text[end: end + 24].lower().split()[:1]
+    kind = "address" if "@" in s or "[at]" in s else "number"
     names = [
-        "", "form:" + re.sub(r"[0-9]", "d", form(s))[:40], f"digits:{min(digits, 20)}", f"dots:{min(s.count('.'), 4)}",
-        f"at:{'@' in s}", f"plus:{s.startswith('+')}", f"gaps:{min(s.count(' ') + s.count('-'), 4)}",
-        "before:" + (form(before[-1])[-8:] if before else "-"), "after:" + (form(after[0])[:8] if after else "-"),
+        "", kind, f"{kind}:{next((n for n in (6, 9, 11, 15, 19) if digits <= n), 20)}", f"dots:{kind}:{min(s.count('.'), 4)}",
+        f"gaps:{kind}:{min(s.count(' ') + s.count('-'), 1)}",
+        f"before:{kind}:" + (before[-1][-12:] if before else "-"), f"earlier:{kind}:" + (before[-2][-12:] if len(before) > 1 else "-"),
+        f"after:{kind}:" + (after[0][:12] if after else "-"),
     ]
     return [zlib.crc32(n.encode()) % SLOTS for n in names]
 
@@ -204,36 +207,50 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[list[list[int]], list[int], list, list]], steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Documents as (clues, labels, chain, skip): softmax weights by Adam, chain and skip tables from label pairs."""
-    w = np.zeros((SLOTS, NONE + 1))
-    x = np.array([c for r in rows for c in r[0]], np.int64)
+def agreement(same: float = 0.99) -> np.ndarray:
+    """Skip potentials before any link is seen: mentions with a key in common mean one entity."""
+    table = np.full((NONE + 1, NONE + 1), np.log((1 - same) / NONE))
+    np.fill_diagonal(table, np.log(same))
+    return table
+
+
+def counted(y: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Labels of linked mentions (there) per mention (here)."""
+    out = np.zeros((len(y), NONE + 1))
+    np.add.at(out, (here, y[there]), 1)
+    return out
+
+
+def fit(rows: list[tuple[list[list[int]], list[int], list, list]], steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Field:
+    """Documents as (clues, labels, chain, skip): all potentials by Adam on the pseudo-likelihood, each label given its neighbours'."""
+    weights, tables = np.zeros((SLOTS, NONE + 1)), [np.zeros((NONE + 1, NONE + 1)), agreement()]
     y = np.array([k for r in rows for k in r[1]], np.int64)
-    if len(y):
-        used, x = np.unique(x, return_inverse=True)
-        x = x.reshape(len(y), -1)
-        small, m, v = np.zeros((len(used), NONE + 1)), 0.0, 0.0
-        want = np.eye(NONE + 1)[y]
-        for step in range(1, steps + 1):
-            d = (softmax(small[x].sum(1)) - want) / len(y)
-            g = np.stack([np.bincount(x.ravel(), np.repeat(d[:, k], x.shape[1]), len(used)) for k in range(NONE + 1)], 1) + decay * small
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            small -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w[used] = small
-    share = (np.bincount(y, minlength=NONE + 1) + 1) / (len(y) + NONE + 1)
-    pairs = np.ones((NONE + 1, NONE + 1))
-    same, total = 99.0, 100.0  # before any link is seen: mentions with a key in common mean one entity
-    for nodes, labels, chain, skip in rows:
-        for i, j in chain:
-            pairs[labels[i], labels[j]] += 0.5
-            pairs[labels[j], labels[i]] += 0.5
-        same += sum(labels[i] == labels[j] for i, j in skip)
-        total += len(skip)
-    near = 0.5 * np.clip(np.log(pairs / pairs.sum() / np.outer(share, share)), -2, 2)
-    agree = min(same / total, 0.999)
-    linked = np.full((NONE + 1, NONE + 1), np.log((1 - agree) / NONE))
-    np.fill_diagonal(linked, np.log(agree))
-    return Field(w, near, linked)
+    if not len(y):
+        return Field(weights, *tables)
+    used, x = np.unique(np.array([c for r in rows for c in r[0]], np.int64), return_inverse=True)
+    x = x.reshape(len(y), -1)
+    at = np.cumsum([0] + [len(r[1]) for r in rows])
+    chain, skip = (np.array([(i + o, j + o) for r, o in zip(rows, at) for i, j in r[k]], np.int64).reshape(-1, 2) for k in (2, 3))
+    left, right = counted(y, chain[:, 1], chain[:, 0]), counted(y, chain[:, 0], chain[:, 1])
+    linked = counted(y, skip[:, 0], skip[:, 1]) + counted(y, skip[:, 1], skip[:, 0])
+    known = ((y < NONE) | (linked[:, :NONE].sum(1) == 0)).astype(float)[:, None]
+    want, total = np.eye(NONE + 1)[y], max(known.sum(), 1)
+    values = [np.zeros((len(used), NONE + 1)), *tables]
+    start = [v.copy() for v in values]
+    m, v = [0.0] * 3, [0.0] * 3
+    for step in range(1, steps + 1):
+        w, c, s = values
+        d = known * (softmax(w[x].sum(1) + left @ c + right @ c.T + linked @ s) - want) / total
+        slopes = [
+            np.stack([np.bincount(x.ravel(), np.repeat(d[:, k], x.shape[1]), len(used)) for k in range(NONE + 1)], 1),
+            left.T @ d + d.T @ right, (linked.T @ d + d.T @ linked) / 2,
+        ]
+        for i, (g, back) in enumerate(zip(slopes, (decay, 1e-3, 1e-3))):
+            g = g + back * (values[i] - start[i])
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+            values[i] = values[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+    weights[used] = values[0]
+    return Field(weights, values[1], values[2])
 
 
 def sampled(text: str, most: int) -> tuple[list[int], list[int], list[int], list[int]] | None:
@@ -284,7 +301,7 @@ def train(docs: DataFrame, *, max_docs: int = 20_000, max_mentions: int = 1000)
 def spans(text: str | None, field: Field) -> tuple[list, list]:
     """Base spans, and base and added spans, as (start, kind, end) in order."""
     base = base_spans(text)
-    if not base:
+    if not text or not _MAYBE.search(text):
         return base, base
     found = mentions(text, base)
     if all(k < NONE for _, k, _ in found):
@@ -294,13 +311,11 @@ def spans(text: str | None, field: Field) -> tuple[list, list]:
     for i, j in skip:
         near[i].append(j)
         near[j].append(i)
-    if not any(found[i][1] == NONE for i in near):
-        return base, base
     p = field.beliefs([clues(text, s, e) for s, _, e in found], [k for _, k, _ in found], chain, skip)
     label = p.argmax(1)
     added = []
     for i, (s, k, e) in enumerate(found):
-        if k == NONE and label[i] < NONE and reaches(i, int(label[i]), near, found, label):
+        if k == NONE and label[i] < NONE and (p[i, label[i]] >= SURE or reaches(i, int(label[i]), near, found, label)):
             added.append((s, int(label[i]), e))
     return base, sorted(base + added)
 

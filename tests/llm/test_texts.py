@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -297,6 +298,64 @@ def test_parities_are_a_lower_bound(spark):
 
 # -- personal data
 
+def plain_beliefs(field, nodes, base, chain, skip):
+    """Marginals by going through all labellings."""
+    n, total = len(nodes), np.zeros((len(nodes), pii.NONE + 1))
+    for labels in itertools.product(range(pii.NONE + 1), repeat=n):
+        if all(b == pii.NONE or b == k for b, k in zip(base, labels)):
+            z = sum(field.weights[c].sum(0)[k] for c, k in zip(nodes, labels))
+            z += sum(field.chain[labels[i], labels[j]] for i, j in chain) + sum(field.skip[labels[i], labels[j]] for i, j in skip)
+            for i, k in enumerate(labels):
+                total[i, k] += np.exp(z)
+    return total / total.sum(1, keepdims=True)
+
+
+def test_beliefs_against_all_labellings():
+    """Messages are exact where links make no circle."""
+    rng = np.random.RandomState(8)
+    field = pii.Field(rng.normal(size=(pii.SLOTS, 5)), rng.normal(size=(5, 5)), pii.agreement(0.9))
+    for _ in range(12):
+        nodes = rng.randint(0, 50, (4, 3)).tolist()
+        base = [int(rng.choice([pii.NONE, pii.NONE, 1])) for _ in range(4)]
+        chain, skip = [(0, 1), (2, 3)], [(0, 2)]
+        got = field.beliefs(nodes, base, chain, skip)
+        assert np.allclose(got, plain_beliefs(field, nodes, base, chain, skip), atol=2e-3)
+
+
+def test_potentials_are_learned_together():
+    """Each label's log likelihood given its neighbours' rises, and its slope vanishes, for all three tables."""
+    rng = random.Random(3)
+    texts = [f"call +1 (988) 555-{i:04d} now or mail me@x{i % 9}.com and order 98855{i:05d} at {rng.random()} again me@x{i % 9}.com" for i in range(80)]
+    told = [pii.sampled(t, 1000) for t in texts]
+    pair = lambda a: list(zip(a[::2], a[1::2]))
+    rows = [([c[i: i + 8] for i in range(0, len(c), 8)], y, pair(a), pair(b)) for c, y, a, b in told]
+
+    def loss(f):
+        out = 0.0
+        for nodes, y, chain, skip in rows:
+            for i, k in enumerate(y):
+                if k == pii.NONE and any(i in e and min(y[e[0]], y[e[1]]) < pii.NONE for e in skip):
+                    continue
+                z = f.weights[nodes[i]].sum(0).copy()
+                z += sum((f.chain[y[a]] for a, b in chain if b == i), np.zeros(5)) + sum((f.chain[:, y[b]] for a, b in chain if a == i), np.zeros(5))
+                z += sum((f.skip[y[a if b == i else b]] for a, b in skip if i in (a, b)), np.zeros(5))
+                out -= z[k] - np.log(np.exp(z).sum())
+        return out
+
+    losses = [loss(pii.fit(rows, steps=n)) for n in (0, 5, 200)]
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1 * losses[0]
+    f = pii.fit(rows)
+    assert abs(f.chain).max() > 0.01 and f.skip[0, 0] > f.skip[0, pii.NONE]
+
+
+def test_numbers_without_a_base_span(spark):
+    docs = [(i, f"please call +1 (988) 555-{i:04d} now. The order 98855{i:05d} was shipped") for i in range(300)]
+    docs += [(900, "please call 988 555 1234 now, yes, please call 988 555 1234 now"), (901, "The order 9885552485 was shipped. The order 9885552485 was shipped")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in pii.find(table, pii.train(table.withColumnRenamed("doc_id", "id"))).collect()}
+    assert rows[900] == "phone:12:24,phone:47:59" and rows[901] == ""
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
