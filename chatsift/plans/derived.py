@@ -22,10 +22,10 @@ PARAMS = PolicyParams(threshold=0.5, cooldown=6000, dismissed=18000, grace=2400,
 # event type -> sentences, picked by k; <v> <d> <h> <k> are filled from the row
 _SENTENCES = {
     "purchase": [
-        "yo you still owe me $<v> from the airbnb",
+        "yo about the boat, you owe me $<v>",
         "venmo me whenever",
-        "I'll venmo you <v> bucks for dinner tomorrow",
-        "split the uber <v>$ each",
+        "I'll venmo you <v> bucks for the tickets tomorrow",
+        "split the ferry <v>$ each",
         "remind me to venmo priya $<v> at 8pm",
         "shall I send the remaining $<v>.50?",
         "pay up bro",
@@ -37,22 +37,22 @@ _SENTENCES = {
         "hey guys lunch on mar <d> at noon",
         "schedule a meeting with mike 12/<d> <h>:30 pm",
         "block off next monday <h>am for standup",
-        "let's schedule dinner tonight at blue bottle - ok john",
+        "let's schedule drinks tonight at the harbour bar - ok john",
         "btw coffee this weekend, <d> feb",
         "yeah yeah my bad lemme grab my phone",
     ],
     "click": [
-        "heading to dolores park",
+        "heading to the old mill",
         "Meet me at pier <v> tomorrow",
         "omw to the gym on mission",
         "i'm at gate <d>!",
-        "open whole foods in maps, pull up to the venue",
-        "lets eat at chipotle tomorrow, 1:1 lunch ",
+        "open the corner bakery in maps, pull up to the venue",
+        "lets eat at the noodle place tomorrow, 1:1 lunch ",
         "navigate to <v> market st, sf",
         "hey sarah the address is <v> main st apt <d>",
     ],
     "signup": [
-        "hey akash save this number +1 415-555-10<k>",
+        "hey akash, save my number: +1 212-555-01<k>",
         "Priya: here's my number 98765432<k>",
         "call me at (415) 555-12<k>",
         "order # 9876543210 this is john",
