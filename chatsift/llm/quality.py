@@ -159,3 +159,63 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
+
+
+#: The rules in SQL: good, bad.
+_RULES = [
+    ("n_words >= 40", f"n_words < {WORDS_LEAST}"),
+    ("word_chars >= 3 * nw AND word_chars <= 12 * nw", "word_chars < 2 * nw OR word_chars > 20 * nw"),
+    ("50 * n_symbols <= nw", "10 * n_symbols > nw"),
+    ("n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
+    ("20 * n_repeat_words <= nw", "100 * n_repeat_words > 20 * nw"),
+    ("5 * n_upper <= nl", "2 * n_upper > nl"),
+    ("200 * n_shouts <= nw", "10 * n_shouts > nw"),
+    ("3 * n_letters >= 2 * n_all", "2 * n_letters < n_all"),
+    ("16 * n_marks <= n_all", "10 * n_marks > n_all"),
+    ("10 * n_distinct >= 4 * nw OR n_words > 400", "10 * n_distinct < 2 * nw AND n_words <= 2000"),
+]
+
+
+def _em_sql(rounds: int = ROUNDS) -> str:
+    """The iterations of ``learned``, one pair of tables each; patterns ``pt`` (votes, n) to a model m<rounds>."""
+    n = len(_RULES)
+    every = f"range(1, {n + 1})"
+    odds = (f"ln(share / (1 - share)) + list_sum(list_transform({every}, lambda i: CASE votes[i] WHEN -1 THEN ln(good[i] / bad[i])"
+            " WHEN 1 THEN ln((1 - good[i]) / (1 - bad[i])) ELSE 0 END))")
+    rate = lambda i, part, prior: (
+        f"(coalesce(sum({part}) FILTER (votes[{i}] = -1), 0) + max(w) * {prior}) / (coalesce(sum({part}) FILTER (votes[{i}] <> 0), 0) + max(w))")
+    tables = [f"m0 AS (SELECT 0.8::DOUBLE AS share, list_transform({every}, lambda i: {BAD_ON_BAD}::DOUBLE) AS bad,"
+              f" list_transform({every}, lambda i: {BAD_ON_GOOD}::DOUBLE) AS good, sum(n) * {WEIGHT} + 1 AS w, sum(n) AS total FROM pt)"]
+    for k in range(rounds):
+        tables.append(f"q{k} AS MATERIALIZED (SELECT votes, n, w, total, 1 / (1 + exp(-({odds}))) AS q FROM pt, m{k})")
+        bad = ", ".join(rate(i, "n * (1 - q)", BAD_ON_BAD) for i in range(1, n + 1))
+        good = ", ".join(rate(i, "n * q", BAD_ON_GOOD) for i in range(1, n + 1))
+        tables.append(f"m{k + 1} AS MATERIALIZED (SELECT least(greatest(sum(n * q) / max(total), 0.05), 0.95) AS share,"
+                      f" [{bad}] AS bad, [{good}] AS good, max(w) AS w, max(total) AS total FROM q{k})")
+    tables.append(f"judged AS (SELECT *, 1 / (1 + exp(-({odds}))) AS quality FROM voted, m{rounds})")
+    return ", ".join(tables)
+
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents) x
+),
+windows AS (SELECT r, i, ws[i : i + {WINDOW - 1}] AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) > {WINDOW}) x),
+often AS (SELECT r, unnest(list(i)) AS i FROM windows GROUP BY r, win HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM often) x GROUP BY r),
+counted AS (
+  SELECT d.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
+    length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g')) AS n_marks,
+    length(t) AS n_all, len(list_distinct(ws)) AS n_distinct, len(regexp_extract_all(t, '[!?]{{2,}}')) AS n_shouts,
+    greatest(len(ws), 1) AS nw, greatest(length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')), 1) AS nl
+  FROM d LEFT JOIN covered USING (r)
+),
+voted AS MATERIALIZED (SELECT *, [{', '.join(f'CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END' for good, bad in _RULES)}] AS votes FROM counted),
+pt AS MATERIALIZED (SELECT votes, count(*)::DOUBLE AS n FROM voted GROUP BY votes),
+{_em_sql()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND quality >= 0.5 AS kept, quality
+FROM (SELECT *, n_words < {WORDS_LEAST} OR 100 * n_repeat_words > {REPEAT_MOST} * n_words AS failed FROM judged) x
+"""

@@ -24,6 +24,7 @@ ORACLE = {
     "op5_decontaminate": decontam.OP5_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op1_warc": warc.OP1_SQL,
+    "op9_quality": quality.OP9_SQL,
     "op11_resample": resampling.OP11_SQL,
     "op13_prefix_trie": prefixtrie.OP13_SQL,
 }
