@@ -4,9 +4,13 @@ Every shard has a preference order over the slots of a table of prime size: an o
 and a step from its name's hash. The shards take turns, each claiming its first free
 slot, until the table is full; so shares differ by one slot at most, and a change of
 one shard moves few keys. A key's slot is its hash modulo the size; the table has a
-fixed size and is broadcast, so a row finds its shard in constant time without a
-shuffle. Null keys share the slot of the empty string. Rows are never moved together
-by key, so a hot key fills no task of its own.
+fixed size and is broadcast, so a row finds its shard in constant time.
+
+Shards are written with all columns, one folder each. A shard has as many files as its
+bytes call for, and a row's file follows from its place in the input, not from its
+content: copies of a row, and the rows of a hot key, spread over all files of their
+shard. Null keys share the slot of the empty string; an empty table has no folders.
+Columns of the names slot and shard are replaced.
 """
 
 from __future__ import annotations
@@ -16,9 +20,11 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.llm.common import read
+from chatsift.config import scratch_path
+from chatsift.llm.common import partitions, read
 
 SLOTS = 65_537  # prime
+FILE_BYTES = 256 << 20
 SHARDS = [f"shard-{i:03d}" for i in range(96)]
 
 
@@ -59,13 +65,24 @@ def place(rows: DataFrame, key: str, shards: list[str] = SHARDS, slots: int = SL
     return rows.join(F.broadcast(table), "slot", "left").select(*rows.columns, "shard")
 
 
-def write_shards(rows: DataFrame, key: str, path: str, shards: list[str] = SHARDS, slots: int = SLOTS, files: int = 4) -> None:
-    """One folder per shard, each dealt to ``files`` tasks by the rest of its hash."""
-    placed = place(rows, key, shards, slots)
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in placed.columns]), F.lit(files))
-    placed.repartition("shard", part).write.partitionBy("shard").parquet(path)
+def size(rows: DataFrame) -> int:
+    """Bytes of all rows: of texts and binaries their length, of all else eight per column."""
+    each = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in rows.dtypes]
+    return rows.agg(F.sum(sum(each[1:], each[0]).cast("long")).alias("n")).first().n or 0
+
+
+def write_shards(
+    rows: DataFrame, key: str, path: str, shards: list[str] = SHARDS, slots: int = SLOTS, file_bytes: int = FILE_BYTES,
+) -> DataFrame:
+    """Write rows to a folder per shard, in files of about ``file_bytes``; returns them as read back, with slot and shard."""
+    files = max(1, -(-size(rows) // (len(shards) * file_bytes)))
+    placed = place(rows, key, shards, slots).withColumn("__file", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files)))
+    tasks = max(partitions(rows.sparkSession), len(shards) * files)  # a number of its own, else Spark would join small ones
+    placed.repartition(tasks, "shard", "__file").drop("__file").write.partitionBy("shard").parquet(path)
+    return rows.sparkSession.read.schema(placed.drop("__file").schema).parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's slot and shard."""
-    return place(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    """Every document's slot and shard, read from the shards, with the size of its text there."""
+    shards = write_shards(read(spark, sf_dir, "documents"), "doc_id", scratch_path(spark, "shards"))
+    return shards.select("doc_id", "source", "n_chars", "slot", "shard", F.length("text").alias("text_chars"))

@@ -87,6 +87,28 @@ def test_token_files_match_the_library(spark):
         start += r.n_tokens
 
 
+def test_encoder_by_word_or_whole():
+    from tokenizers import Tokenizer
+
+    odd = ["\u0130stanbul \u00c7A, \u00df. \u00b5m \u00aab a\u0338 Thin, Thin! thin", "'s 'T isn't WE'RE", " a b\x0bc\x1cd ", "a|b ||| .,. \u00c0\u00c0!", None, ""]
+    marks = "".join(map(chr, range(33, 127))) + "aA\u00e9\u00c9 \n''..  <|"
+    odd += ["".join(random.Random(i).choices(marks, k=300)) for i in range(60)] + ["".join(map(chr, range(1, 256)))]
+    for name, by in ((tokenfile.TOKENIZER, tokenfile.pieces), ("byte_bpe_50k.json", None)):
+        path = tokenizers.path(name)
+        e, t = tokenfile.Encoder(path, keep=40), Tokenizer.from_file(path)
+        assert e.words == by
+        for i in range(30):
+            texts = [words(40, i), *odd]
+            want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+            assert list(e.batch(texts)) == want
+
+
+def test_token_files_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    manifest = tokenfile.write_tokens(docs, scratch_path(spark, "tokens"), tokenizers.path(tokenfile.TOKENIZER))
+    assert tokenfile.read_tokens(manifest).count() == 0
+
+
 def test_reader_takes_single_documents_and_checks_frames(tmp_path):
     w = tokenfile.Writer(str(tmp_path / "t.zst"))
     texts = [np.arange(i * 997 % 40_000, dtype="<u4").tobytes() for i in range(40)]
@@ -183,8 +205,18 @@ def test_sharding_rows(spark):
         key = "" if r.doc_id is None else str(r.doc_id)
         slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % sharding.SLOTS
         assert (r.slot, r.shard) == (slot, sharding.SHARDS[table[slot]])
-    path = scratch_path(spark, "shards")
-    sharding.write_shards(df.drop("slot"), "doc_id", path)
-    assert spark.read.parquet(path).count() == 52
     assert sharding.place(df.limit(0), "doc_id").count() == 0
-    assert F is not None
+
+
+def test_shards_hold_whole_rows(spark):
+    rows = [(i, f"text {i}" * (i % 9), 0.5, "old") for i in range(90)] + [(7, "copy", None, "old")] * 400 + [(None, None, 1.0, None), (91, "x" * 300_000, 2.0, "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, shard string").repartition(3)
+    back = sharding.write_shards(df, "doc_id", scratch_path(spark, "shards"), shards=["a", "b", "c"], slots=101, file_bytes=20_000)
+    got = back.withColumn("file", F.input_file_name()).collect()
+    assert back.columns == ["doc_id", "text", "score", "slot", "shard"]
+    assert sorted(map(repr, (tuple(r)[:3] for r in got))) == sorted(repr(r[:3]) for r in rows)
+    table = sharding.lookup_table(["a", "b", "c"], 101)
+    assert all(r.shard == "abc"[table[r.slot]] and f"shard={r.shard}/" in r.file for r in got)
+    assert len({r.file for r in got if r.doc_id == 7}) > 2  # copies are spread
+    none = sharding.write_shards(df.limit(0), "doc_id", scratch_path(spark, "shards"))
+    assert none.count() == 0
