@@ -32,12 +32,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     What follows reads files that every executor sees, so a lost executor costs
-    no earlier stage, and rows with generated numbers keep them.
+    no earlier stage, and rows with generated numbers keep them. Shuffle files
+    of the work before are of no more use: the driver's collector is asked to
+    let Spark remove them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables. Only for tables that nothing reads any more, not even to repeat a lost task: all that came from them is staged."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
