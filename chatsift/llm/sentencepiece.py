@@ -114,7 +114,7 @@ class Model:
         self.prefix = prefix
         # Where no piece crosses: before a run of markers, and around line ends, unless a piece says otherwise.
         inner = any(re.search(f"[^{MARK}]{MARK}", p) for p in normal)
-        lines = any("\n" in p and p.strip("\n") for p in normal)
+        lines = any("\n" in p and p != "\n" for p in normal)
         self.cut = re.compile(r" *[^ ]+| +")
         self.safe = not (inner or lines)
 

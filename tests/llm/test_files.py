@@ -142,6 +142,13 @@ def plain_viterbi(pieces, text, cost):
     return best[-1][0]
 
 
+def test_a_piece_of_line_ends_forbids_cuts_at_them():
+    plain = [("<unk>", 0.0, sentencepiece.UNKNOWN), ("a", -1.0, sentencepiece.NORMAL)]
+    assert sentencepiece.Model([*plain, ("\n", -2.0, sentencepiece.NORMAL)]).safe
+    for p in ("\n\n", "a\n", "\na"):
+        assert not sentencepiece.Model([*plain, (p, -2.0, sentencepiece.NORMAL)]).safe
+
+
 def test_sentencepiece_takes_the_best_segmentation(spark):
     model = sentencepiece.Model.load(tokenizers.path(sentencepiece.MODEL))
     import sentencepiece as sp

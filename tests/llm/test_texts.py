@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from chatsift.llm import decontam, jaccard, pii, quality, secrets, toxicity
+from chatsift.llm import decontam, graph, jaccard, pii, quality, secrets, toxicity
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -202,6 +202,16 @@ def plain_near(docs, words, percent):
     return sorted((uid, len(x), least[k]) for (uid, _), x, k in zip(docs, sets, label))
 
 
+def test_components_of_stars_and_chains(spark):
+    """A hot centre, large or small, a chain, loops and repeated links."""
+    links = [(0, i) for i in range(1, 900)] + [(5000, i) for i in range(2000, 2600)] + [(i, i + 1) for i in range(3000, 3060)]
+    links += [(2500, 5001), (5001, 5002), (7, 7), (0, 1), (1, 0), (3000, 3060)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()}
+    want = {**{i: 0 for i in range(900)}, **{i: 2000 for i in [*range(2000, 2600), 5000, 5001, 5002]}, **{i: 3000 for i in range(3000, 3061)}}
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def near_texts(seed):
     rng = random.Random(seed)
     texts = []
