@@ -18,6 +18,7 @@ NAMES = [
     "payloads", "decisions", "hot_chat_decisions", "flat_replies", "frame_responses", "chat_snapshot",
     "audience", "eval_per_intent", "class_report", "filled_templates", "augmented_messages", "exact_split",
     "action_cards", "batch_scored", "stream_late_decisions", "custom_key_decisions", "popups_per_member", "stored_messages",
+    "idle_sessions", "states_as_of", "live_controls", "stream_from_history", "gradient_scorer", "stored_report",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables not there")
