@@ -10,14 +10,15 @@ links are found between classes:
    ordered rare first, and its prefix of |x| - ceil(t |x|) + 1 shingles posted:
    linked sets share a posted shingle.
 2. Hubs. Each shingle's postings meet only its hub, the set with the fewest rare
-   shingles, after the length filter. So a group of near copies costs a pair per
-   member and posting, not all pairs, and most of it is connected now.
+   shingles, after the length filter and if they share a quarter of what they post. So a
+   group of near copies costs a pair per member and posting, not all pairs, and most of
+   it is connected now.
 3. Within a hub's group, sets that are not connected with the hub yet. A set is the
    hub with shingles added and taken away; two sets link when these differences have
    enough in common, which again is a prefix filter, on the differences. Sets close to
    the hub share few differences with one far from it, so few pairs are left.
 4. Between groups: postings of one shingle in different groups and components, under
-   the length and the positional filter.
+   the length and the positional filter, if they post enough in common.
 
 Before texts are fetched, a pair must pass a bound on its difference: every node
 carries the parity of its shingles in 1,024 bins, and sets whose parities differ in k
@@ -38,10 +39,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.llm.common import Bounded, parts, partitions, read, staged
+from chatsift.llm.common import SLICE_BYTES, Bounded, discard, parts, partitions, read, staged
 from chatsift.llm.graph import components
 
 SLOTS = 1 << 23  # of the frequency table, 2 bytes each
@@ -86,6 +88,10 @@ class Rule:
         """Smallest set that a set of n can link with: ceil(t n)."""
         return -(-self.p * n // self.q)
 
+    def posted(self, n: str) -> str:
+        """SQL of the shingles that a set of n posts."""
+        return f"({n} - ({self.p} * {n} + {self.q - 1}) div {self.q} + 1)"
+
 
 def alike(t: Fraction) -> str:
     """SQL: verified sets have the similarity t at least."""
@@ -204,33 +210,46 @@ def may_differ(pairs: DataFrame, nodes_: DataFrame, similarity: float | Fraction
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
 
 
-def nodes(docs: DataFrame, profile: DataFrame, counts, rule: Rule) -> DataFrame:
-    """A row per class: node, rep (smallest id), key, n, odds (parities) and prefix. Small nodes are sets of common shingles."""
+def nodes(docs: DataFrame, counts, rule: Rule) -> DataFrame:
+    """A row per class: node, rep (the id of one of its rows), key, n, odds (parities) and prefix. Small nodes are sets of common shingles.
+
+    A task gives out a class once, unless it forgets, and all of a class's rows meet in the one range they share.
+    """
 
     def run(batches):
-        memo, c = Words(200_000), counts.value
+        memo, seen, c = Words(200_000), Bounded(100_000), counts.value
         for batch in parts(batches):
+            seen.trim()
             rows = []
             for uid, s in zip(batch.column(0).to_pylist(), sets(batch.column(1).to_pylist(), memo, rule.shingle)):
-                if len(s):
+                if len(s) and (k := key(s)) not in seen:
+                    seen[k] = None
                     f = c[(s % SLOTS).astype(np.int64)]
                     order = np.argsort(f, kind="stable")[: len(s) - rule.least_common(len(s)) + 1]
-                    rows.append((uid, key(s), float((1 / np.maximum(f, 1, dtype=float)).mean()), parities(s), s[order].astype(np.int64)))
+                    rows.append((uid, k, len(s), float((1 / np.maximum(f, 1, dtype=float)).mean()), parities(s), s[order].astype(np.int64)))
             if rows:
-                uid, k, odd, odds, prefix = zip(*rows)
+                uid, k, n, odd, odds, prefix = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid, pa.int64()), pa.array(k, pa.binary()), pa.array(odd), *(pa.array(c, pa.list_(pa.int64())) for c in (odds, prefix))],
-                    ["id", "key", "odd", "odds", "prefix"],
+                    [pa.array(uid, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(odd), *(pa.array(c, pa.list_(pa.int64())) for c in (odds, prefix))],
+                    ["rep", "key", "n", "odd", "odds", "prefix"],
                 )
 
-    classes = profile.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("rep"))
-    rows = docs.mapInArrow(run, "id long, key binary, odd double, odds array<long>, prefix array<long>").alias("d")
-    one = (
-        rows.join(classes.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.id").eqNullSafe(F.col("c.rep")))
-        .select("c.key", "rep", "n", "odd", "odds", "prefix").dropDuplicates(["key"])
-    )
-    ordered = one.repartitionByRange(partitions(docs.sparkSession), "odd", "key").sortWithinPartitions("odd", "key")
-    return staged(ordered.select(F.monotonically_increasing_id().alias("node"), "rep", "key", "n", "odds", "prefix"), "nodes")
+    def first(batches):
+        last = None
+        for batch in batches:
+            keep = []
+            for k in batch.column(1).to_pylist():
+                keep.append(k != last)
+                last = k
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    schema = "rep long, key binary, n long, odd double, odds array<long>, prefix array<long>"
+    wide = staged(docs.mapInArrow(run, schema), "sets")  # read twice, as ranges are found by sampling
+    ordered = wide.repartitionByRange(partitions(docs.sparkSession), "odd", "key").sortWithinPartitions("odd", "key", "rep")
+    one = ordered.mapInArrow(first, schema)
+    out = staged(one.select(F.monotonically_increasing_id().alias("node"), "rep", "key", "n", "odds", "prefix"), "nodes")
+    discard(wide)
+    return out
 
 
 def bit_table(nodes_: DataFrame, ends: DataFrame):
@@ -247,7 +266,7 @@ def bit_table(nodes_: DataFrame, ends: DataFrame):
 
 
 def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(key, text, left, right) of classes in pairs (a, b): as some a, as some b.
+    """(key, text, left, right) of classes in pairs (a, b): as some a, as some b. Texts are packed with zstd.
 
     Bit tables keep other rows out before any set is made; the few that pass by
     chance and copies of a row from different tasks meet no pair or repeat one. A copy
@@ -257,7 +276,7 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle:
     tables = [bit_table(nodes_, pairs.select(F.col(c).alias("node")).distinct()) for c in "ab"]
 
     def run(batches):
-        memo, seen = Words(200_000), Bounded(100_000)
+        memo, seen, pack = Words(200_000), Bounded(100_000), zstandard.ZstdCompressor(level=3)
         left, right = (t.value for t in tables)
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
@@ -271,7 +290,7 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle:
                     given_x, given_y = seen.get(k, (False, False))
                     if len(s) and (x and not given_x or y and not given_y):
                         seen[k] = (x or given_x, y or given_y)
-                        rows.append((k, t, x and not given_x, y and not given_y))
+                        rows.append((k, pack.compress(t), x and not given_x, y and not given_y))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.bool_(), pa.bool_()))],
@@ -304,7 +323,7 @@ def common(x: np.ndarray, y: np.ndarray, least: int) -> int:
 
 
 def with_texts(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, x, y): pairs with the texts of both. What travels is texts, half the size of their sets."""
+    """(a, b, x, y): pairs with the texts of both. What travels is packed texts, a fraction of the size of their sets."""
     keys = nodes_.select("node", "key")
     named = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("key_a")), "a").join(
         keys.select(F.col("node").alias("b"), F.col("key").alias("key_b")), "b"
@@ -319,18 +338,19 @@ class Sets(Bounded):
 
     def __init__(self, limit: int, shingle: int):
         super().__init__(limit)
-        self.memo, self.shingle = Words(200_000), shingle
+        self.memo, self.shingle, self.unpack = Words(200_000), shingle, zstandard.ZstdDecompressor().decompress
 
     def __missing__(self, text: bytes) -> np.ndarray:
-        self[text] = s = next(sets([text], self.memo, self.shingle))
+        self[text] = s = next(sets([self.unpack(text)], self.memo, self.shingle))
         return s
 
 
 def both_sets(batches, shingle: int) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
     kept, memo = Sets(20, shingle), Words(200_000)
-    for batch in parts(batches, -1):
+    for batch in parts(batches, -1, SLICE_BYTES // 4):  # texts grow as they are unpacked
         kept.trim()
-        yield batch, ((kept[x], y) for x, y in zip(batch.column(2).to_pylist(), sets(batch.column(3).to_pylist(), memo, shingle)))
+        texts = map(kept.unpack, batch.column(3).to_pylist())
+        yield batch, ((kept[x], y) for x, y in zip(batch.column(2).to_pylist(), sets(texts, memo, shingle)))
 
 
 def verified(pairs: DataFrame, nodes_: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -374,15 +394,19 @@ def differences(groups: DataFrame, nodes_: DataFrame, texts: DataFrame, counts,
 
 def links(docs: DataFrame, nodes_: DataFrame, counts, rule: Rule) -> DataFrame:
     """Linked pairs of nodes (u, v) that connect all that is connected."""
-    postings = nodes_.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    # dealt once by shingle: the count and the join that follow need no other shuffle of them
+    postings = nodes_.select("node", "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram")
     buckets = postings.groupBy("gram").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1").drop("size")
     sizes = nodes_.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
     group = rule.group
     length = f"{group.denominator} * least(n, n_hub) >= {group.numerator} * greatest(n, n_hub)"
     shared = staged(postings.join(buckets, "gram"), "postings")
+    # Sets that share few of their rare shingles are no group. What they share under other hubs isn't seen
+    # here, so they may still link: they are left to between().
+    enough = f"4 * c >= least({rule.posted('n')}, {rule.posted('n_hub')})"
     hubs = (
-        shared.where("node <> hub").select("hub", "node", "n").distinct()
-        .join(sizes, "hub").where(length).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        shared.where("node <> hub").groupBy("hub", "node", "n").agg(F.count("*").alias("c"))
+        .join(sizes, "hub").where(length).where(enough).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
     hubs = staged(may_differ(hubs, nodes_, group), "hub-pairs")
     hub_texts = wanted_texts(docs, nodes_, hubs, rule.shingle)
@@ -397,16 +421,19 @@ def links(docs: DataFrame, nodes_: DataFrame, counts, rule: Rule) -> DataFrame:
         nodes_.select("node", "n").join(member.withColumnRenamed("b", "node"), "node", "left").join(known, "node", "left")
         .select("node", "n", F.coalesce("a", "node").alias("group"), F.coalesce("label", "node").alias("label")), "state",
     )
-    inside = within(state, known, nodes_, hub_texts, counts, rule)
+    inside, used = within(state, known, nodes_, hub_texts, counts, rule)
     across = between(shared, state, rule)
     rest = inside.union(across).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
     rest = staged(may_differ(rest, nodes_, rule.similarity), "other-pairs")
-    more = verified(rest, nodes_, wanted_texts(docs, nodes_, rest, rule.shingle), rule)
+    discard(shared, hubs, hub_texts, state, label, *used)
+    rest_texts = wanted_texts(docs, nodes_, rest, rule.shingle)
+    more = verified(rest, nodes_, rest_texts, rule)
+    discard(rest, rest_texts)
     return first.union(more.where(rule.linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFrame, counts, rule: Rule) -> DataFrame:
-    """Pairs of one group that may link though one of them is not connected with the hub."""
+def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFrame, counts, rule: Rule) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of one group that may link though one of them is not connected with the hub, and the tables staged for them."""
     member = state.where("node <> group").join(
         label.select(F.col("node").alias("group"), F.col("label").alias("hub_label")), "group", "left"
     ).withColumn("far", F.expr("label <> coalesce(hub_label, `group`)"))
@@ -430,11 +457,15 @@ def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFra
         # the first difference in common leaves room for the others
         f" and {2 * both} * least(d_a - pos_a, d_b - pos_b) >= {both} * (d_a + d_b) - {apart} * (n_a + n_b)"
     )
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), [member, rows]
 
 
 def between(shared: DataFrame, state: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different groups and components under one posted shingle."""
+    """Pairs of different groups and components under one posted shingle that share enough of them.
+
+    All shingles that both post are counted. The set whose prefix ends first has no more in common with the other than those
+    and what it doesn't post; the positional filter holds for the first shingle in common at least.
+    """
     rows = shared.join(state.select("node", "group", "label"), "node")
     home = rows.where("node = hub").select("gram", F.col("group").alias("home"))
     mixed_ = rows.groupBy("gram").agg(
@@ -443,12 +474,15 @@ def between(shared: DataFrame, state: DataFrame, rule: Rule) -> DataFrame:
     rows = rows.select("gram", "node", "n", "pos", "group", "label").join(mixed_, "gram")
     one = rows.where("group <> home").select(*[F.col(c).alias(c if c == "gram" else c + "_a") for c in rows.columns if c != "home"])
     two = rows.select(*[F.col(c).alias(c if c == "gram" else c + "_b") for c in rows.columns])
+    first = f"{rule.q + rule.p} * least(n_a - pos_a, n_b - pos_b) >= {rule.p} * (n_a + n_b)"
     pairs = one.join(two, "gram").where(
         "group_a <> group_b and label_a <> label_b and (group_b = home_b or node_a < node_b)"
         f" and {rule.q} * least(n_a, n_b) >= {rule.p} * greatest(n_a, n_b)"
-        f" and {rule.q + rule.p} * least(n_a - pos_a, n_b - pos_b) >= {rule.p} * (n_a + n_b)"
-    )
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
+             F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"), F.expr(first).alias("fits"))
+    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("fits").alias("fits"))
+    hidden = f"greatest(n_a - {rule.posted('n_a')}, n_b - {rule.posted('n_b')})"
+    return counted.where("fits").where(f"{rule.q + rule.p} * (c + {hidden}) >= {rule.p} * (n_a + n_b)").select("a", "b")
 
 
 def near_duplicates(
@@ -468,9 +502,10 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     docs = whole.select("id", "text")
     profile = profiles(whole, rule)
     counts = docs.sparkSession.sparkContext.broadcast(frequencies(profile))
-    nodes_ = nodes(docs, profile, counts, rule)
+    nodes_ = nodes(docs, counts, rule)
     found = staged(components(links(docs, nodes_, counts, rule)), "components")
-    joined = nodes_.select("node", "rep", "key").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = profile.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
+    joined = nodes_.select("node", "key").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).join(least, "key")
     smallest = joined.groupBy("label").agg(F.min("rep").alias("least"))
     classes = joined.join(smallest, "label").select("key", "label", "least")
     return profile.where("piece is null").select("id", "mark", "n", "key").join(classes, "key", "left").select("id", "mark", "n", "label", "least")
