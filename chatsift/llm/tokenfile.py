@@ -13,6 +13,7 @@ id in no fixed order); a null or empty text has the end id alone.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -123,28 +124,101 @@ class Reader:
             yield p, plain[at: at + 4 * int(self.counts[p])]
 
 
+#: Bytes of Latin-1 texts that are neither ASCII (but for most control characters) nor letters.
+_UNUSUAL = bytes([*range(0x09), *range(0x0E, 0x20), *range(0x7F, 0xC0), 0xD7, 0xF7])
+#: A whole run of marks. One with an apostrophe may begin a piece of its own with the letters behind it.
+_MARKS = re.compile(r"[!-/:-@\[-`{-~]+")
+_NO_MARKS = bytes(b for b in range(256) if not 33 <= b < 127 or chr(b).isalnum())
+_MARKED = bytes(33 <= b < 127 and not chr(b).isalnum() for b in range(256))
+#: Words of one piece: letters, or marks.
+_ONE = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+_SAMPLES = [
+    "A b  c\n\td, e.f 'tis it's naïve ÀB!? 12 x|y ... (.) a.'s 's. $5.00 x_y ''' ß Über\r.", "", " ",
+    "<|endoftext|> … é .\x1c µm ªb a̸",
+]
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, with the ids of recent words kept.
 
-    This tokenizer drops white space and never joins what white space parts, so a
-    text's ids are those of its words in a row. The memo has a bounded size.
+    A tokenizer that drops white space and never joins what white space parts gives
+    a text the ids of its words in a row. One that also lower-cases letters and keeps
+    marks and letters apart gives a text of Latin letters and marks the ids of both in
+    a row, and there are fewer of those. Where the vocabulary marks the ends of pieces,
+    new words of one piece are encoded many at a time and cut at the ends. What holds
+    for a tokenizer is found out at the start; at worst it encodes whole texts. The
+    memo has a bounded size.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), Bounded(keep)
+        # for words that are in lower case and in one piece already, all that is left to do are the merges
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        whole = self.encoded(_SAMPLES)
+        for self.words in (pieces, chunks, None):
+            self.memo.clear()
+            if list(self.batch(_SAMPLES)) == whole:
+                break
+
+    def encoded(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def learn(self, new: list[str], together: int = 1000) -> None:
+        one = list(filter(_ONE.fullmatch, new)) if self.words is pieces else []
+        groups = [one[i: i + together] for i in range(0, len(one), together)]
+        rest = list(set(new).difference(one)) if one else new
+        for group, data in zip(groups, self.encoded([" ".join(g) for g in groups], self.merges)):
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)).tolist()
+            if len(cuts) == len(group):
+                self.memo.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
+            else:
+                rest += group
+        self.memo.update(zip(rest, self.encoded(rest)))
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        if not self.words:
+            yield from self.encoded([t or "" for t in texts])
+            return
+        words = [self.words(t or "") for t in texts]
         self.memo.trim()
-        new = [w for w in set().union(*words) if w not in self.memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = self.memo.__getitem__
-        for w in words:
-            yield b"".join(map(get, w))
+        rows = [list(map(self.memo.get, w)) for w in words]
+        unknown = [[i for i, ids in enumerate(row) if ids is None] for row in rows]
+        self.learn(list({w[i] for w, at in zip(words, unknown) for i in at}))
+        for w, row, at in zip(words, rows, unknown):
+            for i in at:
+                row[i] = self.memo[w[i]]
+            yield b"".join(row)
+
+
+def chunks(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+
+def pieces(text: str) -> list[str]:
+    """Lower-case words with their marks apart, where only Latin letters, digits and marks are about; else chunks."""
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return chunks(text)
+    if "<|" in text or len(plain.translate(None, _UNUSUAL)) < len(plain):
+        return chunks(text)
+    text = text.lower()
+    if b"\1\1" in plain.translate(_MARKED):
+        return chunks(_MARKS.sub(lambda m: m[0] if "'" in m[0] else f" {m[0]} ", text))
+    for mark in map(chr, set(plain.translate(None, _NO_MARKS))):
+        if mark != "'":
+            text = text.replace(mark, f" {mark} ")
+    return chunks(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
