@@ -18,7 +18,7 @@ links are found between classes:
    enough in common, which again is a prefix filter, on the differences. Sets close to
    the hub share few differences with one far from it, so few pairs are left.
 4. Between groups: postings of one shingle in different groups and components, under
-   the length and the positional filter, if they post enough in common.
+   the length and the positional filter, if they post three in common or as many as they can.
 
 Before texts are fetched, a pair must pass a bound on its difference: every node
 carries the parity of its shingles in 1,024 bins, and sets whose parities differ in k
@@ -51,6 +51,7 @@ PIECES = 64  # rows it travels in
 MOST = 65_535
 BITS = 1 << 23  # of the table of wanted ids
 BINS = 1 << 10  # of a set's parities
+LEAST = 3  # posted shingles that sets of different groups must share, where they post that many
 GROUP = Fraction(7, 10)  # similarity to a hub from which a set belongs to its group, if links need no less
 
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -461,10 +462,10 @@ def within(state: DataFrame, label: DataFrame, nodes_: DataFrame, texts: DataFra
 
 
 def between(shared: DataFrame, state: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different groups and components under one posted shingle that share enough of them.
+    """Pairs of different groups and components that share LEAST of the shingles they post, or as many as their sizes ask for.
 
-    All shingles that both post are counted. The set whose prefix ends first has no more in common with the other than those
-    and what it doesn't post; the positional filter holds for the first shingle in common at least.
+    Sets with r elements in common share l of their first n - r + l, in the order of all (for one l this is the
+    positional filter); l is as large as what is posted allows.
     """
     rows = shared.join(state.select("node", "group", "label"), "node")
     home = rows.where("node = hub").select("gram", F.col("group").alias("home"))
@@ -474,15 +475,15 @@ def between(shared: DataFrame, state: DataFrame, rule: Rule) -> DataFrame:
     rows = rows.select("gram", "node", "n", "pos", "group", "label").join(mixed_, "gram")
     one = rows.where("group <> home").select(*[F.col(c).alias(c if c == "gram" else c + "_a") for c in rows.columns if c != "home"])
     two = rows.select(*[F.col(c).alias(c if c == "gram" else c + "_b") for c in rows.columns])
-    first = f"{rule.q + rule.p} * least(n_a - pos_a, n_b - pos_b) >= {rule.p} * (n_a + n_b)"
+    p, q = rule.p, rule.q
+    wanted = f"({p} * (n_a + n_b) + {p + q - 1}) div {p + q}"
+    shared_ = f"least({LEAST}, {wanted} - ({p} * greatest(n_a, n_b) + {q - 1}) div {q} + 1)"
     pairs = one.join(two, "gram").where(
         "group_a <> group_b and label_a <> label_b and (group_b = home_b or node_a < node_b)"
-        f" and {rule.q} * least(n_a, n_b) >= {rule.p} * greatest(n_a, n_b)"
-    ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
-             F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"), F.expr(first).alias("fits"))
-    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("fits").alias("fits"))
-    hidden = f"greatest(n_a - {rule.posted('n_a')}, n_b - {rule.posted('n_b')})"
-    return counted.where("fits").where(f"{rule.q + rule.p} * (c + {hidden}) >= {rule.p} * (n_a + n_b)").select("a", "b")
+        f" and {q} * least(n_a, n_b) >= {p} * greatest(n_a, n_b)"
+        f" and least(n_a - pos_a, n_b - pos_b) >= {wanted} - {shared_} + 1"
+    ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.expr(shared_).alias("l"))
+    return pairs.groupBy("a", "b", "l").agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
 
 
 def near_duplicates(
