@@ -115,3 +115,14 @@ def test_live_snapshot_equals_the_batch(spark, served):
     live = ST.live_snapshot(spark, f"{root}/progress", as_of, P).orderBy("chat_id").collect()
     want = state.snapshot(policy.decide(spark.createDataFrame(rows, SCHEMA), P), as_of, P).orderBy("chat_id").collect()
     assert live == want and live
+
+
+def test_counters_start_in_a_session_of_their_own(spark, tmp_path):
+    """No other stream has chosen the state store before."""
+    rows = ordered(24, chats=2, length=5)
+    frames(spark, rows, f"{tmp_path}/in", [])
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    decided = ST.decide_stream(source(spark, f"{tmp_path}/in"), P, "1 hour")
+    ST.start_counters(decided, f"{tmp_path}/out", f"{tmp_path}/progress", "1 minute", available_now=True).awaitTermination()
+    detected = sum(r[4] == "message" for r in rows)
+    assert ST.counters(spark, f"{tmp_path}/out").agg(F.sum("detected")).first()[0] == detected
