@@ -16,10 +16,17 @@ replay, and only rows behind the watermark are late.
 
 from __future__ import annotations
 
+import heapq
 import pickle
-from collections.abc import Callable, Iterator
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import tempfile
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from numbers import Number
+from operator import itemgetter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -69,56 +76,99 @@ DECISION_FIELDS = [
 _DECIDED = [f.name for f in DECISION_FIELDS]
 
 
-_HELD = T.StructType([
-    T.StructField("us", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("row", T.BinaryType()),
+#: What the stateful step is given and hands on: the rest of a row travels as one text.
+_SENT = T.StructType([
+    T.StructField("chat_id", T.StringType()),
+    T.StructField("intent", T.StringType()),
+    T.StructField("us", T.LongType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("key1", T.StringType()),
+    T.StructField("key2", T.StringType()),
+    T.StructField("payload_json", T.StringType()),
+    T.StructField("rest", T.StringType()),
+    T.StructField("no_seq", T.BooleanType()),
 ])
+_PLAIN = [f.name for f in _SENT.fields if f.name not in ("us", "rest", "no_seq")] + ["ts"]
+_OUT = T.StructType(_SENT.fields + DECISION_FIELDS)
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: Time of a row without one: older than all, so it is late.
+_NEVER = -(2**62)
+
+# Held rows, a few thousand to a page, by the hour they belong to: no state value grows with a chat.
+_HOUR = T.StructType([T.StructField("hour", T.LongType())])
+_PAGES = T.StructType([T.StructField("pages", T.LongType()), T.StructField("first_us", T.LongType())])
+_PAGE = T.StructType([T.StructField("hour", T.LongType()), T.StructField("page", T.LongType())])
+_HELD = T.StructType([T.StructField("rows", T.BinaryType())])
+HOUR_US = 3_600_000_000
+PAGE_ROWS = 2_000
+#: Characters of rows that are sorted or held back in memory; beyond them sorted runs go to a file of the task.
+SORT_CHARS = 32_000_000
+#: Rows of a key that are handed on at a time.
+OUT_ROWS = 5_000
+
+_TIME = itemgetter(2, 3)  # (us, seq) of a row
+
+
+def _chars(row: tuple) -> int:
+    return 400 + sum(len(c) for c in row[6:9] if c)
+
+
+def in_order(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Rows by (us, seq) in bounded memory: sorted runs in a temporary file, merged."""
+    with tempfile.TemporaryFile() as file:
+        run, chars, runs = [], 0, []
+        for row in rows:
+            run.append(row)
+            chars += _chars(row)
+            if chars >= SORT_CHARS:
+                run.sort(key=_TIME)
+                starts = [file.tell()]
+                for i in range(0, len(run), 500):
+                    pickle.dump(run[i:i + 500], file, pickle.HIGHEST_PROTOCOL)
+                    starts.append(file.tell())
+                runs.append(starts)
+                run, chars = [], 0
+        run.sort(key=_TIME)
+
+        def read(starts: list[int]) -> Iterator[tuple]:
+            for start in starts[:-1]:
+                file.seek(start)
+                yield from pickle.load(file)
+
+        yield from heapq.merge(*map(read, runs), run, key=_TIME)
 
 
 class CooldownProcessor(StatefulProcessor):
-    """Applies the decision function to each key's events."""
+    """Applies the decision function to each key's events, in bounded memory whatever a key has."""
 
-    def __init__(self, params: PolicyParams, columns: list[str], hold: bool = False):
-        self.params, self.columns, self.hold = params, columns, hold
+    def __init__(self, params: PolicyParams, hold: bool = False):
+        self.params, self.hold = params, hold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("tracker", _STATE)
-        self.held = handle.getListState("held", _HELD) if self.hold else None
+        if self.hold:
+            self.hours = handle.getMapState("hours", _HOUR, _PAGES)
+            self.held = handle.getMapState("held", _PAGE, _HELD)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        r = initialState
-        timer = self._expiry_ms(r["last_event"])
+        r = {c: None if pd.isna(v) else v for c, v in initialState.iloc[0].items()}
+        tracker = Tracker(*[int(r[f]) if isinstance(r[f], Number) else r[f] for f in Tracker._fields])
+        timer = self._expiry_ms(tracker.last_event)
         self.handle.registerTimer(timer)
-        self._save(Tracker(*[r[f] for f in Tracker._fields]), (r["applied_us"], r["applied_seq"]), timer)
+        applied = int(r["applied_us"]), _NEVER if r["applied_seq"] is None else int(r["applied_seq"])
+        self._save(tracker, applied, timer)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        if not self.hold:
-            return iter(self._apply(rows, watermark))
-        kept, out = [], []
-        for row in rows:
-            if row["_us"] // 1000 < watermark:
-                out.append(self._late(row))
-            else:
-                kept.append((row["_us"], row["seq"], pickle.dumps(row)))
-        if kept:
-            self.held.appendList(kept)
-            self._wake(kept)
-        return iter(out)
+        given = (row for frame in rows for row in frame.itertuples(index=False, name=None))
+        return _frames(self._keep(given, watermark) if self.hold else self._apply(given, watermark))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        watermark, out = timerValues.getCurrentWatermarkInMs(), []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
         if self.hold:
-            held = sorted(self.held.get(), key=lambda r: (r[0], r[1]))
-            due = [r for r in held if r[0] // 1000 < watermark]
-            if due:
-                out = self._apply([pickle.loads(bytes(r[2])) for r in due], 0)
-                rest = [tuple(r) for r in held[len(due):]]
-                if rest:
-                    self.held.put(rest)
-                    self._wake(rest)
-                else:
-                    self.held.clear()
+            yield from _frames(self._let_go(watermark))
         saved = self.value.get()
         if saved is not None:
             # every event still to be applied is newer than the watermark
@@ -129,15 +179,76 @@ class CooldownProcessor(StatefulProcessor):
                 timer = self._expiry_ms(tracker.last_event)
                 self.handle.registerTimer(timer)
                 self._save(tracker, (saved[9], saved[10]), timer)
-        return iter(out)
 
     def close(self) -> None:
         pass
 
-    def _late(self, row: Row) -> Row:
-        return Row(*self.columns, *_DECIDED)(*[row[c] for c in self.columns], *[None] * 12, True)
+    def _keep(self, rows: Iterable[tuple], watermark: int) -> Iterator[tuple]:
+        """Hold rows until the watermark has passed them; yields those that it has passed already."""
+        by_hour, chars, first = defaultdict(list), 0, None
+        for row in rows:
+            us = row[2]
+            if us // 1000 < watermark:
+                yield self._late(row)
+                continue
+            by_hour[us // HOUR_US].append(row)
+            chars += _chars(row)
+            first = us if first is None else min(first, us)
+            if chars >= SORT_CHARS:
+                self._hold(by_hour)
+                by_hour, chars = defaultdict(list), 0
+        self._hold(by_hour)
+        if first is not None:
+            self._wake(first)
+
+    def _hold(self, by_hour: dict[int, list[tuple]]) -> None:
+        for hour, rows in by_hour.items():
+            pages, first = self.hours.getValue((hour,)) or (0, rows[0][2])
+            for i in range(0, len(rows), PAGE_ROWS):
+                body = zlib.compress(pickle.dumps(rows[i:i + PAGE_ROWS], pickle.HIGHEST_PROTOCOL), 1)
+                self.held.updateValue((hour, pages), (body,))
+                pages += 1
+            self.hours.updateValue((hour,), (pages, min(first, min(r[2] for r in rows))))
+
+    def _let_go(self, watermark: int) -> Iterator[tuple]:
+        """Apply what the watermark has passed, hour by hour."""
+        hours = sorted((h[0], *n) for h, n in self.hours.iterator())
+        due = [(hour, pages) for hour, pages, first in hours if first // 1000 < watermark]
+        rest: list[tuple] = []
+
+        def passed() -> Iterator[tuple]:
+            for hour, pages in due:
+                whole = (hour + 1) * HOUR_US <= watermark * 1000
+                yield from in_order(self._taken(hour, pages, None if whole else watermark, rest))
+
+        if due:
+            yield from self._apply(passed(), 0, sort=False)
+        left = [first for _, _, first in hours[len(due):]] + rest
+        if left:
+            self._wake(min(left))
+
+    def _taken(self, hour: int, pages: int, watermark: int | None, rest: list[int]) -> Iterator[tuple]:
+        """Rows of an hour, taken out of the state; those the watermark hasn't passed go back, their first time to ``rest``."""
+        kept, first = 0, None
+        for page in range(pages):
+            rows = pickle.loads(zlib.decompress(bytes(self.held.getValue((hour, page))[0])))
+            self.held.removeKey((hour, page))
+            later = [] if watermark is None else [r for r in rows if r[2] // 1000 >= watermark]
+            if later:
+                self.held.updateValue((hour, kept), (zlib.compress(pickle.dumps(later, pickle.HIGHEST_PROTOCOL), 1),))
+                kept, first = kept + 1, min(r[2] for r in later) if first is None else min(first, min(r[2] for r in later))
+                rows = [r for r in rows if r[2] // 1000 < watermark]
+            yield from rows
+        if kept:
+            self.hours.updateValue((hour,), (kept, first))
+            rest.append(first)
+        else:
+            self.hours.removeKey((hour,))
+
+    def _late(self, row: tuple) -> tuple:
+        return (*row, *[None] * 12, True)
 
-    def _apply(self, rows, watermark: int) -> list[Row]:
+    def _apply(self, rows: Iterable[tuple], watermark: int, sort: bool = True) -> Iterator[tuple]:
         saved = self.value.get()
         # without state, the watermark is the oldest time that can still be judged
         tracker, applied, timer = None, (watermark * 1000, -(2**62)), 0
@@ -145,30 +256,27 @@ class CooldownProcessor(StatefulProcessor):
         if saved is not None:
             tracker = Tracker(*saved[:9]) if saved[0] is not None else None
             applied, timer = (saved[9], saved[10]), saved[11]
-        make, out = Row(*self.columns, *_DECIDED), []
-        for row in sorted(rows, key=lambda r: (r["_us"], r["seq"])):
-            if (row["_us"], row["seq"]) < applied:
-                out.append(self._late(row))
+        for row in in_order(rows) if sort else rows:
+            _, _, us, seq, kind, key1, key2, body, *_ = row
+            if (us, seq) < applied:
+                yield self._late(row)
                 continue
-            applied, fresh = (row["_us"], row["seq"]), False
-            tracker, o = advance(
-                tracker, row["kind"], row["_us"], row["key1"], row["key2"], row["payload_json"], self.params
-            )
+            applied, fresh = (us, seq), False
+            tracker, o = advance(tracker, kind, us, key1, key2, body, self.params)
             t = tracker or Tracker("idle", None, None, None, None, None, 0, 0, None)
-            out.append(make(
-                *[row[c] for c in self.columns], o.should_popup, o.suppressed_reason, o.remaining, t.state, o.previous_state,
+            yield (
+                *row, o.should_popup, o.suppressed_reason, o.remaining, t.state, o.previous_state,
                 o.existed, t.popup_count, t.suppression_count, t.last_popup, t.last_event, t.reason,
                 t.payload, False,
-            ))
+            )
         if not fresh:  # else late rows only
             if not timer:
                 timer = self._expiry_ms(applied[0])
                 self.handle.registerTimer(timer)
             self._save(tracker, applied, timer)
-        return out
 
-    def _wake(self, held: list[tuple]) -> None:
-        self.handle.registerTimer(min(r[0] for r in held) // 1000 + 1)
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
 
     def _expiry_ms(self, us: int) -> int:
         return us // 1000 + self.params.eviction * 1000 + 1
@@ -178,6 +286,19 @@ class CooldownProcessor(StatefulProcessor):
         self.value.update((*body, *applied, timer))
 
 
+def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded size; as objects, so that whole numbers beside nulls stay whole."""
+    chars, some = 0, []
+    for row in rows:
+        some.append(row)
+        chars += _chars(row)
+        if len(some) == OUT_ROWS or chars >= SORT_CHARS:
+            yield pd.DataFrame(some, columns=_OUT.names, dtype=object)
+            chars, some = 0, []
+    if some:
+        yield pd.DataFrame(some, columns=_OUT.names, dtype=object)
+
+
 def decide_stream(
     events: DataFrame, params: PolicyParams = PolicyParams(), watermark: str | None = "10 minutes", hold: bool = False,
     initial: DataFrame | None = None,
@@ -187,25 +308,33 @@ def decide_stream(
     ``watermark`` None: the events have one already. ``hold``: wait for the watermark
     before rows are applied. ``initial``: trackers to begin with (``state.trackers``), read in the
     first micro-batch. Rows without a chat skip the state store. The watermark drives timers only: the
-    stateful step gets ``ts`` as a computed column, so rows below the watermark
-    reach it and come out as late instead of being dropped.
+    stateful step gets the time as a number, so rows below the watermark
+    reach it and come out as late instead of being dropped. Columns that the policy doesn't read pass
+    it as one JSON text, made and read by Spark.
     """
+    kind_of = events.schema["ts"].dataType
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     marked = events.withWatermark("ts", watermark) if watermark else events
-    rows = marked.withColumn("_us", us).withColumn(
-        "ts", F.timestamp_micros("_us").cast(events.schema["ts"].dataType)
-    )
+    rows = marked.withColumn("_us", us).withColumn("ts", F.timestamp_micros("_us").cast(kind_of))
     has_chat = F.coalesce("chat_id", F.lit("")) != ""
-    carried = [f for f in events.schema.fields]
-    names = [f.name for f in carried]
-    schema = T.StructType(carried + DECISION_FIELDS)
-    tracked = (
-        rows.where(has_chat).groupBy("chat_id", "intent")
-        .transformWithState(
-            statefulProcessor=CooldownProcessor(params, names, hold), outputStructType=schema,
-            outputMode="Append", timeMode="EventTime", initialState=initial and initial.groupBy("chat_id", "intent"),
-        )
+    names = events.columns
+    others = T.StructType([f for f in events.schema.fields if f.name not in _PLAIN])
+    rest = F.to_json(F.struct(*others.names), _TIMES) if others.names else F.lit(None).cast("string")
+    never = F.lit(_NEVER).cast("long")
+    sent = rows.where(has_chat).select(
+        "chat_id", "intent", F.coalesce("_us", never).alias("us"), F.coalesce(F.col("seq").cast("long"), never).alias("seq"),
+        "kind", "key1", "key2", "payload_json", rest.alias("rest"), F.col("seq").isNull().alias("no_seq"),
+    )
+    decided = sent.groupBy("chat_id", "intent").transformWithStateInPandas(
+        statefulProcessor=CooldownProcessor(params, hold), outputStructType=_OUT,
+        outputMode="Append", timeMode="EventTime", initialState=initial and initial.groupBy("chat_id", "intent"),
     )
+    read = F.from_json("rest", others, _TIMES | {"maxStringLen": str(2**31 - 1)}) if others.names else F.lit(None)
+    back = {n: F.col(f"_read.{n}") for n in others.names} | {
+        "ts": F.timestamp_micros(F.nullif("us", never)).cast(kind_of),
+        "seq": F.when(~F.col("no_seq"), F.col("seq")).cast(events.schema["seq"].dataType),
+    }
+    tracked = decided.withColumn("_read", read).select(*[back.get(n, F.col(n)).alias(n) for n in names], *_DECIDED)
     pops = F.when(F.col("kind") == MESSAGE, F.lit(True))
     bare = {f.name: F.lit(None).cast(f.dataType) for f in DECISION_FIELDS}
     bare.update(

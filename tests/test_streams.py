@@ -2,7 +2,9 @@
 
 import datetime
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_policy import BASE, OUT, SCHEMA, P, histories, retell
@@ -126,3 +128,101 @@ def test_counters_start_in_a_session_of_their_own(spark, tmp_path):
     ST.start_counters(decided, f"{tmp_path}/out", f"{tmp_path}/progress", "1 minute", available_now=True).awaitTermination()
     detected = sum(r[4] == "message" for r in rows)
     assert ST.counters(spark, f"{tmp_path}/out").agg(F.sum("detected")).first()[0] == detected
+
+
+class Store:
+    """The states of one key and its timers, as a processor's handle."""
+
+    def __init__(self):
+        self.value, self.maps, self.timers = None, {}, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, Entries())
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Entries(dict):
+    getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class Clock(int):
+    getCurrentWatermarkInMs = int.__int__
+
+
+def talk(n, seconds):
+    base = 1_700_000_000_000_000
+    rows = [("c", "money", base + i * seconds * 1_000_000 // n, i, "message", None, None, "{}", "r" * 50, False) for i in range(n)]
+    random.Random(5).shuffle(rows)
+    return rows, base
+
+
+def given(rows):
+    return iter([pd.DataFrame(rows[i:i + 700], columns=ST._OUT.names[:10]) for i in range(0, len(rows), 700)])
+
+
+def test_order_by_runs_in_a_file(monkeypatch):
+    monkeypatch.setattr(ST, "SORT_CHARS", 50_000)
+    rows, _ = talk(5_000, 90_000)
+    rows += rows[:100]
+    assert list(ST.in_order(iter(rows))) == sorted(rows, key=lambda r: (r[2], r[3])) and not list(ST.in_order(iter([])))
+
+
+def test_decisions_of_a_busy_chat_leave_in_parts():
+    rows, _ = talk(12_000, 90_000)
+    p = ST.CooldownProcessor(P)
+    p.init(Store())
+    parts = list(p.handleInputRows(("c", "money"), given(rows), Clock(0)))
+    assert len(parts) > 2 and max(map(len, parts)) <= ST.OUT_ROWS
+    out = pd.concat(parts)
+    assert list(out.seq) == list(range(12_000)) and list(out.suppression_count) and not out.late.any()
+
+
+def test_a_busy_chat_is_held_in_pages():
+    rows, base = talk(30_000, 90_000)
+    store, whole = Store(), Store()
+    p, q = ST.CooldownProcessor(P, hold=True), ST.CooldownProcessor(P)
+    p.init(store)
+    q.init(whole)
+    for i in range(0, len(rows), 10_000):
+        assert not list(p.handleInputRows(("c", "money"), given(rows[i:i + 10_000]), Clock(0)))
+    held = store.maps["held"]
+    assert len(held) >= 25 and max(len(v[0]) for v in held.values()) < 200_000
+    got = []
+    for ms in (base // 1000 + 5_400_000, base // 1000 + 5_400_000, base // 1000 + 200_000_000):
+        got += [r for f in p.handleExpiredTimer(("c", "money"), Clock(ms), None) for r in f.itertuples(index=False, name=None)]
+        assert all(r[2] // 1000 < ms for r in got) and (not held or max(store.timers) > ms)
+    want = [r for f in q.handleInputRows(("c", "money"), given(rows), Clock(0)) for r in f.itertuples(index=False, name=None)]
+    assert got == want and not held and not store.maps["hours"]
+
+
+def test_columns_the_policy_does_not_read_pass_the_state(spark, tmp_path):
+    extra = [
+        "if(seq = 2, double('NaN'), seq * 1.1D) AS confidence", "named_struct('a', cast(NULL AS string), 'b', seq = 3) AS payload",
+        "cast(NULL AS struct<x:int>) AS targeting", "timestamp_micros(1700000000123456) AS seen",
+        "concat('q', chr(34), chr(92), 'ü', chr(10)) AS value", "cast(NULL AS int) AS ordinal", "array(1L, NULL) AS numbers",
+    ]
+    rows = ordered(25, chats=2, length=6)
+    spark.createDataFrame(rows, SCHEMA).selectExpr("*", *extra).coalesce(1).write.parquet(f"{tmp_path}/in")
+    want = spark.read.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(want.schema).parquet(f"{tmp_path}/in")
+    ST.start_decisions(ST.decide_stream(stream, P, "1 hour"), f"{tmp_path}/out", f"{tmp_path}/progress", available_now=True).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").where("chat_state <> 'untracked'").select(want.columns)
+    kept = want.where("coalesce(chat_id, '') <> ''")
+    assert got.count() == kept.count() and not got.exceptAll(kept).count()
