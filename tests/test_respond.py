@@ -109,3 +109,17 @@ def test_payload_json_null_or_absent(spark):
     assert got[1, "alarm"] == {"label": "go", "time_iso": "2024-01-03T10:20", "time_phrase": "in 20 min", "seconds_from_now": 1200}
     assert got[2, "calendar"] == {"title": "meeting"}
     assert got[3, "contact"] == {"phone": None, "name_hint": None}
+
+
+def test_cards_are_made_once_for_the_sort(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    cards = spark.range(200).selectExpr("id AS seq", "concat('c', id % 3) AS chat_id", "cast(id % 5 AS int) AS priority")
+    got = respond.summary_cards(cards.mapInPandas(count, cards.schema)).collect()
+    assert [tuple(r) for r in got] == sorted([tuple(r) for r in got], key=lambda r: (r[1], r[2], r[0])) and len(got) == 200
+    assert made.value == 200
