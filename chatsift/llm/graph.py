@@ -41,16 +41,19 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links (u, v); label: the smallest node it is connected with.
 
     Each round is a table in the shared folder, in place of the one before; rounds grow
-    with the logarithm of the longest path. No links: an empty table.
+    with the logarithm of the longest path and end once all links are stars: no node
+    points at two others, none that points is pointed at. No links: an empty table.
     """
     edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(False).alias("met")).union(
+            edges.select("v", F.lit(0), F.lit(True)))
+        state = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("met").alias("met")).agg(
+            F.sum("up").alias("total"), F.max(F.expr("up > 1 or up = 1 and met")).alias("more")).first()
+        if not state.more:
             break
-        before, last = state, edges
-        edges = staged(_small(_large(last, state[0]), state[0]).where("u <> v").distinct(), "links")
+        last = edges
+        edges = staged(_small(_large(last, state.total), state.total).where("u <> v").distinct(), "links")
         discard(last)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)

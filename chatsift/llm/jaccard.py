@@ -38,12 +38,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.llm.common import SLICE_BYTES, Bounded, discard, parts, partitions, read, staged
+from chatsift.llm.common import SLICE_BYTES, Bounded, discard, parts, partitions, read, staged, store
 from chatsift.llm.graph import components
 
 SLOTS = 1 << 23  # of the frequency table, 2 bytes each
@@ -174,8 +176,27 @@ def profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     return staged(docs.mapInArrow(run, "id long, mark string, n long, key binary, piece int, counts binary"), "profiles")
 
 
-def frequencies(profile: DataFrame) -> np.ndarray:
-    """The whole table: SLOTS counts, whatever the input."""
+class Counts:
+    """The whole table, SLOTS counts whatever the input, in the shared folder: tasks write it and read it, the driver never holds it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @property
+    def value(self) -> np.ndarray:
+        """For one task: idle workers keep nothing."""
+        fs, place = store(self.path)
+        out, size = np.zeros(SLOTS, np.uint16), SLOTS // PIECES
+        for info in fs.get_file_info(pafs.FileSelector(place)):
+            if info.extension == "parquet":
+                rows = pq.ParquetFile(fs.open_input_file(info.path)).read()
+                for p, c in zip(*(rows.column(x).to_pylist() for x in ("piece", "counts"))):
+                    out[p * size: (p + 1) * size] = np.frombuffer(zlib.decompress(c), "<u2")
+        return out
+
+
+def frequencies(profile: DataFrame) -> Counts:
+    """The partial tables of all tasks, added up piece by piece."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -188,13 +209,9 @@ def frequencies(profile: DataFrame) -> np.ndarray:
 
     rows = (
         profile.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece")
-        .mapInArrow(add, "piece int, counts binary").collect()
+        .mapInArrow(add, "piece int, counts binary").coalesce(PIECES // 8)
     )
-    out = np.zeros(SLOTS, np.uint16)
-    size = SLOTS // PIECES
-    for r in rows:
-        out[r.piece * size: (r.piece + 1) * size] = np.frombuffer(zlib.decompress(r.counts), "<u2")
-    return out
+    return Counts(staged(rows, "counts").staged_path)
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -266,8 +283,8 @@ def bit_table(nodes_: DataFrame, ends: DataFrame):
     return nodes_.sparkSession.sparkContext.broadcast(table)
 
 
-def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(key, text, left, right) of classes in pairs (a, b): as some a, as some b. Texts are packed with zstd.
+def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle: int = 3, pack: bool = False) -> DataFrame:
+    """(key, text, left, right) of classes in pairs (a, b): as some a, as some b; pack: texts as they travel, packed with zstd.
 
     Bit tables keep other rows out before any set is made; the few that pass by
     chance and copies of a row from different tasks meet no pair or repeat one. A copy
@@ -277,7 +294,7 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle:
     tables = [bit_table(nodes_, pairs.select(F.col(c).alias("node")).distinct()) for c in "ab"]
 
     def run(batches):
-        memo, seen, pack = Words(200_000), Bounded(100_000), zstandard.ZstdCompressor(level=3)
+        memo, seen, as_sent = Words(200_000), Bounded(100_000), zstandard.ZstdCompressor(level=3).compress if pack else bytes
         left, right = (t.value for t in tables)
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
@@ -291,7 +308,7 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle:
                     given_x, given_y = seen.get(k, (False, False))
                     if len(s) and (x and not given_x or y and not given_y):
                         seen[k] = (x or given_x, y or given_y)
-                        rows.append((k, pack.compress(t), x and not given_x, y and not given_y))
+                        rows.append((k, as_sent(t), x and not given_x, y and not given_y))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.bool_(), pa.bool_()))],
@@ -300,7 +317,10 @@ def wanted_texts(docs: DataFrame, nodes_: DataFrame, pairs: DataFrame, shingle:
 
     bit = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))), F.lit(BITS))
     rows = docs.select("id", "text", bit.alias("bit"))
-    return staged(rows.mapInArrow(run, "key binary, text binary, left boolean, right boolean"), "texts")
+    out = staged(rows.mapInArrow(run, "key binary, text binary, left boolean, right boolean"), "texts")
+    for t in tables:
+        t.destroy()  # the driver would keep them
+    return out
 
 
 def differ_at_least(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -410,7 +430,7 @@ def links(docs: DataFrame, nodes_: DataFrame, counts, rule: Rule) -> DataFrame:
         .join(sizes, "hub").where(length).where(enough).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
     hubs = staged(may_differ(hubs, nodes_, group), "hub-pairs")
-    hub_texts = wanted_texts(docs, nodes_, hubs, rule.shingle)
+    hub_texts = wanted_texts(docs, nodes_, hubs, rule.shingle, pack=True)
     near = verified(hubs, nodes_, hub_texts, rule)
     first = near.where(rule.linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = staged(components(first), "labels")
@@ -427,7 +447,7 @@ def links(docs: DataFrame, nodes_: DataFrame, counts, rule: Rule) -> DataFrame:
     rest = inside.union(across).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
     rest = staged(may_differ(rest, nodes_, rule.similarity), "other-pairs")
     discard(shared, hubs, hub_texts, state, label, *used)
-    rest_texts = wanted_texts(docs, nodes_, rest, rule.shingle)
+    rest_texts = wanted_texts(docs, nodes_, rest, rule.shingle, pack=True)
     more = verified(rest, nodes_, rest_texts, rule)
     discard(rest, rest_texts)
     return first.union(more.where(rule.linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -502,7 +522,7 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     whole = docs.select(F.col("id").cast("long"), F.col("mark").cast("string"), F.col("text").cast("string").cast("binary").alias("text"))
     docs = whole.select("id", "text")
     profile = profiles(whole, rule)
-    counts = docs.sparkSession.sparkContext.broadcast(frequencies(profile))
+    counts = frequencies(profile)
     nodes_ = nodes(docs, counts, rule)
     found = staged(components(links(docs, nodes_, counts, rule)), "components")
     least = profile.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))

@@ -124,7 +124,7 @@ def sample(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(pairs, pa.binary())], schema.names)
 
     found = rows.mapInArrow(extract, schema).groupBy("id").agg(F.min_by("pairs", "h").alias("pairs")).collect()
-    return [np.frombuffer(bytes(r.pairs), "<i4").reshape(-1, 2) for r in sorted(found, key=lambda r: str(r.id))]
+    return [np.frombuffer(r.pairs, "<i4").reshape(-1, 2) for r in sorted(found, key=lambda r: str(r.id))]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unlabelled: int = 12000) -> Classifier | None:

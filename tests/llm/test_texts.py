@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import os
+import pickle
 import random
 import re
 
@@ -212,6 +213,25 @@ def test_components_of_stars_and_chains(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    """Every round is some twenty shuffles and broadcasts that the driver plans and keeps for a while."""
+    tables, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: tables.append(name) or staged(df, name))
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame([(3, 1), (1, 2), (1, 9), (5, 4)], "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4} and tables == ["links"]
+    for links in ([(3, 2), (2, 1)], [(3, 1), (3, 2)]):  # a chain, a node with two others
+        assert {r.label for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()} == {1}
+
+
+def test_counts_of_shingles_stay_off_the_driver(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c"), (3, None)], "id long, text string").selectExpr(
+        "id", "cast(null AS string) AS mark", "cast(text AS binary) AS text")
+    counts = jaccard.frequencies(jaccard.profiles(docs, jaccard.Rule.of(3, 0.9)))
+    assert not isinstance(counts, np.ndarray) and len(pickle.dumps(counts)) < 1000
+    table = counts.value
+    assert sorted(table[table > 0].tolist()) == [1, 2] and table.shape == (jaccard.SLOTS,)
+
+
 def near_texts(seed):
     rng = random.Random(seed)
     texts = []
