@@ -123,3 +123,16 @@ def test_cards_are_made_once_for_the_sort(spark):
     got = respond.summary_cards(cards.mapInPandas(count, cards.schema)).collect()
     assert [tuple(r) for r in got] == sorted([tuple(r) for r in got], key=lambda r: (r[1], r[2], r[0])) and len(got) == 200
     assert made.value == 200
+
+
+def test_replies_meet_in_one_shuffle(spark):
+    """A message's rows are sorted once, where they meet; rows that come twice give both entries."""
+    texts = ["remind me to venmo priya $25 at 8pm", "nothing here", "pay up"]
+    d = enrich_and_decide(messages(spark, texts))
+    plan = respond.replies(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("hashpartitioning(seq") == 1
+    got = {r.seq: r for r in respond.replies(d).collect()}
+    assert [e.type for e in got[0].intents] == ["money", "alarm"] and got[0].detected_amount == "$25"
+    assert got[1].intents == [] and not got[1].is_money and got[1].suppressed_reason == "not_money"
+    assert {k: len(r.intents) for k, r in got.items()} == {0: 2, 1: 0, 2: 1}
+    assert {r.seq: len(r.intents) for r in respond.replies(d.union(d)).collect()} == {0: 4, 1: 0, 2: 2}
