@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 
@@ -199,3 +200,22 @@ def test_idle_trackers_leave_the_stream_state(spark, tmp_path):
     )
     assert {r["key"]["chat_id"] for r in kept.select("key").collect()} == {"busy"}
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_tables_take_only_what_they_read(spark, tmp_path):
+    """Carried columns go to Python once, for the fold, and the rows are still shuffled once."""
+    rows = histories(3, 3, 40)
+    spark.createDataFrame(rows, SCHEMA).selectExpr(
+        "*", "named_struct('a', seq, 'b', kind) AS payload", "map(kind, seq) AS counts", "concat('m', seq) AS name"
+    ).write.parquet(f"{tmp_path}/events")
+    events = spark.read.parquet(f"{tmp_path}/events")
+    narrow = policy._read_by_tables(events.selectExpr("*", "unix_micros(ts) AS _us", "0L AS _piece"), [*policy.KEY, "_piece", "ts", "seq"])
+    assert {"payload", "name"}.isdisjoint(narrow.columns) and {"counts", "_others"} < set(narrow.columns)
+    out = policy.decide(events, P)
+    got = {r.seq: r for r in out.collect()}
+    assert all(r.payload.a == r.seq and r.counts == {r.kind: r.seq} and r.name == f"m{r.seq}" for r in got.values())
+    plain = {r.seq: r for r in policy.decide(spark.createDataFrame(rows, SCHEMA), P).collect()}
+    assert len(got) == len(plain) == len(rows) and all(got[k][c] == plain[k][c] for k in plain for c in OUT)
+    plan = [re.sub(r"#\d+L?", "", x).strip(" :+-") for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    shuffled = [plan[i + 1] for i, x in enumerate(plan) if x.startswith("RepartitionByExpression [chat_id, intent, _piece]")]
+    assert len(shuffled) == 2 and len(set(shuffled)) == 1 and "payload" in shuffled[0]
